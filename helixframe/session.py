@@ -57,8 +57,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size of the tables that ``df`` reads; no job is run.
+
+    Leaves whose size is unknown (rows made by the driver) count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, most: int = 1 << 16) -> int:
