@@ -55,8 +55,14 @@ def test_documents(spark):
             own[at:at] = [w.upper() for w in piece]
         docs.append((d, " -- ".join(own), "x"))
     docs += [(500, None, "x"), (501, "", "x"), (502, " ".join([word() for _ in range(30_000)]) + " " + items[0][1], "x"), docs[0]]
-    grams = lambda t: {tuple(leakage.words_of(t)[i : i + 12]) for i in range(len(leakage.words_of(t)) - 11)}
-    expected = sorted({(d, i) for d, t, _ in docs for i, u in items if i is not None and t and u and grams(t) & grams(u)})
+
+    def grams(text):
+        w = leakage.words_of(text)
+        return {tuple(w[i : i + 12]) for i in range(len(w) - 11)}
+
+    of_items = {i: grams(u) for i, u in items if i is not None}
+    of_docs = {d: grams(t) for d, t, _ in docs}
+    expected = sorted((d, i) for d, g in of_docs.items() for i, h in of_items.items() if g & h)
     out = leakage.find_leaks(
         spark.createDataFrame(docs, "doc_id long, text string, item_id string"), "doc_id", "text",
         spark.createDataFrame(items, "item_id long, text string"), "item_id", "text",
