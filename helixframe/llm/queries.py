@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import formatdups, leakage, tokens, topn
+from helixframe.llm import formatdups, leakage, severity, tokens, topn
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +46,27 @@ def p7_near(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
 
 
+def _severity(spark: SparkSession, sf: str) -> DataFrame:
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/review_labels.parquet")
+    return severity.score_documents(documents, "doc_id", "text", labels, "abusive", keep=["source"])
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Abusive, hateful or sexual documents."""
+    return _severity(spark, sf).where("found").select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The severity of every document."""
+    return _severity(spark, sf).select("doc_id", "severity", "found")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, severe documents and their rate for every source."""
+    rates = _severity(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("found").alias("severe"), F.avg("severity").alias("mean_severity"))
+    return rates.withColumn("rate", F.col("severe") / F.col("documents"))
+
+
 _CANON = "regexp_replace({}, '[^A-Za-z0-9]', '', 'g')"
 _PAIR = f"""
 WITH c AS (
@@ -74,4 +95,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (t)""",
 
 QUERIES = {
     "p3_found": p3_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_ids": p6_ids, "p7_found": p7_found, "p7_near": p7_near,
+    "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
 }
