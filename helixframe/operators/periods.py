@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.session import materialize
+
 #: Length of a shard of the axis.
 SHARD = 1 << 18
 
@@ -98,7 +100,7 @@ def period_gaps(blocks: DataFrame, keys: list[str], max_gap: int | None = None,
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str, stop: str, max_gap: int | None = None, shard: int = SHARD) -> DataFrame:
     """``keys``, ``kind`` (block or gap), ``start``, ``stop``; see the two functions above."""
-    blocks = merge_periods(df, keys, start, stop, shard)
+    blocks = materialize(merge_periods(df, keys, start, stop, shard), "blocks")  # read twice
     gaps = period_gaps(blocks, keys, max_gap, shard)
     return blocks.select(*keys, F.lit("block").alias("kind"), "start", "stop").unionByName(
         gaps.select(*keys, F.lit("gap").alias("kind"), "start", "stop")
