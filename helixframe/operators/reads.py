@@ -20,8 +20,8 @@ def decode_sam(lines: DataFrame, text: str = "value") -> DataFrame:
     body = lines.where(~F.col(text).startswith("@") & (F.size(f) >= 11))
     tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1_000_000).alias("v"))))
     out = body.select(
-        f[0].alias("read_id"), f[1].cast("int").alias("flag"), f[2].alias("chrom"), (f[3].cast("bigint") - 1).alias("pos"), f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"), f[6].alias("mate_chrom"), (f[7].cast("bigint") - 1).alias("mate_pos"), f[9].alias("seq"), f[10].alias("qual"), tags.alias("tags"),
+        F.get(f, F.lit(0)).alias("read_id"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).cast("bigint") - 1).alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"),
+        F.get(f, F.lit(5)).alias("cigar"), F.get(f, F.lit(6)).alias("mate_chrom"), (F.get(f, F.lit(7)).cast("bigint") - 1).alias("mate_pos"), F.get(f, F.lit(9)).alias("seq"), F.get(f, F.lit(10)).alias("qual"), tags.alias("tags"),
     ).withColumn("bits", S.flag_bits(F.col("flag"))).where(~F.col("bits.unmapped"))
     turned = F.col("bits.reverse") != F.col("bits.second")
     return out.select(
