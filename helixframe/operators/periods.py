@@ -54,19 +54,22 @@ def merge_periods(df: DataFrame, keys: list[str], start: str, stop: str, shard:
         F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{stop}`").cast("bigint").alias("e"),
     ).where("s <= e")
     base = base.withColumn("h0", _shard(F.col("s"), shard)).withColumn("h1", _shard(F.col("e"), shard))
-    head = F.struct(F.col("h0").alias("h"), F.col("s").alias("s"), F.least("e", (F.col("h0") + 1) * shard - 1).alias("e"))
-    tail = F.struct(F.col("h1").alias("h"), (F.col("h1") * shard).alias("s"), F.col("e").alias("e"))
-    ends = F.when(F.col("h0") == F.col("h1"), F.array(head)).otherwise(F.array(head, tail))
+    none = F.lit(None).cast("bigint")
+
+    def row(h: Column, s: Column, e: Column, d: int) -> Column:
+        return F.struct(h.alias("h"), s.alias("s"), e.alias("e"), F.lit(d).alias("d"))
+
+    head = row(F.col("h0"), F.col("s"), F.least(F.col("e"), (F.col("h0") + 1) * shard - 1), 0)
+    tail = row(F.col("h1"), F.col("h1") * shard, F.col("e"), 0)
+    # whole shards under a long interval, as an opening and a closing count
+    opens, closes = row(F.col("h0") + 1, none, none, 1), row(F.col("h1"), none, none, -1)
+    parts = F.when(F.col("h0") == F.col("h1"), F.array(head)).when(F.col("h0") + 1 == F.col("h1"), F.array(head, tail)).otherwise(F.array(head, tail, opens, closes))
     # one row a start: a shard has at most as many rows as positions, whatever the input holds
-    pieces = base.select(*ks, F.inline(ends)).groupBy(*ks, "h", "s").agg(F.max("e").alias("e"))
-    local = _islands(pieces, [*ks, "h"], adjoin)
+    pieces = base.select(*ks, F.inline(parts)).groupBy(*ks, "h", "s").agg(F.max("e").alias("e"), F.sum("d").alias("d"))
+    pieces = materialize(pieces, "pieces")  # read by the local merge and by the count of spans
+    local = _islands(pieces.where("s is not null").select(*ks, "h", "s", "e"), [*ks, "h"], adjoin)
 
-    # whole shards under long intervals, as opening and closing counts
-    long = base.where("h1 - h0 >= 2").select(
-        *ks, F.inline(F.array(F.struct((F.col("h0") + 1).alias("h"), F.lit(1).alias("d")), F.struct(F.col("h1").alias("h"), F.lit(-1).alias("d"))))
-    )
-    seen = local.select(*ks, "h", F.lit(0).alias("d"), F.lit(1).alias("has"))
-    steps = long.withColumn("has", F.lit(0)).unionByName(seen).groupBy(*ks, "h").agg(F.sum("d").alias("d"), F.max("has").alias("has"))
+    steps = pieces.groupBy(*ks, "h").agg(F.sum("d").alias("d"), F.max(F.when(F.col("s").isNotNull(), 1).otherwise(0)).alias("has"))
     along = Window.partitionBy(*ks).orderBy("h")
     steps = steps.withColumn("depth", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     steps = steps.withColumn("next", F.lead("h").over(along)).where("depth > 0")
