@@ -36,6 +36,7 @@ KEY_BUCKETS = 1 << 14
 SEPARATOR_BITS, ODD_BITS, QUOTE_ODDS = 1.0, 24.0, 3
 
 _QUOTED = re.compile(r'"((?:[^"]|"")*)"')
+_INNER_SPACE = re.compile(r"[^\s;&,|=]\s+[^\s;&,|=]")
 _NO_KEY = re.compile(r'[\s"=;&,|]')
 _EQUALS = re.compile(r'((?:[^="]|"(?:[^"]|"")*")*)=')
 
@@ -67,9 +68,13 @@ def _subsets(chars: str, text: str, least: int) -> list[str]:
 
 
 def admitted(text: str, space: DialectSpace) -> list[Dialect]:
-    """The dialects that read ``text`` differently; the one that parts most comes first."""
-    inner = [c for c in space.inner if (c in text if c != " " else re.search(r"\s", text.strip()))] or [space.inner[0]]
-    quotes = [True, False] if '"' in text else [True]
+    """The dialects that can read ``text`` differently and well; the one that parts most comes first.
+
+    White space beside a mark is trimmed, so it can stand after a key only between
+    other characters.  Quotes are doubted only where one of them is left open.
+    """
+    inner = [c for c in space.inner if (c in text if c != " " else _INNER_SPACE.search(text))] or [space.inner[0]]
+    quotes = [True, False] if text.count('"') % 2 else [True]
     return [
         Dialect(p, i, v, q)
         for q in quotes
