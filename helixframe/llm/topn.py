@@ -191,7 +191,7 @@ def top_n(df: DataFrame, groups: list[str], order: list[tuple[str, bool]], row_i
     columns.append(F.coalesce(F.col(f"`{row_id}`"), F.lit(2**63 - 1)).cast("bigint").alias("id"))
     source = df.select(*columns)
     width = 2 * len(groups)
-    count = buckets or partitions_for(source, BUCKET_BYTES)
+    count = buckets or partitions_for(source, BUCKET_BYTES, most=1 << 18)
     source = source.withColumn("bucket", F.pmod(F.xxhash64(*source.columns[:width]), F.lit(count)).cast("int"))
     source = source.select("bucket", *source.columns[:-1])
 
