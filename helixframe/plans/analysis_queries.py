@@ -87,7 +87,7 @@ def _(v):
     return annotation.compare_transcripts(annotation.transcripts(_exons(v))).where("contained").select("gene", "a_tx", "b_tx")
 
 
-@query("tx_clip", f"WITH {_EX} SELECT gene, tx, count(*) AS n, sum(least(\"end\", 400000) - greatest(start, 50000)) AS bases FROM x WHERE least(\"end\", 400000) > greatest(start, 50000) GROUP BY 1, 2")
+@query("tx_clip", f"WITH {_EX} SELECT gene, tx, count(*) AS n, CAST(sum(least(\"end\", 400000) - greatest(start, 50000)) AS BIGINT) AS bases FROM x WHERE least(\"end\", 400000) > greatest(start, 50000) GROUP BY 1, 2")
 def _(v):
     t = annotation.clip_exons(annotation.transcripts(_exons(v)), F.lit(50_000), F.lit(400_000))
     return t.select("gene", "tx", F.explode("exons").alias("x")).groupBy("gene", "tx").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x.end") - F.col("x.start")).alias("bases"))

@@ -14,3 +14,7 @@ def test_nothing_outside_llm_imports_it():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "helixframe.llm" not in path.read_text()
+
+
+def test_the_flagship_has_rows(spark):
+    assert entry.entry(spark).limit(1).count() == 1
