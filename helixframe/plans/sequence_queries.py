@@ -114,7 +114,7 @@ def _(v):
     return _seq(v).where("length(seq) >= 16")
 
 
-@query("seq_lengths", f"WITH {_SEQ} SELECT CAST(sum(length(seq)) AS BIGINT) AS total, least(14, floor(log2(sum(length(seq))) / 2 - 1)) AS index_size, count(*) AS n FROM s")
+@query("seq_lengths", f"WITH {_SEQ} SELECT CAST(sum(length(seq)) AS BIGINT) AS total, CAST(least(14, floor(log2(sum(length(seq))) / 2 - 1)) AS BIGINT) AS index_size, count(*) AS n FROM s")
 def _(v):
     return _seq(v).agg(F.sum(F.length("seq")).alias("total"), F.least(F.lit(14), F.floor(F.log2(F.sum(F.length("seq"))) / 2 - 1)).alias("index_size"), F.count(F.lit(1)).alias("n"))
 
