@@ -43,12 +43,17 @@ def merge_periods(df: DataFrame, keys: list[str], start: str, stop: str, shard:
     """Maximal runs of closed intervals that overlap or directly adjoin, per ``keys``.
 
     Returns ``keys`` + ``start`` + ``stop``.  ``adjoin`` is the step to the next
-    position (0: only shared positions merge).  Defined cases: rows with a null
+    position (0: only shared positions merge; positions then lie within 2^62).  Defined cases: rows with a null
     or reversed interval give nothing; a null key is an entity of its own;
     repeats and ties change nothing; an empty table gives none; further columns
     are ignored.
     """
     ks = [f"k{i}" for i in range(len(keys))]
+    if adjoin == 0:
+        # on doubled positions neighbours lie two apart, so only shared positions adjoin and a cut at a border still does
+        doubled = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keys, ks)], *[(F.col(f"`{c}`").cast("bigint") * 2).alias(a) for c, a in ((start, "s"), (stop, "e"))])
+        out = merge_periods(doubled, ks, "s", "e", 2 * shard)
+        return out.select(*[F.col(k).alias(c) for c, k in zip(keys, ks)], *[F.call_function("div", F.col(c), F.lit(2)).alias(c) for c in ("start", "stop")])
     base = df.select(
         *[F.col(f"`{c}`").alias(k) for c, k in zip(keys, ks)],
         F.col(f"`{start}`").cast("bigint").alias("s"), F.col(f"`{stop}`").cast("bigint").alias("e"),

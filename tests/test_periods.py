@@ -50,3 +50,18 @@ def test_gap_limit_and_empty_table(spark):
 def test_huge_coordinates(spark):
     rows = [("a", 2**60, 2**60 + 5), ("a", 2**60 + 6, 2**60 + 7), ("a", -(2**60), 2**59)]
     assert check(spark, rows, 1 << 18) == brute(rows)
+
+
+def test_strict_merge_over_shard_borders(spark):
+    rng = random.Random(5)
+    rows = [("a", s, s + rng.choice([0, 1, 3, 15, 16, 40])) for s in (rng.randint(-500, 4000) for _ in range(150))]
+    rows += [("b", 0, 15), ("b", 16, 31), ("c", 10, 20), ("c", 20, 100), ("c", 101, 101), ("d", 1, 1000), ("e", 15, 16), ("e", 17, 40), ("f", 5, 4), ("f", None, 4), (None, 7, 33)]
+    want = []
+    for k, s, e in sorted((r for r in rows if r[1] is not None and r[1] <= r[2]), key=lambda r: (r[0] or "", r[1], r[2])):
+        if want and want[-1][0] == k and s <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([k, s, e])
+    df = spark.createDataFrame(rows, "k string, start long, stop long")
+    got = periods.merge_periods(df, ["k"], "start", "stop", shard=16, adjoin=0).collect()
+    assert sorted(([r.k, r.start, r.stop] for r in got), key=repr) == sorted(want, key=repr)
