@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
@@ -69,16 +69,39 @@ def junction_strand(junctions: DataFrame, left: str = "left_bases", right: str =
     return junctions.withColumn("strand", F.when(pair.isin("GTAG", "GCAG", "ATAC"), "+").when(pair.isin("CTAC", "CTGC", "GTAT"), "-").otherwise("."))
 
 
+def _mapped(locations: DataFrame) -> Column:
+    """All mapped positions of a location: those of ``segments`` (half-open), each once; without them its first base."""
+    if "segments" not in locations.columns:
+        return F.array("pos")
+    whole = F.filter("segments", lambda x: x["start"] < x["end"])
+    bases = F.array_distinct(F.flatten(F.transform(whole, lambda x: F.sequence(x["start"], x["end"] - 1))))
+    return F.when(F.col("segments").isNull(), F.array("pos")).otherwise(bases)
+
+
 def _location_mass(locations: DataFrame, cov: DataFrame) -> DataFrame:
-    """Mass of every location: coverage of its own and of the other strand, over its first base."""
+    """Mass of every location: coverage of its own and of the other strand, summed over all its mapped positions."""
     other = cov.withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+")).withColumnRenamed("value", "_o")
-    j = locations.join(cov.withColumnRenamed("value", "_m"), ["chrom", "strand", "pos"], "left").join(other, ["chrom", "strand", "pos"], "left")
-    return j.na.fill(0.0, ["_m", "_o"])
+    own = cov.withColumnRenamed("value", "_m")
+    if "segments" not in locations.columns:
+        j = locations.join(own, ["chrom", "strand", "pos"], "left").join(other, ["chrom", "strand", "pos"], "left")
+        return j.na.fill(0.0, ["_m", "_o"])
+    # equal places have equal mass, so each is summed once, whatever the number of reads
+    place = ["chrom", "strand", "pos", "segments"]
+    each = locations.select(*place).distinct().select(*place, F.explode(_mapped(locations)).alias("_at"))
+    for part in (own, other):
+        each = each.join(part.withColumnRenamed("pos", "_at"), ["chrom", "strand", "_at"], "left")
+    mass = each.groupBy(*place).agg(F.sum("_m").alias("_m"), F.sum("_o").alias("_o"))
+    renamed = mass.select(*[F.col(c).alias(f"_{c}") for c in place], "_m", "_o")
+    on = F.lit(True)
+    for c in place:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return locations.join(renamed, on, "left").drop(*[f"_{c}" for c in place]).na.fill(0.0, ["_m", "_o"])
 
 
 def allocate(locations: DataFrame, cov: DataFrame, opposite: bool = True) -> DataFrame:
     """One round: the share of each location of a read (``read``, chrom, strand, pos, weight) by the frozen coverage.
 
+    A location of more than one base has its ``segments`` (array of half-open ``start``, ``end``) beside ``pos``.
     Mass on the own strand decides, else that on the other one if allowed; a read without any has null shares.
     """
     w = Window.partitionBy("read")
@@ -89,30 +112,33 @@ def allocate(locations: DataFrame, cov: DataFrame, opposite: bool = True) -> Dat
     return m.select(*locations.columns, share.alias("share"))
 
 
-def rescue(unique: DataFrame, multi: DataFrame, rounds: int = 5, opposite: bool = True) -> DataFrame:
-    """Coverage after sharing out multimappers: ``multi`` has a row a location with ``n_map``.
+def rescue(unique: DataFrame, multi: DataFrame, rounds: int | None = None, opposite: bool = True) -> DataFrame:
+    """Coverage after sharing out multimappers: ``multi`` has a row a location with ``n_map``, and ``segments`` if longer than a base.
 
     Reads are taken by ascending multiplicity.  In each round all reads that have
-    mass are shared out by the coverage frozen before it; reads without mass wait for
-    the next round.  When a round shares nothing, or after ``rounds``, what is left
-    is spread evenly.  Rounds are parallel, so the result is not that of a
-    read-by-read sweep.  Every round is written to the shared folder.
+    mass are shared out by the coverage frozen before it, over all their mapped
+    positions; reads without mass wait for the next round.  When a round shares
+    nothing, or after ``rounds`` if given, what is left is spread evenly.  Rounds are
+    parallel, so the result is not that of a read-by-read sweep.  Every round is
+    written to the shared folder.
     """
     cov = unique
     levels = [r.n_map for r in multi.select("n_map").distinct().orderBy("n_map").collect()]  # few small numbers
     for level in levels:
         waiting = multi.where(F.col("n_map") == level)
-        for _ in range(rounds):
+        done_rounds = 0
+        while rounds is None or done_rounds < rounds:
             shared = materialize(allocate(waiting, cov, opposite), "rescue")
             done = shared.where("share is not null")
             if done.isEmpty():
                 break
-            add = done.select("chrom", "strand", "pos", (F.col("weight") * F.col("share")).alias("value"))
+            add = done.select("chrom", "strand", F.explode(_mapped(done)).alias("pos"), (F.col("weight") * F.col("share")).alias("value"))
             cov = materialize(cov.unionByName(add).groupBy("chrom", "strand", "pos").agg(F.sum("value").alias("value")), "coverage")
             waiting = shared.where("share is null").drop("share")
             if waiting.isEmpty():
                 break
-        even = waiting.select("chrom", "strand", "pos", (F.col("weight") / level).alias("value"))
+            done_rounds += 1
+        even = waiting.select("chrom", "strand", F.explode(_mapped(waiting)).alias("pos"), (F.col("weight") / level).alias("value"))
         cov = cov.unionByName(even).groupBy("chrom", "strand", "pos").agg(F.sum("value").alias("value"))
         cov = materialize(cov.where("value <> 0"), "coverage")
     return cov

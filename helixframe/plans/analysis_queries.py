@@ -386,7 +386,7 @@ def _(v):
 @query("rd_mm_rescue")
 def _(v):
     m = _multi(v)
-    return reads.rescue(_unique(m), m.where("n_map > 1"), rounds=2)
+    return reads.rescue(_unique(m), m.where("n_map > 1"))
 
 
 @query("rd_max_per_position", "SELECT chrom, strand, pos, least(count(*), 5) AS n FROM (SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_partkey AS pos FROM lineitem) GROUP BY 1, 2, 3")
