@@ -30,14 +30,9 @@ def combine(parts: list[tuple[DataFrame, float]], keys: list[str] = KEYS) -> Dat
     return reduce(DataFrame.unionByName, scaled).groupBy(*keys, "pos").agg(F.sum("value").alias("value")).where("value <> 0")
 
 
-def encode_runs(cov: DataFrame, keys: list[str] = KEYS, digits: int | None = 2, shard: int = SHARD) -> DataFrame:
-    """Positions to maximal runs of equal (rounded) value; zeros are dropped, negatives kept.
-
-    Runs are found within shards of the axis and joined across their borders, so
-    no window holds a whole chromosome.
-    """
-    value = F.bround("value", digits) if digits is not None else F.col("value")
-    c = cov.withColumn("value", value).where("value <> 0").withColumn("h", _shard(F.col("pos"), shard))
+def _equal_runs(c: DataFrame, keys: list[str], shard: int) -> DataFrame:
+    """Maximal runs of successive positions of equal ``value``, found within shards and joined across their borders."""
+    c = c.withColumn("h", _shard(F.col("pos"), shard))
     w = Window.partitionBy(*keys, "h", "value").orderBy("pos")
     local = c.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy(*keys, "h", "value", "g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     touches = (F.pmod("start", F.lit(shard)) == 0) | (F.pmod("end", F.lit(shard)) == 0)
@@ -49,12 +44,21 @@ def encode_runs(cov: DataFrame, keys: list[str] = KEYS, digits: int | None = 2,
     return local.where(~touches).select(*columns).unionByName(joined.select(*columns))
 
 
-def pivot_runs(cov: DataFrame, key: str, names: list[str], keys: list[str] = KEYS) -> DataFrame:
-    """Several coverages side by side, one column for each of ``names``; runs of equal rows."""
+def encode_runs(cov: DataFrame, keys: list[str] = KEYS, digits: int | None = 2, shard: int = SHARD) -> DataFrame:
+    """Positions to maximal runs of equal (rounded) value; zeros are dropped, negatives kept.
+
+    Runs are found within shards of the axis and joined across their borders, so
+    no window holds a whole chromosome.
+    """
+    value = F.bround("value", digits) if digits is not None else F.col("value")
+    return _equal_runs(cov.withColumn("value", value).where("value <> 0"), keys, shard)
+
+
+def pivot_runs(cov: DataFrame, key: str, names: list[str], keys: list[str] = KEYS, shard: int = SHARD) -> DataFrame:
+    """Several coverages side by side, one column for each of ``names``; maximal runs of equal rows."""
     wide = cov.groupBy(*keys, "pos").pivot(key, names).agg(F.sum("value")).na.fill(0.0, names)
     packed = wide.select(*keys, "pos", F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value"))
-    runs = packed.withColumn("g", F.col("pos") - F.row_number().over(Window.partitionBy(*keys, "value", _shard(F.col("pos"), SHARD)).orderBy("pos")))
-    out = runs.groupBy(*keys, "value", "g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    out = _equal_runs(packed, keys, shard)
     parts = F.split("value", "\t")
     return out.select(*keys, "start", "end", *[parts[i].cast("double").alias(n) for i, n in enumerate(names)])
 
