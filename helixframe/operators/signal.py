@@ -90,14 +90,22 @@ def trim(inside: DataFrame, fraction: float, keys: list[str] = KEYS) -> DataFram
     return r.groupBy(*keys, "start", "end").agg(F.min("pos").alias("new_start"), (F.max("pos") + 1).alias("new_end"), F.max("enough").alias("n"))
 
 
-def period_scores(inside: DataFrame, most: int = 30, keys: list[str] = KEYS) -> DataFrame:
-    """Best period of each feature: mean signal at multiples of p from the peak, times its share; of equals the longer p."""
+def period_scores(inside: DataFrame, most: int | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Best period of each feature: mean signal at multiples of p from the peak, times its share; of equals the longer p.
+
+    Periods go up to the length of the feature, or to ``most`` if given.  A position counts for the divisors of its
+    distance from the peak only, so a feature of length L gives about L log L rows and not L * L.
+    """
     own = Window.partitionBy(*keys, "start", "end")
     x = inside.withColumn("peak", F.max(F.struct("value", "pos")).over(own)["pos"]).withColumn("total", F.sum("value").over(own))
-    x = x.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), (F.col("end") - F.col("start")).cast("int")))).alias("p"))
-    on = F.pmod(F.col("pos") - F.col("peak"), F.col("p").cast("bigint")) == 0
+    limit = (F.col("end") - F.col("start")).cast("int") if most is None else F.least(F.lit(most), (F.col("end") - F.col("start")).cast("int"))
+    x = x.withColumn("far", F.abs(F.col("pos") - F.col("peak")).cast("int")).withColumn("limit", limit)
+    low = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.sqrt("far")).cast("int"))), lambda k: F.col("far") % k == 0)
+    divisors = F.array_distinct(F.concat(low, F.transform(low, lambda k: F.call_function("div", F.col("far"), k).cast("int"))))
+    periods = F.when(F.col("far") == 0, F.sequence(F.lit(1), F.col("limit"))).otherwise(F.filter(divisors, lambda k: k <= F.col("limit")))
+    x = x.select("*", F.explode(periods).alias("p"))
     spots = F.floor((F.col("end") - 1 - F.col("peak")) / F.col("p")) + F.floor((F.col("peak") - F.col("start")) / F.col("p")) + 1
-    s = x.groupBy(*keys, "start", "end", "p").agg(F.sum(F.when(on, F.col("value"))).alias("hit"), F.max(spots).alias("spots"), F.max("total").alias("total"))
+    s = x.groupBy(*keys, "start", "end", "p").agg(F.sum("value").alias("hit"), F.max(spots).alias("spots"), F.max("total").alias("total"))
     s = s.withColumn("score", F.col("hit") / F.col("spots") * F.col("hit") / F.col("total"))
     return s.groupBy(*keys, "start", "end").agg(F.max_by("p", F.struct("score", "p")).alias("period"), F.max("score").alias("score"))
 
