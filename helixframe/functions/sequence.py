@@ -89,6 +89,16 @@ def motif_hits(s: Column, motif: str, most: int) -> Column:
     return F.transform(hit, lambda i: i - 1)
 
 
+def motif_hits_both(s: Column, motif: str, most: int) -> Column:
+    """``at`` (0-based) and ``strand`` of the hits of the motif (+) and of its reverse complement (-); one a span and strand."""
+    back = motif.upper()[::-1].translate(str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO))
+
+    def on(m: str, strand: str) -> Column:
+        return F.transform(motif_hits(s, m, most), lambda i: F.struct(i.alias("at"), F.lit(strand).alias("strand")))
+
+    return F.concat(on(motif, "+"), on(back, "-"))
+
+
 def gc_content(s: Column) -> Column:
     return F.length(F.regexp_replace(F.upper(s), "[^GC]", "")) / F.nullif(F.length(s), F.lit(0))
 

@@ -55,6 +55,14 @@ def _(v):
     return _seq(v).select("doc_id", F.explode(S.motif_hits(F.col("seq"), "GTYRACGA", 1)).alias("at"))
 
 
+_MISS_BACK = " + ".join(f"CASE WHEN substr(seq, i + {k}, 1) IN ({', '.join(repr(b) for b in S.IUPAC[c])}) THEN 0 ELSE 1 END" for k, c in enumerate("TCGTYRAC"))
+
+
+@query("seq_motif_both", f"WITH {_SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS at, '+' AS strand FROM p WHERE {_MISS} <= 1 UNION ALL SELECT doc_id, CAST(i - 1 AS INTEGER), '-' FROM p WHERE {_MISS_BACK} <= 1")
+def _(v):
+    return _seq(v).select("doc_id", F.inline(S.motif_hits_both(F.col("seq"), "GTYRACGA", 1)))
+
+
 @query("seq_motif_regex", f"WITH {_SEQ} SELECT doc_id, CAST(len(regexp_extract_all(seq, 'GT[CT][AG]AC')) AS INTEGER) AS n FROM s")
 def _(v):
     return _seq(v).select("doc_id", F.regexp_count(F.col("seq"), F.lit(S.iupac_regex("GTYRAC"))).alias("n"))
