@@ -304,6 +304,13 @@ def _(v):
     return wide.select("interaction", *[F.least(F.lit(5.0), F.coalesce(s, F.lit(0.0))).alias(s) for s in ("fb_1", "fb_2")])
 
 
+@query("st_interaction_all", f"""WITH {_SITES} SELECT sample_name, family || ':' || target_transcript AS interaction, least(5, coalesce(sum(slice_site_rpm), 0)) AS value
+FROM d WHERE NOT control AND NOT isnan(coalesce(slice_site_rpm, 0)) GROUP BY 1, 2""")
+def _(v):
+    s = _sites(v).where("not control and not isnan(coalesce(slice_site_rpm, 0D))")
+    return s.groupBy("sample_name", F.concat("family", F.lit(":"), "target_transcript").alias("interaction")).agg(F.least(F.lit(5.0), F.coalesce(F.sum("slice_site_rpm"), F.lit(0.0))).alias("value"))
+
+
 @query("st_verified", """SELECT d.site_id, CASE WHEN EXISTS (SELECT 1 FROM srna_targets t WHERE lower(trim(t.validated)) = 'yes' AND substr(t.srna, 1, 6) = substr(d.srna, 1, 6) AND t.targetagi = split_part(d.target_transcript, '.', 1)) THEN 'yes' ELSE 'no' END AS verified FROM detected_sites d""")
 def _(v):
     t = v("srna_targets").where(F.lower(F.trim("validated")) == "yes").select(F.substring("srna", 1, 6).alias("f"), F.col("targetagi").alias("a")).distinct().withColumn("hit", F.lit("yes"))
@@ -344,12 +351,27 @@ def _(v):
     return d.where("sample_name = 'fb_1'").select("gene").intersect(d.where("sample_name = 'fb_2'").select("gene"))
 
 
+@query("st_gene_sets_all", """SELECT gene FROM (SELECT sample_name, split_part(target_transcript, '.', 1) AS gene FROM detected_sites WHERE sample_name IS NOT NULL)
+GROUP BY gene HAVING count(DISTINCT sample_name) = (SELECT count(DISTINCT sample_name) FROM detected_sites)""")
+def _(v):
+    d = v("detected_sites").where("sample_name is not null").select("sample_name", F.substring_index("target_transcript", ".", 1).alias("gene"))
+    samples = d.agg(F.countDistinct("sample_name").alias("samples"))
+    found = d.groupBy("gene").agg(F.countDistinct("sample_name").alias("n"))
+    return found.crossJoin(F.broadcast(samples)).where("n = samples").select("gene")  # one row
+
+
 @query("st_study_union", "SELECT count(DISTINCT site) AS sites, count(*) AS n FROM (SELECT target_transcript || ':' || slice_site AS site FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name = 'fb_1' UNION ALL SELECT target_transcript || ':' || slice_site FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name = 'fb_2')")
 def _(v):
     d = v("detected_sites").where("adj_p_val < 0.05").withColumn("site", F.concat("target_transcript", F.lit(":"), F.col("slice_site").cast("string")))
     return d.where("sample_name = 'fb_1'").unionByName(d.where("sample_name = 'fb_2'")).agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
 
 
+@query("st_study_union_all", "SELECT count(DISTINCT target_transcript || ':' || slice_site) AS sites, count(*) AS n FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name IS NOT NULL")
+def _(v):
+    d = v("detected_sites").where("adj_p_val < 0.05 and sample_name is not null").withColumn("site", F.concat("target_transcript", F.lit(":"), F.col("slice_site").cast("string")))
+    return d.agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
+
+
 @query("st_coordinate_sort", "SELECT chrom, strand, pos, row_number() OVER (PARTITION BY chrom, strand ORDER BY pos) AS place FROM v_end")
 def _(v):
     from pyspark.sql import Window
