@@ -405,6 +405,16 @@ def _(v):
     return reads.allocate(m.where("n_map = 2"), _unique(m)).select("read", "chrom", "strand", "pos", "share")
 
 
+@query("rd_allocate_all", f"""WITH {_MULTI}, u AS (SELECT chrom, strand, pos, sum(weight) AS value FROM m WHERE n_map = 1 GROUP BY 1, 2, 3),
+l AS (SELECT m.*, coalesce(a.value, 0) AS own, coalesce(b.value, 0) AS other FROM m LEFT JOIN u a ON m.chrom = a.chrom AND m.strand = a.strand AND m.pos = a.pos
+  LEFT JOIN u b ON m.chrom = b.chrom AND m.strand <> b.strand AND m.pos = b.pos WHERE m.n_map > 1),
+w AS (SELECT *, sum(own) OVER (PARTITION BY read) AS s, sum(other) OVER (PARTITION BY read) AS t FROM l)
+SELECT read, chrom, strand, pos, CASE WHEN s > 0 THEN own / s WHEN t > 0 THEN other / t END AS share FROM w""")
+def _(v):
+    m = _multi(v)
+    return reads.allocate(m.where("n_map > 1"), _unique(m)).select("read", "chrom", "strand", "pos", "share")
+
+
 @query("rd_mm_rescue")
 def _(v):
     m = _multi(v)
