@@ -29,10 +29,10 @@ def test_disguises_are_undone():
 
 def test_cumulative_link_gradient():
     rng = np.random.default_rng(0)
-    texts = [[sorted(set(rng.integers(0, 40, 6).tolist()))] for _ in range(400)]
+    texts = [sorted(set(rng.integers(0, 40, 6).tolist())) for _ in range(400)]
     plan = severity.SeverityPlan(buckets=64, epochs=400)
     truth = rng.normal(size=64)
-    x = severity.Segments.pack(texts)
+    x = severity.Segments.of(np.concatenate(texts), np.array([len(t) for t in texts]), np.arange(400), 400)
     grade = np.digitize(x.score(truth) + rng.logistic(size=400) * 0.1, [0.3, 1.0])
     weights, cuts = severity.fit_cumulative(x, grade, plan)
     assert cuts[0] < cuts[1]
@@ -46,8 +46,8 @@ def test_held_out_documents_with_wrong_votes():
     features = severity.Featurizer(1 << 16)
     plan = severity.SeverityPlan(buckets=1 << 16)
     votes = [2 * (b != (rng.random() < 0.03)) for _, _, b in train]
-    weights, cuts = severity.fit_documents([features.text(t) for _, t, _ in train], np.array(votes), plan)
-    x = severity.Segments.pack([features.text(t) for _, t, _ in test])
+    weights, cuts = severity.fit_documents(features.segments([t for _, t, _ in train]), np.array(votes), plan)
+    x = features.segments([t for _, t, _ in test])
     best, _ = severity.worst(x.score(weights), x.doc, x.docs)
     found = 1 - severity._logistic(cuts[0] - best) >= plan.found_at
     truth = np.array([b for _, _, b in test])
@@ -68,3 +68,37 @@ def test_table(spark):
     none = severity.score_documents(docs, "doc_id", "text", labels.limit(0), "abusive", plan=plan)
     assert none.where("found").count() == 0 and none.count() == 305
     assert severity.score_documents(docs.limit(0), "doc_id", "text", labels, "abusive", plan=plan).count() == 0
+
+
+def test_features_are_those_of_each_segment_alone():
+    features, alone = severity.Featurizer(1 << 18), severity.Featurizer(1 << 18)
+    texts = ["the report is late. you f**l, you fool", None, "", "?!", "so so so\nnaked oats", "a" * 200_000, "x1" * 50_000]
+    x = features.segments(texts)
+    ends = [*x.begin.tolist(), len(x.index)]
+    got = [(d, x.index[a:b].tolist()) for d, a, b in zip(x.doc.tolist(), ends, ends[1:])]
+    expected = []
+    for d, t in enumerate(texts):
+        for part in severity._SPLIT.split(severity.normalise(t or "")):
+            words = severity._WORDS.findall(part)
+            own = set()
+            for w in words:
+                bare = w.replace("*", "")
+                marked = f"<{severity._DOUBLES.sub(chr(92) + '1', bare)}>"
+                own |= {f"u{bare}", *(f"c{marked[i:i + 4]}" for i in range(len(marked) - 3) if len(bare) >= 4)}
+            own |= {f"b{a} {b}" for a, b in zip(["^", *words], [*words, "$"])} if words else set()
+            if own:
+                expected.append((d, sorted({alone._hash(f) for f in own})))
+    assert got == expected and x.docs == len(texts)
+
+
+def test_string_ids_null_ids_and_a_fitted_model(spark):
+    rows = corpus(200, 4)
+    docs = spark.createDataFrame([("d%d" % i, t) for i, t, _ in rows] + [(None, BAD[0])], "id string, text string")
+    labels = spark.createDataFrame([("d%d" % i, int(b)) for i, _, b in rows], "id string, vote int")
+    plan = severity.SeverityPlan(buckets=1 << 14)
+    model = severity.learn(docs, "id", "text", labels, "vote", plan)
+    first = severity.score_documents(docs, "id", "text", labels, "vote", plan=plan, model=model).collect()
+    assert sorted(map(str, first)) == sorted(map(str, severity.score_documents(docs, "id", "text", labels, "vote", plan=plan).collect()))
+    assert len(first) == 201 and [r.found for r in first if r.id is None] == [True]
+    few = severity.learn(docs, "id", "text", labels, "vote", severity.SeverityPlan(buckets=1 << 14, max_labelled=20))
+    assert few[0].any() and (few[0] != model[0]).any()
