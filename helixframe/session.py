@@ -57,17 +57,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the tables that ``df`` reads; no job is run.
-
-    Leaves whose size is unknown (rows made by the driver) count as nothing.
-    """
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size of the tables that ``df`` reads, without a job; None if a leaf's size is unknown (rows made by the driver)."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return sum(s for s in sizes if s < 1 << 60)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if all(s < 1 << 60 for s in sizes) else None
+
+
+def input_bytes(df: DataFrame) -> int:
+    """``plan_bytes``, or the counted rows times the usual width of one where that is unknown."""
+    size = plan_bytes(df)
+    return df.count() * df._jdf.schema().defaultSize() if size is None else size
 
 
-def partitions_for(df: DataFrame, bytes_each: int, most: int = 1 << 16) -> int:
-    """Partitions of about ``bytes_each`` for ``df``, at least the shuffle default."""
+def partitions_for(df: DataFrame, bytes_each: int, size: int | None = None, most: int | None = None) -> int:
+    """Partitions of about ``bytes_each`` for ``df``, at least the shuffle default; ``size`` if it is known already."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(most, math.ceil(plan_bytes(df) / bytes_each)))
+    return max(least, math.ceil((input_bytes(df) if size is None else size) / bytes_each))
