@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from helixframe.llm import topn
@@ -31,18 +32,15 @@ def test_repeated_rows_extra_columns_and_empty_table(spark):
         topn.top_n(df, ["id"], [("grp", False)], "id", 1)
 
 
-def cursor(rows, block=3):
-    import pyarrow as pa
+SCHEMA = pa.schema([("g", pa.string()), ("v", pa.int64())])
 
-    blocks = []
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["g", "v"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as w:
-            w.write_batch(batch)
-        blocks.append(sink.getvalue().to_pybytes())
-    return topn.RunCursor(blocks, 1)
+
+def blocks(rows, size=3):
+    return [topn.pack_rows(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + size]), SCHEMA)], schema=SCHEMA)) for at in range(0, len(rows), size)]
+
+
+def cursor(rows):
+    return topn.RunCursor(blocks(rows), 1, SCHEMA)
 
 
 @pytest.mark.parametrize("count", [1, 2, 3, 6, 9])
@@ -54,3 +52,36 @@ def test_loser_tree_merges_and_seeks(count):
     for g in "abcd":
         expected += sorted(k for r in runs for k in r if k[0] == g)[:4]
     assert merged == expected
+
+
+def test_many_runs_of_one_hot_group_stay_small():
+    merge = topn.BucketMerge(1, 5, SCHEMA, fan_in=16)
+    rng = random.Random(4)
+    rows, held = [], 0
+    for run in range(2000):
+        own = sorted(("hot", rng.randrange(10**9)) for _ in range(5))
+        if run % 3 == 0:
+            own = sorted([*own, ("cold%d" % run, 1)])
+        rows += own
+        merge.add(blocks(own, 4096))
+        held = max(held, sum(len(b) for level in merge.levels for r in level for b in r))
+    assert max(map(len, merge.levels)) < 16
+    # 667 cold rows, and five of the hot group in each waiting run
+    assert held < 667 * 40 + 3 * 16 * 2000
+    out = [k for _, k in merge.finish()]
+    assert out == sorted(k for k in rows if k[0] != "hot")[:667] + sorted(k for k in rows if k[0] == "hot")[:5]
+
+
+def test_many_partitions_and_a_small_fan_in(spark):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else "g%d" % rng.randrange(40), rng.choice([None, 0.5, rng.random()]), None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "grp string, score double, rpm long, id long").repartition(60)
+    out = topn.top_n(df, ["grp"], [("score", False), ("rpm", True)], "id", 5, buckets=3, fan_in=4).collect()
+    assert sorted(((r.grp, r.rank_no, r.id) for r in out), key=repr) == brute(rows, 5)
+
+
+def test_ids_that_are_null_or_strings(spark):
+    df = spark.createDataFrame([("a", 1.0, None), ("a", 1.0, 5), ("a", 0.5, None), ("a", 1.0, 2**63 - 1)], "grp string, score double, id long")
+    assert [(r.rank_no, r.id) for r in topn.top_n(df, ["grp"], [("score", False)], "id", 9).orderBy("rank_no").collect()] == [(1, None), (2, 5), (3, 2**63 - 1), (4, None)]
+    df = spark.createDataFrame([("a", 1.0, "y"), ("a", 1.0, "x"), ("a", 1.0, None), ("a", 1.0, "10")], "grp string, score double, id string")
+    assert [r.id for r in topn.top_n(df, ["grp"], [("score", False)], "id", 3).orderBy("rank_no").collect()] == ["10", "x", "y"]
