@@ -28,3 +28,10 @@ def test_one_key_over_all_partitions_and_empty_table(spark):
     out = formatdups.same_records(df, ["name", "sequence"], "rec_id", 9)
     assert {r.first_id for r in out.collect()} == {0} and out.count() == 1000
     assert formatdups.same_records(df.limit(0), ["name", "sequence"], "rec_id").count() == 0
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "x-1", "y"), ("a", "Y", "X1"), (None, "x1", "y"), ("c", "x1", "z")], "id string, name string, sequence string")
+    assert sorted(tuple(r) for r in formatdups.same_records(df, ["name", "sequence"], "id", 2).collect()) == [("a", "a"), ("a", "b"), ("c", "c")]
+    assert sorted(tuple(r) for r in formatdups.collapse(df, ["name", "sequence"], "id", 2).collect()) == [("a", 2), ("c", 1)]
+    assert formatdups.collapse(df.limit(0), ["name", "sequence"], "id").count() == 0
