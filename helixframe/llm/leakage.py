@@ -1,22 +1,24 @@
 """Evaluation passages in a corpus: which documents hold them, and of which items.
 
-Both sides are cut into windows of a fixed number of words.  A CGK random walk
-copies a window's words to a longer string: at each step it writes the word it
-stands on and then stays or moves on, by a random bit of step and word.  Windows
-at a small edit distance thereby become strings at a small Hamming distance.
-Bit-sampling LSH compares a fixed sample of the steps; walk and sample are drawn
-anew for each repetition until a pair at ``max_edits`` collides at least once with
-the target recall.  Windows with the same words always collide, so passages that
-are copied word for word are found without loss.  Every collision is then checked
-by the exact edit distance of the two windows.
-
-The evaluation side enters the scan of the corpus as a bitmap of fixed size, with
-no false negatives, so that only colliding windows are shuffled and joined.
+An item is cut into windows of a set number of words; a shorter item is one window
+of its own size.  Every word of the corpus is the first, and the last, word of a
+passage that may be such a window with a few words put in, left out or changed.
+
+A CGK random walk copies a passage to a string of a set number of steps: at each step it writes the word it stands on and then stays or moves on, by
+a random bit of step and word.  Passages at a small edit distance thereby become
+strings at a small Hamming distance.  Bit-sampling LSH compares a fixed sample of the
+steps.  Walk and sample are drawn anew for each repetition, and walks go forward
+from the first word and back from the last one by turns, until a pair with the edits
+admitted collides at least once with the target recall, wherever the edits are.
+Equal passages always collide, so passages copied word for word are found without
+loss.  Every collision is then checked by the exact edit distance.
+
+The evaluation side enters the scan of the corpus as a bitmap sized by its
+signatures, with no false negatives, so that only colliding passages are shuffled.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,27 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bits of the bitmap of the evaluation side's signatures.
-BITMAP_BITS = 25
+from helixframe.session import materialize
+
+#: Bits of the bitmap for each signature of the evaluation side, and the least and most bits (as powers of 2) that it takes.
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
 #: Words embedded at once.
 CHUNK_WORDS = 1 << 18
+#: Repetitions tried before the recall is declared out of reach.
+MOST_REPETITIONS = 256
 _WORD = re.compile(r"[^\W_]+")
-_END = np.uint64(0x9E3779B97F4A7C15)
+_END = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class WalkPlan:
-    """Walks and samples: ``window`` words, ``steps`` a walk, ``sampled`` steps compared, ``max_edits`` to find with ``recall``."""
+    """Windows of ``window`` words (items from ``least`` words on), ``max_edits`` to find with ``recall``, one for every ``edit_words`` words of a window at most.
+
+    ``walk``: steps of a walk for each word of the window; more steps see more of its words, so that fewer other passages
+    collide, and fewer edited ones too.  ``sampled``: the share of the steps that is compared.
+    """
 
     window: int = 12
+    least: int = 6
     max_edits: int = 1
-    sampled: int = 20
+    edit_words: int = 6
+    walk: float = 1.0
+    sampled: float = 0.75
     recall: float = 0.9
     seed: int = 20240817
 
-    @property
-    def steps(self) -> int:
-        return 3 * self.window
+    def edits(self, words: int) -> int:
+        return min(self.max_edits, words // self.edit_words)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,170 +69,249 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-@lru_cache(maxsize=8)
-def _draws(plan: WalkPlan, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per repetition: an odd multiplier a step, and the sampled steps."""
-    rng = np.random.default_rng(plan.seed)
-    multipliers = rng.integers(0, 1 << 63, size=(repetitions, plan.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    samples = np.sort(np.stack([rng.permutation(plan.steps)[: plan.sampled] for _ in range(repetitions)]), axis=1)
-    return multipliers, samples
-
-
-def signatures(words: np.ndarray, starts: np.ndarray, plan: WalkPlan, repetition: int, repetitions: int) -> np.ndarray:
-    """Sampled walk of every window, folded to 64 bits. ``words`` holds word hashes, ``starts`` the windows' first places."""
-    multipliers, samples = _draws(plan, repetitions)
-    wanted = set(samples[repetition].tolist())
-    at = np.zeros(len(starts), np.int64)
-    out = np.full(len(starts), (repetition + 1) * int(_END) % (1 << 64), np.uint64)
-    padded = np.concatenate([words, [_END]])
-    for step in range(max(wanted) + 1):
-        symbol = np.where(at < plan.window, padded[starts + np.minimum(at, plan.window - 1)], _END)
-        if step in wanted:
+@lru_cache(maxsize=64)
+def _draws(plan: WalkPlan, size: int, repetition: int) -> tuple[np.ndarray, tuple[int, ...], int]:
+    """For windows of ``size`` words: an odd multiplier a step, the sampled steps, and the seed of the signature."""
+    rng = np.random.default_rng([plan.seed, size, repetition])
+    steps = max(1, round(plan.walk * size))
+    multipliers = rng.integers(0, 1 << 63, size=steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sample = np.sort(rng.permutation(steps)[: max(1, round(plan.sampled * steps))])
+    return multipliers, tuple(sample.tolist()), int(rng.integers(0, 1 << 63))
+
+
+def signatures(words: np.ndarray, anchors: np.ndarray, plan: WalkPlan, size: int, repetition: int) -> np.ndarray:
+    """Sampled walk from each anchor, folded to 64 bits: forward in even repetitions, back in odd ones.
+
+    ``words`` holds word hashes, with ``size`` words at least around every anchor.
+    """
+    multipliers, sample, seed = _draws(plan, size, repetition)
+    back = bool(repetition % 2)
+    at = anchors.astype(np.int64)
+    last = at - (size - 1) if back else at + (size - 1)
+    out = np.full(len(anchors), seed, np.uint64)
+    for step in range(sample[-1] + 1):
+        symbol = words[at]
+        if step in sample:
             out = (out ^ symbol) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
-        moved = symbol * multipliers[repetition, step]
-        at += ((moved ^ (moved >> np.uint64(29))) >> np.uint64(28) & np.uint64(1)).astype(np.int64)
+        if step < sample[-1]:
+            moved = symbol * multipliers[step]
+            moves = ((moved ^ (moved >> np.uint64(29))) >> np.uint64(28) & np.uint64(1)).astype(np.int64)
+            at = at - moves if back else at + moves
+            if step >= size - 1:  # a walk ends at the last word
+                at = np.maximum(at, last) if back else np.minimum(at, last)
+    return out
+
+
+def edited_pairs(size: int, edits: int, pairs: int, rng: np.random.Generator) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(kind, place, window, passage) of drawn windows with an edit of each kind at each place, and further ones anywhere."""
+    out = []
+    for kind in ("changed", "put in", "left out"):
+        for place in range(1 if kind == "put in" else 0, size):
+            for _ in range(pairs):
+                a = rng.integers(0, 1 << 63, size=size, dtype=np.uint64)
+                b = a
+                for k in range(edits):
+                    how, where = (kind, place) if k == 0 else (("changed", "put in", "left out")[rng.integers(3)], int(rng.integers(1, len(b))))
+                    new = rng.integers(0, 1 << 63, size=1, dtype=np.uint64)
+                    b = np.concatenate([b[:where], new if how != "left out" else new[:0], b[where + (how != "put in") :]])
+                out.append((kind, place, a, b))
     return out
 
 
-@lru_cache(maxsize=8)
-def repetitions_for(plan: WalkPlan) -> int:
-    """Repetitions after which a pair at ``max_edits`` substitutions has collided with the wanted recall.
+def collisions(pairs: list[tuple[str, int, np.ndarray, np.ndarray]], plan: WalkPlan, size: int, repetitions: int, seed: int) -> np.ndarray:
+    """Whether each pair collides in each repetition, its passage standing among other words."""
+    rng = np.random.default_rng(seed)
+    room = size + max(len(b) for *_, b in pairs)
+    a = np.stack([np.concatenate([a, rng.integers(0, 1 << 63, size=room - size, dtype=np.uint64)]) for *_, a, _ in pairs])
+    b = rng.integers(0, 1 << 63, size=(len(pairs), 3 * room), dtype=np.uint64)
+    for row, (*_, own) in enumerate(pairs):
+        b[row, room : room + len(own)] = own
+    first_a, first_b = np.arange(len(pairs)) * room, np.arange(len(pairs)) * 3 * room + room
+    last_a, last_b = first_a + size - 1, first_b + np.array([len(own) for *_, own in pairs]) - 1
+    return np.stack([
+        signatures(a.ravel(), last_a if r % 2 else first_a, plan, size, r) == signatures(b.ravel(), last_b if r % 2 else first_b, plan, size, r) for r in range(repetitions)
+    ])
+
+
+@lru_cache(maxsize=64)
+def repetitions_for(plan: WalkPlan, size: int) -> int:
+    """Repetitions after which edited passages have collided with the wanted recall, for the worst kind and place of edit.
 
-    The chance of a collision is measured on drawn windows with fresh walks.
+    The recall is measured on drawn passages.
     """
-    if plan.max_edits == 0:
+    edits = plan.edits(size)
+    if edits == 0:
         return 1
-    rng = np.random.default_rng(plan.seed + 1)
-    pairs, rounds = 400, 12
-    a = rng.integers(0, 1 << 63, size=(pairs, plan.window), dtype=np.uint64)
-    b = a.copy()
-    for row in range(pairs):
-        for place in rng.permutation(plan.window)[: plan.max_edits]:
-            b[row, place] = rng.integers(0, 1 << 63, dtype=np.uint64)
-    starts = np.arange(pairs) * plan.window
-    hits = [np.mean(signatures(a.ravel(), starts, plan, r, rounds) == signatures(b.ravel(), starts, plan, r, rounds)) for r in range(rounds)]
-    chance = max(float(np.mean(hits)), 1e-3)
-    return math.ceil(math.log(1 - plan.recall) / math.log(1 - min(chance, 0.999)))
-
-
-def edit_distance(a: list[str], b: list[str], most: int) -> int:
-    """Insertions, deletions and substitutions of words, or ``most + 1`` if there are more."""
-    if a == b:
+    drawn = edited_pairs(size, edits, 400, np.random.default_rng([plan.seed, size]))
+    cases = np.unique([f"{kind} {place}" for kind, place, *_ in drawn], return_inverse=True)[1]
+    many = 4
+    while many <= MOST_REPETITIONS:
+        hit = np.logical_or.accumulate(collisions(drawn, plan, size, many, plan.seed), axis=0)
+        for done in range(2, many + 1, 2):
+            # three standard errors above the target, for the recall is measured on a sample
+            share = np.bincount(cases, hit[done - 1]) / np.bincount(cases)
+            if share.min() >= plan.recall + 3 * np.sqrt(plan.recall * (1 - plan.recall) / 400):
+                return done
+        many *= 2
+    raise ValueError(f"a recall of {plan.recall} takes more than {MOST_REPETITIONS} repetitions; sample fewer steps or admit fewer edits")
+
+
+def passage_distance(a: list[str], text: list[str], most: int) -> int:
+    """Least edits (words put in, left out, changed) from ``a`` to a beginning of ``text``, or ``most + 1`` if there are more."""
+    n, m = len(a), len(text)
+    if text[:n] == a:
         return 0
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
-
-
-def _windows(df: DataFrame, row_id: str, text: str, plan: WalkPlan, bitmap=None) -> DataFrame:
-    """(id, rep, sig, words) of every window, or only of those whose signature may be in ``bitmap``."""
-    repetitions = repetitions_for(plan)
-    size = plan.window
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("rep", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("words", T.StringType())])
-
-    def flush(ids: list[int], texts: list[list[str]], hashes: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        flat = [w for t in texts for w in t]
-        codes = []
-        for w in flat:
-            h = hashes.get(w)
-            if h is None:
-                if len(hashes) > 500_000:
-                    hashes.clear()
-                h = hashes[w] = xxhash.xxh64_intdigest(w)
-            codes.append(h)
-        words = np.array(codes, np.uint64)
+    # furthest word of a reached on each diagonal (place in text minus place in a) with so many edits
+    reached = {0: 0}
+    for edits in range(most + 1):
+        new: dict[int, int] = {}
+        for d in range(-edits, edits + 1):
+            if edits:
+                i = max(reached.get(d, -9) + 1, reached.get(d - 1, -9), reached.get(d + 1, -9) + 1)
+                i = min(i, n, m - d)
+            else:
+                i = 0
+            if i < 0 or i + d < 0:
+                continue
+            while i < n and i + d < m and a[i] == text[i + d]:
+                i += 1
+            if i == n:
+                return edits
+            new[d] = i
+        reached = new
+    return most + 1
+
+
+class _Hashes(dict):
+    """64-bit hashes of words; a worker's memory of them starts anew when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _kind(df: DataFrame, name: str) -> T.DataType:
+    own = df.schema[name].dataType
+    if not isinstance(own, (T.IntegralType, T.StringType)):
+        raise TypeError(f"{name}: ids are whole numbers or strings, not {own.simpleString()}")
+    return own
+
+
+def _passages(df: DataFrame, row_id: str, text: str, plan: WalkPlan, sizes: list[int] | None, bitmap=None) -> DataFrame:
+    """(id, sig, words): every window of items (``sizes`` None), or the passages of a corpus whose signature may be in ``bitmap``.
+
+    ``words`` stand in the direction of the walk: those of the window, or as many of the passage as the edits admit.
+    """
+    kind = _kind(df, row_id)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("sig", T.LongType()), T.StructField("words", T.StringType())])
+    arrow_kind = pa.string() if isinstance(kind, T.StringType) else {T.ByteType(): pa.int8(), T.ShortType(): pa.int16(), T.IntegerType(): pa.int32()}.get(kind, pa.int64())
+    reach = plan.window + plan.max_edits  # words around an anchor that a walk or a check may read
+
+    def flush(ids: list, texts: list[list[str]], hashes: _Hashes) -> Iterator[pa.RecordBatch]:
+        gap = [""] * reach
+        flat = list(gap)
+        for t in texts:
+            flat += t
+            flat += gap
         lengths = np.array([len(t) for t in texts])
-        offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        counts = lengths - size + 1
-        starts = np.repeat(offsets, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        owner = np.repeat(np.array(ids, np.int64), counts)
-        kept = bitmap.value if bitmap is not None else None
-        for rep in range(repetitions):
-            sig = signatures(words, starts, plan, rep, repetitions)
-            at = np.arange(len(sig))
-            if kept is not None:
-                slot = (sig >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-                at = np.nonzero((kept[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0]
-            for lo in range(0, len(at), 16384):
-                part = at[lo : lo + 16384]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner[part]), pa.array(np.full(len(part), rep, np.int32)), pa.array(sig[part].view(np.int64)),
-                     pa.array([" ".join(flat[s : s + size]) for s in starts[part].tolist()], pa.string())],
-                    names=schema.names,
-                )
+        words = np.array(list(map(hashes.__getitem__, flat)), np.uint64)
+        first = np.cumsum(lengths + reach) - lengths
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        before = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = first[owner] + before
+        left = lengths[owner] - before  # words from here to the end
+        names = pa.array(ids, arrow_kind)
+        kept, mask = (bitmap.value, len(bitmap.value) * 8 - 1) if bitmap is not None else (None, 0)
+        for size in sizes if sizes is not None else sorted({min(n, plan.window) for n in lengths.tolist() if n >= plan.least}):
+            spare = plan.edits(size) if sizes is not None else 0
+            whole = np.minimum(lengths, plan.window)[owner] == size
+            for rep in range(repetitions_for(plan, size)):
+                room = before + 1 if rep % 2 else left
+                usable = room >= size - spare if sizes is not None else whole & (room >= size)
+                at = place[usable]
+                sig = signatures(words, at, plan, size, rep)
+                mine = owner[usable]
+                if kept is not None:
+                    slot = (sig & np.uint64(mask)).astype(np.int64)
+                    hit = np.nonzero((kept[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)[0]
+                    at, sig, mine = at[hit], sig[hit], mine[hit]
+                for lo in range(0, len(at), 16384):
+                    part = at[lo : lo + 16384].tolist()
+                    if rep % 2:
+                        told = [" ".join(flat[s : s - size - spare : -1]).rstrip() for s in part]
+                    else:
+                        told = [" ".join(flat[s : s + size + spare]).rstrip() for s in part]
+                    own = pa.array(mine[lo : lo + 16384])
+                    yield pa.RecordBatch.from_arrays([names.take(own), pa.array(sig[lo : lo + 16384].view(np.int64)), pa.array(told, pa.string())], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: dict[str, int] = {}
+        hashes = _Hashes({"": _END})
         ids, texts, held = [], [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = words_of(t)
-                # a very long text goes in overlapping parts that hold all its windows
-                for lo in range(0, len(own) - size + 1, CHUNK_WORDS):
-                    part = own[lo : lo + CHUNK_WORDS + size - 1]
+                # a very long text goes in overlapping parts, one of which holds each passage; items are not cut
+                step = CHUNK_WORDS if sizes is not None else max(len(own), 1)
+                for lo in range(0, max(len(own) - reach, 0) + 1, step):
+                    part = own[lo : lo + step + reach]
                     ids.append(i)
                     texts.append(part)
                     held += len(part)
                     if held >= CHUNK_WORDS:
                         yield from flush(ids, texts, hashes)
                         ids, texts, held = [], [], 0
+                        hashes[""] = _END
         if ids:
             yield from flush(ids, texts, hashes)
 
-    source = df.where(F.col(f"`{row_id}`").isNotNull()).select(F.col(f"`{row_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    source = df.where(F.col(f"`{row_id}`").isNotNull()).select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     return source.mapInArrow(run, schema)
 
 
-def _bitmap(signatures_: DataFrame):
-    """The signatures' leading bits as a broadcast bitmap; the driver gets at most its fixed size."""
-    spark = signatures_.sparkSession
-    slot = F.shiftrightunsigned("sig", 64 - BITMAP_BITS)
-    words = signatures_.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("bigint").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")
-    )
-    bits = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    for row in words.toArrow().to_batches():
-        bits[row.column(0).to_numpy()] = row.column(1).to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(bits.view(np.uint8))
+def _bitmap(wanted: DataFrame):
+    """The signatures' last bits as a broadcast bitmap, of ``BITS_EACH`` bits a signature and 2 ** ``MOST_BITS`` (128 MB) at most.
+
+    Beyond that many signatures the bitmap lets more passages through, all of which are checked.
+    """
+    count = wanted.count()
+    power = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * count - 1).bit_length()))
+    slot = F.col("sig").bitwiseAND(F.lit((1 << power) - 1))
+    words = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    for batch in words.toArrow().to_batches():
+        bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
 
 def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, plan: WalkPlan = WalkPlan()) -> DataFrame:
-    """``doc_id``, ``item_id``, ``edits``: pairs that share a window within ``max_edits``, with the least edits.
-
-    Pairs with ``edits`` 0 are complete; others are found with ``plan.recall``.
-    Defined cases: null, empty and short texts share nothing; repeated rows of an
-    id count once; an item or document with a null id is left out; an empty table
-    gives none; further columns are ignored, both sides may name theirs alike;
-    texts are read whole, at any length.
+    """``doc_id``, ``item_id``, ``edits``: pairs that share a window within the plan's edits, with the least edits.
+
+    Pairs with ``edits`` 0 are complete; others are found with ``plan.recall`` for
+    each kind and place of an edit.  Defined cases: null, empty and wordless texts
+    share nothing, nor do items of fewer words than ``plan.least``; repeated rows of
+    an id count once; an item or document with a null id is left out; ids are whole
+    numbers or strings and keep their type; an empty table gives none; further
+    columns are ignored, both sides may name theirs alike; texts are read whole, at
+    any length.  The windows of the items are written once into the shared folder,
+    and their sizes and bitmap are found when this is called.
     """
-    kinds = corpus.schema[doc_id].dataType, items.schema[item_id].dataType
-    wanted = _windows(items, item_id, item_text, plan).dropDuplicates(["id", "rep", "sig", "words"])
-    found = _windows(corpus, doc_id, text, plan, _bitmap(wanted))
-    pairs = found.toDF("doc", "rep", "sig", "a").join(wanted.toDF("item", "rep", "sig", "b"), ["rep", "sig"]).select("doc", "item", "a", "b")
-    most = plan.max_edits
+    kinds = _kind(corpus, doc_id), _kind(items, item_id)
+    wanted = materialize(_passages(items, item_id, item_text, plan, None).dropDuplicates(["id", "sig", "words"]), "windows")
+    counted = wanted.select((F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).alias("n")).distinct().collect()  # plan.window numbers at most
+    found = _passages(corpus, doc_id, text, plan, sorted(r.n for r in counted), _bitmap(wanted))
+    pairs = found.toDF("doc", "sig", "c").join(wanted.toDF("item", "sig", "a"), "sig").select("doc", "item", "a", "c")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [0 if a == b else edit_distance(a.split(" "), b.split(" "), most) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            windows = [a.split(" ") for a in batch.column(2).to_pylist()]
+            most = np.array([plan.edits(len(a)) for a in windows], np.int32)
+            out = [passage_distance(a, c.split(" "), m) for a, c, m in zip(windows, batch.column(3).to_pylist(), most.tolist())]
             edits = np.array(out, np.int32)
             done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edits)], names=["doc", "item", "edits"])
             yield done.filter(pa.array(edits <= most))
 
-    checked = pairs.mapInArrow(verify, "doc bigint, item bigint, edits int").groupBy("doc", "item").agg(F.min("edits").alias("edits"))
-    return checked.select(F.col("doc").cast(kinds[0]).alias(doc_id), F.col("item").cast(kinds[1]).alias(item_id), "edits")
+    checked = pairs.mapInArrow(verify, f"doc {kinds[0].simpleString()}, item {kinds[1].simpleString()}, edits int").groupBy("doc", "item").agg(F.min("edits").alias("edits"))
+    return checked.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "edits")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from helixframe.llm import leakage
 
@@ -15,29 +16,84 @@ def naive(a, b):
     return row[-1]
 
 
-def test_edit_distance():
+def test_passage_distance():
     rng = random.Random(1)
-    for _ in range(2000):
-        a = [rng.choice("abc") for _ in range(rng.randint(0, 7))]
-        b = [rng.choice("abc") for _ in range(rng.randint(0, 7))]
-        assert leakage.edit_distance(a, b, 2) == min(naive(a, b), 3)
+    for _ in range(3000):
+        a = [rng.choice("abc") for _ in range(rng.randint(1, 7))]
+        b = [rng.choice("abc") for _ in range(rng.randint(0, 9))]
+        assert leakage.passage_distance(a, b, 2) == min(min(naive(a, b[:n]) for n in range(len(b) + 1)), 3)
 
 
-def test_equal_windows_collide_and_near_ones_reach_the_recall():
+@pytest.mark.parametrize("size", [6, 8, 12])
+@pytest.mark.parametrize("edits", [1, 2])
+def test_the_recall_holds_for_every_kind_and_place_of_an_edit(size, edits):
+    plan = leakage.WalkPlan(max_edits=edits)
+    n = leakage.repetitions_for(plan, size)
+    drawn = leakage.edited_pairs(size, plan.edits(size), 1000, np.random.default_rng(99))
+    hit = leakage.collisions(drawn, plan, size, n, 98).any(axis=0)
+    for case in {(kind, place) for kind, place, *_ in drawn}:
+        own = np.array([(kind, place) == case for kind, place, *_ in drawn])
+        assert hit[own].mean() >= plan.recall, case
+
+
+def test_equal_passages_collide_and_others_do_not():
     plan = leakage.WalkPlan()
-    n = leakage.repetitions_for(plan)
     rng = np.random.default_rng(9)
-    a = rng.integers(0, 1 << 63, size=(500, plan.window), dtype=np.uint64)
-    b = a.copy()
-    b[np.arange(500), rng.integers(0, plan.window, 500)] = 7
-    starts = np.arange(500) * plan.window
-    hit, far = np.zeros(500, bool), 0
-    for r in range(n):
-        x = leakage.signatures(a.ravel(), starts, plan, r, n)
-        assert (x == leakage.signatures(a.ravel().copy(), starts, plan, r, n)).all()
-        hit |= x == leakage.signatures(b.ravel(), starts, plan, r, n)
-        far += (x == np.roll(x, 1)).sum()
-    assert hit.mean() >= plan.recall - 0.05 and far == 0
+    a = rng.integers(0, 1 << 63, size=500 * 12, dtype=np.uint64)
+    starts = np.arange(500) * 12
+    for r in range(leakage.repetitions_for(plan, 12)):
+        anchors = starts + 11 * (r % 2)
+        x = leakage.signatures(a, anchors, plan, 12, r)
+        assert (x == leakage.signatures(a.copy(), anchors, plan, 12, r)).all() and len(set(x.tolist())) == 500
+
+
+def brute(docs, items, plan):
+    """Least edits between a window of the item and any passage of the document."""
+    out = {}
+    for d, t in docs:
+        w = leakage.words_of(t)
+        for i, u in items:
+            v = leakage.words_of(u)
+            n = min(len(v), plan.window)
+            if d is None or i is None or n < plan.least:
+                continue
+            most = plan.edits(n)
+            for a in [v[k : k + n] for k in range(len(v) - n + 1)]:
+                for k in range(len(w) - n + most + 1):
+                    e = min((naive(a, w[k : k + m]) for m in range(n - most, n + most + 1)), default=9) if set(a) & set(w[k : k + 3]) else 9
+                    if e <= most:
+                        out[d, i] = min(e, out.get((d, i), 9))
+    return out
+
+
+def test_near_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(3000)
+    items = [(i, " ".join(word() for _ in range(rng.choice([4, 6, 9, 12, 16])))) for i in range(24)]
+    docs = []
+    for d in range(300):
+        own = [word() for _ in range(rng.randint(0, 12))]
+        passage = rng.choice(items)[1].split()[:13]
+        at = rng.randrange(1, len(passage))
+        kind = d % 4
+        passage[at : at + (kind in (0, 2))] = [word()] if kind in (0, 1) else []
+        docs.append((d, " ".join(own + passage + [word() for _ in range(rng.randint(0, 6))])))
+    plan = leakage.WalkPlan()
+    expected = brute(docs, items, plan)
+    out = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").collect()
+    got = {(r.doc_id, r.item_id): r.edits for r in out}
+    assert set(got) <= set(expected) and all(got[p] >= expected[p] for p in got)
+    assert all(p in got for p, e in expected.items() if e == 0)
+    assert len(expected) > 150 and len(got) >= plan.recall * len(expected)
+
+
+def test_string_ids_and_nulls(spark):
+    text = " ".join("w%d" % k for k in range(14))
+    docs = spark.createDataFrame([("a", text), ("b", None), (None, text), ("a", text)], "item_id string, text string")
+    items = spark.createDataFrame([("x", text), (None, text), ("y", "w1 w2")], "item_id string, text string")
+    assert [tuple(r) for r in leakage.find_leaks(docs, "item_id", "text", items.withColumnRenamed("item_id", "i"), "i", "text").collect()] == [("a", "x", 0)]
+    nothing = leakage.find_leaks(docs, "item_id", "text", items.limit(0).withColumnRenamed("item_id", "i"), "i", "text")
+    assert nothing.count() == 0
 
 
 def test_documents(spark):
@@ -65,8 +121,8 @@ def test_documents(spark):
     expected = sorted((d, i) for d, g in of_docs.items() for i, h in of_items.items() if g & h)
     out = leakage.find_leaks(
         spark.createDataFrame(docs, "doc_id long, text string, item_id string"), "doc_id", "text",
-        spark.createDataFrame(items, "item_id long, text string"), "item_id", "text",
+        spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", leakage.WalkPlan(max_edits=0, least=12, walk=2.0),
     ).collect()
-    assert sorted((r.doc_id, r.item_id) for r in out if r.edits == 0) == expected
+    assert sorted((r.doc_id, r.item_id) for r in out) == expected and all(r.edits == 0 for r in out)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert leakage.find_leaks(empty, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").count() == 0
