@@ -3,42 +3,52 @@
 Fields of one column are written in several dialects: which characters part the
 pairs, what stands between key and value, what parts the values, whether double
 quotes enclose text.  The dialect of a field is chosen by minimum description
-length.  A first pass over all fields collects, under every dialect that a field
-admits, how often each key and each byte of a value occurs; from these counts
-come code lengths.  A second pass writes out every field by the dialect under
-which its keys, values and separators take the fewest bits.
-
-The tables sent to the tasks have a fixed size (key buckets and byte values),
-whatever the size of the input.  Both passes are narrow.
+length among all dialects that read it differently.
+
+A first pass over all fields counts, under every dialect of each field in equal
+shares, how often keys, bytes of values outside and inside quotes, and the events of
+the grammar occur: a piece with an inner mark, without one, or blank; another value, an
+empty one, or the end of the pair; a quoted or a bare value; quotes that enclose or
+are text.  All code lengths come
+from these counts: a separator costs what its event costs, and the same character
+read as text costs what that byte costs in a value.  A key is spelled out,
+or, if it is common, coded as itself after it was spelled once for all of its occurrences.
+A second pass counts anew, each field under the dialect that was then the cheapest;
+a third one writes out every field by the dialect under which it takes the fewest bits.
+
+Fields are parsed many at a time as arrays of bytes.  The tables sent to the tasks
+have a fixed size, whatever the size of the input.  All passes are narrow.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets that keys are hashed to for their counts.
-KEY_BUCKETS = 1 << 14
-#: Bits of a separator, and of an oddity: a pair without its inner mark, or a key
-#: that is no identifier. A double quote that encloses nothing counts as several.
-SEPARATOR_BITS, ODD_BITS, QUOTE_ODDS = 1.0, 24.0, 3
-
-_QUOTED = re.compile(r'"((?:[^"]|"")*)"')
-_INNER_SPACE = re.compile(r"[^\s;&,|=]\s+[^\s;&,|=]")
-_NO_KEY = re.compile(r'[\s"=;&,|]')
-_EQUALS = re.compile(r'((?:[^="]|"(?:[^"]|"")*")*)=')
+#: Bits of the buckets that keys are hashed to for their counts. Only a key whose bucket has ``KNOWN`` of all may be coded as itself.
+BUCKET_BITS, KNOWN = 12, 2.0**-8
+BUCKETS = 1 << BUCKET_BITS
+#: Bits of a hash beside its bucket. Each bit is counted for itself, so that the counts add up and show the hash of a bucket's common key.
+PRINT_BITS = 20
+#: Bytes parsed at once; a longer field is parsed by itself.
+PART_BYTES = 4 << 20
+#: Share of a field that is divided among its dialects when they are counted.
+WHOLE = 5040
+#: Events, in the groups of which one occurs at a time.
+INNER, NONE, BLANK, NEXT, EMPTY, END, QUOTED, BARE, ENCLOSE, PLAIN = range(10)
+_CHOICES = ((INNER, NONE, BLANK), (NEXT, EMPTY, END), (QUOTED, BARE), (ENCLOSE, PLAIN))
+_STOP = 0xFF  # after every field; no byte of UTF-8 text
+_QUOTE = ord('"')
 
 
 @dataclass(frozen=True)
@@ -53,222 +63,581 @@ class Dialect:
 
 @dataclass(frozen=True)
 class DialectSpace:
-    """The candidates. A dialect may use any non-empty set of ``pairs`` and any set of ``values``."""
+    """The candidates. A dialect may use any non-empty set of ``pairs`` and any set of ``values``; marks are ASCII, a space stands for any white space."""
 
     pairs: str = ";&"
     inner: str = "= "
     values: str = ",|"
 
-
-def _subsets(chars: str, text: str, least: int) -> list[str]:
-    """Subsets of the characters of ``chars`` found in ``text``, largest first."""
-    there = [c for c in chars if c in text]
-    sets = ["".join(s) for n in range(len(there), -1, -1) for s in itertools.combinations(there, n)]
-    return [s for s in sets if len(s) >= least] or [""]
+    @property
+    def marks(self) -> str:
+        return self.pairs + self.values + self.inner
 
 
-def admitted(text: str, space: DialectSpace) -> list[Dialect]:
-    """The dialects that can read ``text`` differently and well; the one that parts most comes first.
+@lru_cache(maxsize=4096)
+def dialects_of(there: tuple[frozenset[str], frozenset[str] | None], space: DialectSpace) -> tuple[Dialect, ...]:
+    """All dialects that read a field differently, by the marks it has outside quotes, and (with quotes in it) anywhere.
 
-    White space beside a mark is trimmed, so it can stand after a key only between
-    other characters.  Quotes are doubted only where one of them is left open.
+    The one that parts most comes first.
     """
-    inner = [c for c in space.inner if (c in text if c != " " else _INNER_SPACE.search(text))] or [space.inner[0]]
-    quotes = [True, False] if text.count('"') % 2 else [True]
-    return [
-        Dialect(p, i, v, q)
-        for q in quotes
-        for i in inner
-        for p in _subsets(space.pairs, text, 1)
-        for v in _subsets(space.values, text, 0)
-    ]
-
-
-@lru_cache(maxsize=256)
-def _piece_pattern(chars: str, quotes: bool) -> re.Pattern[str]:
-    out = re.escape(chars)
-    if not quotes:
-        return re.compile(f"[^{out}]+" if chars else r"(?s:.+)")
-    # an unclosed quote is a plain character
-    return re.compile(f'(?:[^"{out}]|"(?:[^"]|"")*"|")+')
-
-
-def _pieces(text: str, chars: str, quotes: bool) -> list[str]:
-    if not chars:
-        return [text]
-    return _piece_pattern(chars, quotes and '"' in text).findall(text)
-
-
-def _plain(text: str, quotes: bool) -> str:
-    """Trimmed; without the enclosing quotes, inside which spaces stay and a doubled quote is one."""
-    text = text.strip()
-    if quotes and '"' in text:
-        return _QUOTED.sub(lambda m: m[1].replace('""', '"'), text)
-    return text
-
-
-def parse_field(text: str, d: Dialect) -> tuple[list[tuple[str, list[str]]], int, int, list[str]]:
-    """Pairs of a key and its values (not the empty ones), separators used, oddities met, and the keys that are none."""
-    pairs, separators, odd, strange = [], 0, 0, []
-    for piece in _pieces(text, d.pairs, d.quotes):
-        piece = piece.strip()
-        if not piece:
+    out = []
+    for quotes, marks in zip((True, False), there):
+        if marks is None:
             continue
-        if d.inner == " ":
-            parts = piece.split(None, 1)
-            key, rest = parts[0], parts[1] if len(parts) > 1 else None
-        else:
-            m = _EQUALS.match(piece) if d.quotes and '"' in piece else None
-            at = m.end() - 1 if m else -1 if d.quotes and '"' in piece else piece.find(d.inner)
-            key, rest = (piece, None) if at < 0 else (piece[:at], piece[at + 1 :])
-        separators += 2
-        key = _plain(key, d.quotes)
-        if rest is None or _NO_KEY.search(key):
-            odd += 1
-            strange.append(key)
-        values = []
-        for v in _pieces(rest or "", d.values, d.quotes):
-            v = _plain(v, d.quotes)
-            if v:
-                separators += 1
-                values.append(v)
-                if not d.quotes:
-                    odd += QUOTE_ODDS * v.count('"')
-        pairs.append((key, values))
-    return pairs, separators, odd, strange
-
-
-def _bucket(key: str) -> int:
-    return zlib.crc32(key.encode()) % KEY_BUCKETS
-
-
-def is_empty(text: str | None) -> bool:
-    """Null, blank and a lone dot hold no value."""
-    return text is None or text.strip() in ("", ".")
-
-
-def _bucketed(keys: Counter[str]) -> np.ndarray:
-    out = np.zeros(KEY_BUCKETS, np.int64)
-    for key, n in keys.items():
-        out[_bucket(key)] += n
+
+        def subsets(chars: str, least: int) -> list[str]:
+            own = [c for c in chars if c in marks]
+            return ["".join(s) for n in range(len(own), min(least, len(own)) - 1, -1) for s in itertools.combinations(own, n)]
+
+        for inner in [c for c in space.inner if c in marks] or space.inner[0]:
+            out += [Dialect(p, inner, v, quotes) for p in subsets(space.pairs, 1) for v in subsets(space.values, 0)]
+    return tuple(out)
+
+
+_ASCII_WHITE = np.array([chr(b).isspace() and b < 128 for b in range(256)])
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Bytes of white space, in any script."""
+    out = _ASCII_WHITE[data]
+    if ((data >= 0xC2) & (data < _STOP)).any():
+        n = len(data)
+        a, b, c = data, np.append(data[1:], 0), np.append(data[2:], [0, 0])[:n]
+        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        three = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+        three |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        for k, starts in ((2, two), (3, three)):
+            for at in range(k):
+                out[at:] |= starts[: n - at]
     return out
 
 
-def count_codes(texts: Iterator[str], space: DialectSpace) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """How often each key bucket and each byte of a value occurs, under all admitted dialects; in parts to be summed."""
-    keys: Counter[str] = Counter()
-    bytes_ = np.zeros(256, np.int64)
-    for text in texts:
-        values = []
-        for d in admitted(text, space):
-            for key, own in parse_field(text, d)[0]:
-                keys[key] += 1
-                values += own
-        bytes_ += np.bincount(np.frombuffer("".join(values).encode(), np.uint8), minlength=256)
-        if len(keys) > KEY_BUCKETS:
-            yield _bucketed(keys), bytes_
-            keys, bytes_ = Counter(), np.zeros(256, np.int64)
-    yield _bucketed(keys), bytes_
+def _upto(values: np.ndarray) -> np.ndarray:
+    """Sums before each place, and of all."""
+    return np.concatenate([[0], np.cumsum(values)])
+
+
+@dataclass
+class Fields:
+    """Fields as bytes, each followed by a stop, and the number of the field of each byte."""
+
+    data: np.ndarray
+    of: np.ndarray
+    count: int
+
+    @classmethod
+    def of_texts(cls, texts: pa.Array) -> Fields:
+        """``texts`` without nulls."""
+        n = len(texts)
+        texts = pa.concat_arrays([texts.cast(pa.large_string())])
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        lengths = np.diff(offsets)
+        of = np.repeat(np.arange(n), lengths + 1)
+        data = np.full(len(raw) + n, _STOP, np.uint8)
+        data[np.arange(len(raw)) + np.repeat(np.arange(n), lengths)] = raw
+        return cls(data, of, n)
+
+    def arranged(self, order: np.ndarray) -> Fields:
+        """The fields in another order."""
+        starts = np.concatenate([[0], np.nonzero(self.data == _STOP)[0] + 1])
+        index, lengths = _stretch(starts[order], starts[order + 1] - 1)
+        return Fields(self.data[index], np.repeat(np.arange(len(order)), lengths), len(order))
+
+    def between(self, first: int, last: int) -> Fields:
+        """The fields from number ``first`` up to, not including, ``last``."""
+        lo, hi = np.searchsorted(self.of, [first, last])
+        return Fields(self.data[lo:hi], self.of[lo:hi] - first, last - first)
+
+    @cached_property
+    def stops(self) -> np.ndarray:
+        return np.nonzero(self.data == _STOP)[0]
+
+    @cached_property
+    def white(self) -> np.ndarray:
+        return _white(self.data)
+
+    @cached_property
+    def with_quotes(self) -> np.ndarray:
+        return np.bincount(self.of[self.data == _QUOTE], minlength=self.count) > 0
+
+    @cached_property
+    def sides(self) -> dict[bool, Side]:
+        return {quotes: Side(self, quotes) for quotes in (True, False)}
+
+    def kinds(self, space: DialectSpace) -> Iterator[tuple[tuple[Dialect, ...], np.ndarray, Fields]]:
+        """The fields in groups that have the same dialects, with their numbers."""
+        if not self.count:
+            return
+        code = np.zeros(self.count, np.int64)
+        enclosed = self.sides[True].enclosed
+        for k, mark in enumerate(space.marks):
+            at = np.nonzero(self.white if mark == " " else self.data == ord(mark))[0]
+            for side, own in enumerate((self.of[at[~enclosed[at]]], self.of[at])):
+                has = np.zeros(self.count, np.int64)
+                has[own] = 1
+                code |= has << (2 * k + side)
+        code = code << 1 | self.with_quotes
+        order = np.argsort(code, kind="stable")
+        arranged = self.arranged(order)
+        edges = [0, *(np.nonzero(np.diff(code[order]))[0] + 1).tolist(), self.count]
+        for first, last in zip(edges, edges[1:]):
+            bits = int(code[order[first]])
+            has = [frozenset(m for k, m in enumerate(space.marks) if bits >> (1 + 2 * k + side) & 1) for side in (0, 1)]
+            yield dialects_of((has[0], has[1] if bits & 1 else None), space), order[first:last], arranged.between(first, last)
+
+
+#: A number for each byte, and a base for their places; both only spread hashes.
+_LETTERS = np.random.default_rng(20240817).integers(0, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9FB21C651E98DF25
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(count: int) -> list[np.ndarray]:
+    """Powers of the base up to ``count`` at least, and their inverses."""
+    if not _POWERS or len(_POWERS[0]) <= count:
+        size = 1 << max(20, count.bit_length())
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]), dtype=np.uint64) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+class Side:
+    """The fields read with, or without, quotes that enclose: what is enclosed, what belongs to the text, and the next places of things."""
+
+    def __init__(self, fields: Fields, quotes: bool) -> None:
+        self.fields = fields
+        self._lengths = None
+        data = fields.data
+        self.paired = np.zeros(len(data), bool)
+        if quotes:
+            at = np.nonzero(data == _QUOTE)[0]
+            owner = fields.of[at]
+            final = np.append(owner[1:] != owner[:-1], True)[: len(at)]
+            odd = np.bincount(owner, minlength=fields.count) % 2 == 1
+            self.paired[at[~(final & odd[owner])]] = True  # a quote left open is text
+        self.enclosed = (np.cumsum(self.paired) & 1).astype(bool)
+        opening = self.paired & self.enclosed
+        closing = self.paired & ~self.enclosed
+        doubled = np.zeros(len(data), bool)
+        doubled[1:] = opening[1:] & closing[:-1]  # a doubled quote inside quotes stands for one
+        self.kept = (~self.paired | doubled) & (data != _STOP)
+
+    @cached_property
+    def dropped(self) -> np.ndarray:
+        """Places of the quotes that enclose and do not stay."""
+        return np.nonzero(self.paired & ~self.kept)[0]
+
+    @cached_property
+    def kept_upto(self) -> np.ndarray:
+        return _upto(self.kept)
+
+    def kept_between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Bytes of the text in stretches (ends included) within a field."""
+        size = last - first + 1
+        return size - (np.searchsorted(self.dropped, last, "right") - np.searchsorted(self.dropped, first)) if len(self.dropped) else size
+
+    def first_text(self, at: np.ndarray) -> np.ndarray:
+        """The first place from ``at`` on that is no white space."""
+        return self._move(at, 1)
+
+    def last_text(self, at: np.ndarray) -> np.ndarray:
+        """The last place up to ``at`` that is no white space; -1 without any."""
+        return self._move(at, -1)
+
+    def _move(self, at: np.ndarray, step: int) -> np.ndarray:
+        white = self.fields.white
+        at = at.copy()
+        for _ in range(3):
+            on = np.nonzero(white[at] & (at >= 0))[0]
+            if not len(on):
+                return at
+            at[on] += step
+        return (self._next_text if step > 0 else self._last_text)[at]
+
+    @cached_property
+    def _next_text(self) -> np.ndarray:
+        n = len(self.fields.white)
+        return np.minimum.accumulate(np.where(self.fields.white, n, np.arange(n))[::-1])[::-1]
+
+    @cached_property
+    def _last_text(self) -> np.ndarray:
+        # one more, so that place -1 gives -1
+        return np.append(np.maximum.accumulate(np.where(self.fields.white, -1, np.arange(len(self.fields.white)))), -1)
+
+    def lengths_upto(self, codes: CodeLengths) -> np.ndarray:
+        """Bits of the text before each place: bytes inside quotes by the one code, others by the other."""
+        if self._lengths is None:
+            data = self.fields.data
+            self._lengths = _upto(np.where(self.kept, np.where(self.enclosed, codes.quoted[data], codes.bare[data]), 0.0))
+        return self._lengths
+
+    @cached_property
+    def _hash_upto(self) -> np.ndarray:
+        rank = self.kept_upto[:-1]
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(self.kept, _LETTERS[self.fields.data] * _powers(len(rank))[0][rank], np.uint64(0)), dtype=np.uint64)])
+
+    def hash_of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the text of each stretch (ends included): its bucket, and ``PRINT_BITS`` further bits below."""
+        sums = (self._hash_upto[last + 1] - self._hash_upto[first]) * _powers(len(self.kept))[1][self.kept_upto[first]]
+        sums ^= sums >> np.uint64(32)
+        return (sums * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS - PRINT_BITS)
+
+    @cached_property
+    def _places(self) -> dict[str, np.ndarray]:
+        return {}
+
+    def places(self, marks: str) -> np.ndarray:
+        """Where any of ``marks`` stands outside quotes, in order."""
+        if marks not in self._places:
+            if len(marks) == 1:
+                there = self.fields.white if marks == " " else self.fields.data == ord(marks)
+                self._places[marks] = np.nonzero(there & ~self.enclosed)[0]
+            else:
+                self._places[marks] = np.sort(np.concatenate([self.places(m) for m in marks])) if marks else np.zeros(0, np.int64)
+        return self._places[marks]
+
+
+@dataclass
+class Parse:
+    """Fields under one dialect: pieces with their keys, and the values of the pieces. Ends are the last byte; a piece without a key ends before it starts."""
+
+    side: Side
+    key_from: np.ndarray
+    key_to: np.ndarray
+    has_inner: np.ndarray
+    value_from: np.ndarray
+    value_to: np.ndarray
+    value_piece: np.ndarray
+    empty_piece: np.ndarray  # the piece of each empty value
+    blank_field: np.ndarray  # the field of each blank piece
+    cut_at: np.ndarray  # the marks between values
+
+    @classmethod
+    def by(cls, fields: Fields, d: Dialect) -> Parse:
+        side = fields.sides[d.quotes]
+        ends = np.sort(np.concatenate([side.places(d.pairs), fields.stops]))
+        starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+        s = side.first_text(starts)
+        blank = s >= ends
+        blank_field = fields.of[ends[blank]]
+        s, e = s[~blank], side.last_text(ends[~blank] - 1)
+
+        marks = np.append(side.places(d.inner), len(fields.data))
+        mark = marks[np.searchsorted(marks, s)]
+        has = mark <= e
+        safe = np.where(has, mark, s)
+        key_to = np.where(has, np.where(safe > s, side.last_text(np.maximum(safe - 1, 0)), s - 1), e)
+        begin = safe + (d.inner != " ")
+
+        pieces = np.nonzero(has)[0]
+        first, last, piece = begin[pieces], e[pieces], pieces
+        cuts = side.places(d.values)
+        if len(cuts) and len(s):
+            owner = np.maximum(np.searchsorted(s, cuts, "right") - 1, 0)
+            inside = has[owner] & (cuts >= begin[owner]) & (cuts <= e[owner])
+            cuts, owner = cuts[inside], owner[inside]
+            order = np.argsort(np.concatenate([first, cuts + 1]), kind="stable")
+            first, piece = np.concatenate([first, cuts + 1])[order], np.concatenate([piece, owner])[order]
+            more = np.append(piece[1:] == piece[:-1], False)[: len(piece)]
+            last = np.where(more, np.append(first[1:], 0)[: len(first)] - 2, e[piece])
+        else:
+            cuts = cuts[:0]
+        a = side.first_text(np.minimum(first, len(fields.data) - 1))
+        z = side.last_text(np.maximum(last, 0))
+        full = (a <= last) & (z >= first)
+        a, z = np.where(full, a, 0), np.where(full, z, -1)
+        full &= side.kept_between(a, z) > 0
+        return cls(side, s, key_to, has, a[full], z[full], piece[full], piece[~full], blank_field, cuts)
+
+    @property
+    def piece_field(self) -> np.ndarray:
+        return self.side.fields.of[self.key_from]
+
+    @cached_property
+    def quoted(self) -> np.ndarray:
+        if not len(self.side.dropped):
+            return np.zeros(len(self.value_from), bool)
+        return self.side.kept_between(self.value_from, self.value_to) <= self.value_to - self.value_from
+
+    @cached_property
+    def key_hash(self) -> np.ndarray:
+        return self.side.hash_of(self.key_from, self.key_to)
+
+    def strings(self, first: np.ndarray, last: np.ndarray) -> pa.Array:
+        """The stretches as text, without the quotes that enclose."""
+        index, lengths = _stretch(first, last)
+        kept = self.side.kept[index]
+        offsets = _upto(kept)[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.side.fields.data[index[kept]]))).cast(pa.string())
+
+
+def _stretch(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of stretches (ends included), and their lengths."""
+    lengths = last - first + 1
+    return np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths), lengths
+
+
+class Hashed:
+    """Counts by bucket, and in it of each further bit of the hashes: the first row and the others."""
+
+    def __init__(self) -> None:
+        self.sums = np.zeros((PRINT_BITS + 1, BUCKETS), np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, hashes: np.ndarray, weight: int) -> None:
+        self.waiting.append((hashes, np.full(len(hashes), float(weight))))
+
+    def settle(self) -> None:
+        if self.waiting:
+            hashes = np.concatenate([h for h, _ in self.waiting]).astype(np.int64)
+            weights = np.concatenate([w for _, w in self.waiting])
+            self.waiting = []
+            bucket = hashes >> PRINT_BITS
+            self.sums[0] += np.bincount(bucket, weights, BUCKETS).astype(np.int64)
+            for bit in range(PRINT_BITS):
+                has = (hashes >> bit & 1).astype(bool)
+                self.sums[1 + bit] += np.bincount(bucket[has], weights[has], BUCKETS).astype(np.int64)
+
+
+class Counts:
+    """How often keys, bytes of values outside and inside quotes, and events occur."""
+
+    #: Columns of ``rows``.
+    WIDTH = BUCKETS + 256 + 256 + 10
+
+    def __init__(self) -> None:
+        self.keys = Hashed()
+        self.bare, self.quoted, self.events = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(10, np.int64)
+
+    def add(self, p: Parse, d: Dialect, weight: int) -> None:
+        self.keys.add(p.key_hash, weight)
+        data = p.side.fields.data
+        index, _ = _stretch(p.value_from, p.value_to)
+        index = index[p.side.kept[index]]
+        inside = p.side.enclosed[index]
+        self.bare += np.bincount(data[index[~inside]], minlength=256) * weight
+        self.quoted += np.bincount(data[index[inside]], minlength=256) * weight
+        # a pair has an event for each value, each empty one, and its end
+        found = {INNER: p.has_inner.sum(), NONE: (~p.has_inner).sum(), BLANK: len(p.blank_field), NEXT: len(p.value_from), EMPTY: len(p.empty_piece), END: len(p.key_from),
+                 QUOTED: p.quoted.sum(), BARE: (~p.quoted).sum(), ENCLOSE if d.quotes else PLAIN: p.side.fields.with_quotes.sum()}
+        for event, n in found.items():
+            self.events[event] += int(n) * weight
+
+    def settle(self) -> None:
+        self.keys.settle()
+
+    def rows(self) -> np.ndarray:
+        """A column for each bucket of keys, then for each byte and event, of which the first row holds the count."""
+        self.settle()
+        out = np.zeros((PRINT_BITS + 1, self.WIDTH), np.int64)
+        out[:, :BUCKETS] = self.keys.sums
+        out[0, BUCKETS:] = np.concatenate([self.bare, self.quoted, self.events])
+        return out
+
+
+def _order_bits(fields: Fields, at: np.ndarray, marks: str) -> np.ndarray:
+    """Bits that tell which of ``marks`` stand at the places ``at`` of each field: how many of each, and in what order."""
+    each = [np.bincount(fields.of[at[fields.data[at] == ord(m)]], minlength=fields.count) for m in marks]
+    total = sum(each)
+    factorial = _upto(np.log2(np.arange(1, int(total.max(initial=0)) + len(marks))))
+    ways = factorial[total + len(marks) - 1] - factorial[total] - factorial[len(marks) - 1]
+    return ways + factorial[total] - sum(factorial[n] for n in each)
+
+
+def count_dialects(fields: Fields, space: DialectSpace, counts: Counts) -> None:
+    """Count all fields under all of their dialects, in equal shares."""
+    for dialects, _, own in fields.kinds(space):
+        for d in dialects:
+            counts.add(Parse.by(own, d), d, max(1, WHOLE // len(dialects)))
+    counts.settle()
+
+
+@dataclass(frozen=True)
+class Codebook:
+    """Bits of the common key of a bucket, its hash, and how often it occurs; bits of any other key besides its letters."""
+
+    bits: np.ndarray
+    print: np.ndarray
+    times: np.ndarray
+    escape: float
+
+    @classmethod
+    def from_counts(cls, sums: np.ndarray) -> Codebook:
+        n = sums[0].astype(float)
+        share = n / max(n.sum(), 1)
+        known = share >= KNOWN
+        print_ = ((sums[1:] * 2 > sums[0]).astype(np.int64) << np.arange(PRINT_BITS)[:, None]).sum(axis=0)
+        return cls(np.where(known, -np.log2(np.maximum(share, KNOWN)), np.inf), print_, np.maximum(n / WHOLE, 1), -math.log2(max(1 - share[known].sum(), KNOWN)))
+
+    def lengths(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """The shorter way of each: as itself, after it was spelled once for all, or letter by letter."""
+        hashes = hashes.astype(np.int64)
+        bucket = hashes >> PRINT_BITS
+        itself = np.where(self.print[bucket] == hashes & (1 << PRINT_BITS) - 1, self.bits[bucket] + spelled / self.times[bucket], np.inf)
+        return np.minimum(itself, self.escape + spelled)
 
 
 @dataclass(frozen=True)
 class CodeLengths:
-    """Bits of a key by its bucket, and of a byte of a value."""
+    """Codes of keys; bits of bytes outside and inside quotes, and of events."""
 
-    key: list[float]
-    byte: list[float]
+    keys: Codebook
+    bare: np.ndarray
+    quoted: np.ndarray
+    events: np.ndarray
 
     @classmethod
-    def from_counts(cls, keys: np.ndarray, bytes_: np.ndarray) -> CodeLengths:
-        k = -np.log2((keys + 0.5) / (keys.sum() + 0.5 * len(keys)))
-        b = -np.log2((bytes_ + 0.5) / (bytes_.sum() + 0.5 * len(bytes_)))
-        # a byte that parts values is never cheaper as text than as a separator
-        return cls(k.tolist(), np.maximum(b, 2 * SEPARATOR_BITS).tolist())
-
-    def bits(self, pairs: list[tuple[str, list[str]]], separators: int, odd: int, strange: list[str]) -> float:
-        """Length of a parse. A key that is none is written out, so that no text is left uncoded."""
-        byte = self.byte.__getitem__
-        total = SEPARATOR_BITS * separators + ODD_BITS * odd
-        for text in strange:
-            total += sum(map(byte, text.encode()))
-        for key, values in pairs:
-            if not strange or key not in strange:
-                total += self.key[_bucket(key)]
-            for v in values:
-                total += sum(map(byte, v.encode()))
-        return total
-
-
-def cheapest(text: str, codes: CodeLengths, space: DialectSpace) -> list[tuple[str, list[str]]]:
-    """The pairs of ``text`` under its cheapest dialect; the first of equals."""
-    candidates = admitted(text, space)
-    if len(candidates) == 1:
-        return parse_field(text, candidates[0])[0]
-    best, least = [], math.inf
-    for d in candidates:
-        parsed = parse_field(text, d)
-        bits = codes.bits(*parsed)
-        if bits < least - 1e-6:
-            best, least = parsed[0], bits
-    return best
+    def from_counts(cls, rows: np.ndarray) -> CodeLengths:
+        """From the sums of ``Counts.rows``."""
+        bare, quoted, events = np.split(rows[0, BUCKETS:].astype(float), [256, 512])
 
+        def bits(n: np.ndarray) -> np.ndarray:
+            return -np.log2((n + WHOLE / 2) / (n.sum() + len(n) * WHOLE / 2))
 
-def learn_codes(df: DataFrame, column: str, space: DialectSpace = DialectSpace()) -> CodeLengths:
-    """First pass: code lengths from all fields of ``column``.
+        of_event = np.zeros(10)
+        for group in _CHOICES:
+            of_event[list(group)] = bits(events[list(group)])
+        return cls(Codebook.from_counts(rows[:, :BUCKETS]), bits(bare), bits(quoted), of_event)
+
+    @classmethod
+    def uniform(cls) -> CodeLengths:
+        """No key known, and every byte and event of a group as likely as any other."""
+        events = np.zeros(10)
+        for group in _CHOICES:
+            events[list(group)] = math.log2(len(group))
+        none = Codebook(np.full(BUCKETS, np.inf), np.zeros(BUCKETS, np.int64), np.ones(BUCKETS), 0.0)
+        return cls(none, np.full(256, 8.0), np.full(256, 8.0), events)
+
+    def bits(self, p: Parse, d: Dialect) -> np.ndarray:
+        """Length of each field."""
+        fields, event = p.side.fields, self.events
+        text = p.side.lengths_upto(self)
+        key = self.keys.lengths(p.key_hash, text[p.key_to + 1] - text[p.key_from] + event[END])
+        value = text[p.value_to + 1] - text[p.value_from] + np.where(p.quoted, event[QUOTED], event[BARE])
+        out = np.bincount(p.piece_field, key + np.where(p.has_inner, event[INNER], event[NONE]) + event[END], fields.count)
+        out += np.bincount(p.piece_field[p.value_piece], value + event[NEXT], fields.count)
+        out += np.bincount(p.piece_field[p.empty_piece], minlength=fields.count) * event[EMPTY]
+        out += np.bincount(p.blank_field, minlength=fields.count) * event[BLANK]
+        out += fields.with_quotes * (event[ENCLOSE] if d.quotes else event[PLAIN])
+        if len(d.pairs) > 1:
+            out += _order_bits(fields, p.side.places(d.pairs), d.pairs)
+        if len(d.values) > 1:
+            out += _order_bits(fields, p.cut_at, d.values)
+        return out
+
+
+def cheapest(fields: Fields, codes: CodeLengths, space: DialectSpace) -> Iterator[tuple[Dialect, np.ndarray, Fields]]:
+    """Each dialect with the fields for which it is the cheapest; the first of equals."""
+    for dialects, chosen, own in fields.kinds(space):
+        if len(dialects) == 1:
+            yield dialects[0], chosen, own
+            continue
+        best, least = np.zeros(len(chosen), np.int64), np.full(len(chosen), np.inf)
+        for k, d in enumerate(dialects):
+            bits = codes.bits(Parse.by(own, d), d)
+            better = bits < least - 1e-6
+            best[better], least[better] = k, bits[better]
+        for k, d in enumerate(dialects):
+            mine = np.nonzero(best == k)[0]
+            if len(mine):
+                yield d, chosen[mine], own if len(mine) == own.count else own.arranged(mine)
+
+
+def count_cheapest(fields: Fields, codes: CodeLengths, space: DialectSpace, counts: Counts) -> None:
+    """Count all fields under their cheapest dialects."""
+    for d, _, own in cheapest(fields, codes, space):
+        counts.add(Parse.by(own, d), d, WHOLE)
+    counts.settle()
+
+
+def values_of(fields: Fields, codes: CodeLengths, space: DialectSpace) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """(field, position, key, value) of all values, in parts that hold whole fields."""
+    for d, chosen, parts in cheapest(fields, codes, space):
+        p = Parse.by(parts, d)
+        own = p.piece_field[p.value_piece]
+        begins = np.searchsorted(own, np.arange(len(chosen)))
+        position = np.arange(len(own)) - begins[own] + 1
+        keys = p.strings(p.key_from, p.key_to).take(pa.array(p.value_piece))
+        yield chosen[own], position.astype(np.int32), keys, p.strings(p.value_from, p.value_to)
+
+
+def _fields_in(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Fields]]:
+    """The rows of a batch whose last column is not empty, and their fields, some megabytes at a time. Null, blank and a lone dot hold no value."""
+    text = batch.column(batch.num_columns - 1)
+    core = pc.utf8_trim_whitespace(text)
+    rows = pc.indices_nonzero(pc.fill_null(pc.and_(pc.not_equal(core, ""), pc.not_equal(core, ".")), False))
+    upto = _upto(pc.binary_length(text.take(rows)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + PART_BYTES, "right")) - 1)
+        part = rows.slice(at, end - at)
+        yield part, Fields.of_texts(text.take(part))
+        at = end
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to some megabytes, since much of the work is done once a batch."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= PART_BYTES:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def _codes_by(df: DataFrame, column: str, count: Callable[[Fields, Counts], None]) -> CodeLengths:
+    """Code lengths from the counts of a pass over all fields; the driver receives a fixed number of sums."""
+    names = [f"n{i}" for i in range(PRINT_BITS + 1)]
 
-    The driver receives at most ``KEY_BUCKETS + 256`` sums.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, bytes_ = np.zeros(KEY_BUCKETS, np.int64), np.zeros(256, np.int64)
-        for batch in batches:
-            for k, b in count_codes((t for t in batch.column(0).to_pylist() if not is_empty(t)), space):
-                keys += k
-                bytes_ += b
-        counts = np.concatenate([keys, bytes_])
-        at = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["code", "n"])
-
-    sums = df.select(F.col(f"`{column}`").cast("string").alias("t")).mapInArrow(run, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = np.zeros(KEY_BUCKETS + 256, np.int64)
-    for code, n in sums.collect():
-        counts[code] = n
-    return CodeLengths.from_counts(counts[:KEY_BUCKETS], counts[KEY_BUCKETS:])
+        counts = Counts()
+        for batch in _together(batches):
+            for _, fields in _fields_in(batch):
+                count(fields, counts)
+        own = counts.rows()
+        at = np.nonzero(own[0])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(own[i, at]) for i in range(PRINT_BITS + 1)]], names=["code", *names])
+
+    each = df.select(F.col(f"`{column}`").cast("string").alias("t")).mapInArrow(run, "code int, " + ", ".join(f"{n} bigint" for n in names))
+    sums = each.groupBy("code").agg(*[F.sum(F.col(n).cast("decimal(38,0)")).cast("double").alias(n) for n in names]).toArrow()
+    rows = np.zeros((PRINT_BITS + 1, Counts.WIDTH))
+    for i, n in enumerate(names):
+        rows[i, sums.column("code").to_numpy()] = sums.column(n).to_numpy()
+    return CodeLengths.from_counts(rows)
+
+
+def learn_codes(df: DataFrame, column: str, space: DialectSpace = DialectSpace()) -> CodeLengths:
+    """The first two passes: code lengths from all fields of ``column``. Runs two jobs."""
+    first = _codes_by(df, column, lambda fields, counts: count_dialects(fields, space, counts))
+    return _codes_by(df, column, lambda fields, counts: count_cheapest(fields, first, space, counts))
 
 
 def unpack_values(df: DataFrame, column: str, keep: list[str], space: DialectSpace = DialectSpace(), codes: CodeLengths | None = None) -> DataFrame:
     """``keep`` + ``value_pos``, ``attr_key``, ``attr_value``: a row per value of ``df[column]``.
 
-    ``value_pos`` counts the values of a field from 1 across its keys.  Defined
-    cases: a null, blank or lone-dot field and an empty value give no row and no
-    position; a key may occur again; an unclosed quote is plain text; a pair
-    without a mark after the key has no value; an empty table gives none;
-    repeated rows give repeated values; fields may be of any length.
+    ``codes`` is what ``learn_codes`` returned; without it these passes run when
+    this is called.  ``value_pos`` counts the values of a field from 1 across its keys.
+    Defined cases: a null, blank or lone-dot field and an empty value give no row and
+    no position; a key may occur again; an unclosed quote is plain text; a pair
+    without a mark after the key has no value; an empty table gives none; repeated
+    rows give repeated values; fields may be of any length.
     """
     codes = codes or learn_codes(df, column, space)
-    shared = df.sparkSession.sparkContext.broadcast(codes)  # fixed size, see KEY_BUCKETS
+    shared = df.sparkSession.sparkContext.broadcast(codes)  # fixed size, see BUCKETS
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").cast("string").alias("t"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("p", T.IntegerType()), T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = shared.value
-        for batch in batches:
-            row, pos, key, value = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if is_empty(text):
-                    continue
-                n = 0
-                for k, values in cheapest(text, lengths, space):
-                    for v in values:
-                        n += 1
-                        row.append(i)
-                        pos.append(n)
-                        key.append(k)
-                        value.append(v)
-            taken = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*[c.take(taken) for c in batch.columns[:-1]], pa.array(pos, pa.int32()), pa.array(key, pa.string()), pa.array(value, pa.string())],
-                names=[f.name for f in schema.fields],
-            )
+        for batch in _together(batches):
+            for rows, fields in _fields_in(batch):
+                for of, position, key, value in values_of(fields, shared.value, space):
+                    taken = rows.take(pa.array(of))
+                    yield pa.RecordBatch.from_arrays([*[c.take(taken) for c in batch.columns[:-1]], pa.array(position), key, value], names=[f.name for f in schema.fields])
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("p").alias("value_pos"), F.col("k").alias("attr_key"), F.col("v").alias("attr_value"))
