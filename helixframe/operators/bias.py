@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
+from helixframe.operators.periods import SHARD
+from helixframe.operators.shards import around
 
 
 def kmer_bias(seqs: DataFrame, k: int, reach: int, seq: str = "seq") -> DataFrame:
@@ -31,16 +33,15 @@ def baseline_kmers(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return c.crossJoin(F.broadcast(total)).select("kmer", (F.col("n") / F.col("t")).alias("freq"))  # one row
 
 
-def neighbour_relative(cov: DataFrame, keys: list[str], reach: int = 10) -> DataFrame:
+def neighbour_relative(cov: DataFrame, keys: list[str], reach: int = 10, shard: int = SHARD) -> DataFrame:
     """Value over the mean of the covered positions within ``reach``, its own included."""
-    w = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-reach, reach)
-    return cov.withColumn("relative", F.col("value") / F.avg("value").over(w))
+    out = around(cov, keys, "pos", reach, {"_mean": F.avg("value")}, shard)
+    return out.withColumn("relative", F.col("value") / F.col("_mean")).drop("_mean")
 
 
-def density(cov: DataFrame, keys: list[str], reach: int = 25) -> DataFrame:
+def density(cov: DataFrame, keys: list[str], reach: int = 25, shard: int = SHARD) -> DataFrame:
     """Covered positions within ``reach`` of each."""
-    w = Window.partitionBy(*keys).orderBy("pos").rangeBetween(-reach, reach)
-    return cov.withColumn("near", F.count(F.lit(1)).over(w))
+    return around(cov, keys, "pos", reach, {"near": F.count(F.lit(1))}, shard)
 
 
 def sampled_baseline(cov: DataFrame, keys: list[str], share: float, seed: int, reach: int = 25) -> DataFrame:

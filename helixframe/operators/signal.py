@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.coverage import KEYS
-from helixframe.operators.periods import merge_periods
+from helixframe.operators.periods import SHARD, merge_periods
+from helixframe.operators.shards import around, numbered
 
 
 def kernel(shape: str = "laplace", bandwidth: float = 15, sigma: float = 3) -> list[tuple[int, float]]:
@@ -118,7 +119,7 @@ def flank_windows(sites: DataFrame, reach: int) -> DataFrame:
     return sites.select("*", F.inline(F.array(up, down)))
 
 
-def moving_average(df: DataFrame, by: list[str], order: str, value: str, reach: int) -> DataFrame:
-    """Mean over ``reach`` rows to each side."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-reach, reach)
-    return df.withColumn("smooth", F.avg(value).over(w))
+def moving_average(df: DataFrame, by: list[str], order: str, value: str, reach: int, shard: int = SHARD, partitions: int | None = None) -> DataFrame:
+    """Mean over ``reach`` rows to each side. Rows are numbered, and numbers put in shards, so no window holds a group."""
+    rows = numbered(df, by, [order], "_number", partitions)
+    return around(rows, by, "_number", reach, {"smooth": F.avg(value)}, shard).drop("_number")

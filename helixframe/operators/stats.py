@@ -8,12 +8,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Order-preserving buckets of [0, 1] for ranks of p-values.
-P_BUCKETS = 4096
+from helixframe.operators.shards import carried, ranged, running_sum
+
+#: Salts over which rows of one place are cut before they meet.
+SALTS = 32
 
 
 def fold_change(site: Column, flank: Column) -> Column:
-    return (site + 1) / (flank + 1)
+    """(site + 1) / (flank + 1); null where either is null or NaN."""
+    return (F.nanvl(site, F.lit(None)) + 1) / (F.nanvl(flank, F.lit(None)) + 1)
 
 
 def fisher(p: Column, q: Column) -> Column:
@@ -22,48 +25,48 @@ def fisher(p: Column, q: Column) -> Column:
     return F.when(t == 0, F.lit(0.0)).otherwise(t * (1 - F.log(t)))
 
 
-def ecdf(test: DataFrame, null: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+def ecdf(test: DataFrame, null: DataFrame, by: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
     """``test`` with ``name``: the share of ``null`` values of the same ``by`` that are at most the row's; null without any.
 
     Both sides are first counted by distinct value, map-side, so that equal values of
-    a hot group take one row; the running count then needs one row a value.
+    a hot group take one row; the running count works on range partitions.
     """
     counts = null.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     asked = test.where(F.col(value).isNotNull()).select(*by, value).distinct().withColumn("_n", F.lit(0).cast("bigint"))
     every = counts.unionByName(asked).groupBy(*by, value).agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*by)
-    run = every.withColumn("_c", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_n").over(w))
-    shares = run.select(*by, value, F.when(F.col("_t") > 0, F.col("_c") / F.col("_t")).alias(name))
+    run = running_sum(every, by, value, "_n", "_c", partitions)
+    shares = run.select(*by, value, F.when(F.col("total__c") > 0, F.col("_c") / F.col("total__c")).alias(name))
     return test.join(shares, [*by, value], "left")
 
 
-def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str = "fdr") -> DataFrame:
+def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str = "fdr", partitions: int | None = None) -> DataFrame:
     """Adjusted p-values within ``by``; null p stays null.
 
-    Ranks come from counts by distinct p in order-preserving buckets; across
-    buckets one row a bucket is carried, so no window holds a whole group.
+    Ranks come from counts by distinct p in range partitions, which follow the
+    values wherever they crowd; across partitions one row is carried.
     """
-    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_b", F.least(F.floor(F.col("_p") * P_BUCKETS), F.lit(P_BUCKETS - 1)).cast("int"))
-    inner = Window.partitionBy(*by, "_b").orderBy("_p")
-    local = counts.withColumn("_r", F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
-    outer = Window.partitionBy(*by).orderBy("_b")
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_s").over(Window.partitionBy(*by)))
-    raw = local.join(sums.drop("_s"), [*by, "_b"]).withColumn("_q", F.col("_p") * F.col("_m") / (F.col("_r") + F.col("_before")))
-    least = raw.groupBy(*by, "_b").agg(F.min("_q").alias("_l"))
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    r = carried(ranged(counts, by, ["_v"], partitions), by, {"_before": "_n"})
+    inner = Window.partitionBy(*by, "_p").orderBy("_v")
+    rank = F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    raw = r.withColumn("_q", F.col("_v") * F.col("total__before") / rank)
+    least = raw.groupBy(*by, "_p").agg(F.min("_q").alias("_l"))
+    outer = Window.partitionBy(*by).orderBy("_p")  # one row a partition
     later = least.withColumn("_later", F.min("_l").over(outer.rowsBetween(1, Window.unboundedFollowing))).drop("_l")
-    down = inner.rowsBetween(0, Window.unboundedFollowing)
-    done = raw.join(later, [*by, "_b"]).select(*by, F.col("_p").alias(p), F.least(F.lit(1.0), F.min("_q").over(down), F.col("_later")).alias(name))
+    done = raw.join(later, [*by, "_p"]).select(*by, F.col("_v").alias(p), F.least(F.lit(1.0), F.min("_q").over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col("_later")).alias(name))
     return df.join(done, [*by, p], "left")
 
 
 def spaced(df: DataFrame, by: list[str], pos: str, order: list[Column], gap: int = 5) -> DataFrame:
     """Greedy choice per ``by``: in ``order``, a row is kept if it lies more than ``gap`` from all kept ones.
 
-    Rows are first cut at holes wider than ``gap``, which no choice crosses; each
-    cluster is then settled on its own.
+    Of rows at one place only the first can be kept, so each place is cut to one row,
+    by salts first.  Places are then parted at holes wider than ``gap``, which no
+    choice crosses; each cluster is settled on its own.
     """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+    for extra in ([salt], []):
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by, pos, *extra).orderBy(*order))).where("_r = 1").drop("_r")
     w = Window.partitionBy(*by).orderBy(pos)
     cut = df.withColumn("_new", F.when(F.col(pos) - F.lag(pos).over(w) <= gap, 0).otherwise(1))
     cut = cut.withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -75,12 +78,12 @@ def spaced(df: DataFrame, by: list[str], pos: str, order: list[Column], gap: int
     return ranked.join(chosen, [*by, "_k", "_o"]).select(*df.columns)
 
 
-def ks_distance(df: DataFrame, group: str, value: str) -> DataFrame:
+def ks_distance(df: DataFrame, group: str, value: str, partitions: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of the two values of boolean ``group``, with its asymptotic p-value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(group).alias("a"), F.count_if(~F.col(group)).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    d = counts.withColumn("ca", F.sum("a").over(w)).withColumn("cb", F.sum("b").over(w)).crossJoin(F.broadcast(totals))  # one row
+    r = carried(ranged(counts.withColumn("_g", F.lit(0)), ["_g"], [value], partitions), ["_g"], {"xa": "a", "xb": "b"})
+    w = Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    d = r.select((F.sum("a").over(w) + F.col("xa")).alias("ca"), (F.sum("b").over(w) + F.col("xb")).alias("cb"), F.col("total_xa").alias("na"), F.col("total_xb").alias("nb"))
     out = d.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("distance"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     root = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("distance")
     terms = [((-1) ** (k - 1)) * F.exp(-2 * k * k * root * root) for k in range(1, 101)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import annotation, bias, coverage, intervals, quant, reads, signal, stats
+from helixframe.operators import annotation, bias, coverage, intervals, quant, reads, shards, signal, stats
 from helixframe.plans.views import view, with_views
 
 QUERIES, SQL = {}, {}
@@ -374,9 +374,7 @@ def _(v):
 
 @query("st_coordinate_sort", "SELECT chrom, strand, pos, row_number() OVER (PARTITION BY chrom, strand ORDER BY pos) AS place FROM v_end")
 def _(v):
-    from pyspark.sql import Window
-
-    return v("v_end").select("chrom", "strand", "pos", F.row_number().over(Window.partitionBy("chrom", "strand").orderBy("pos")).cast("bigint").alias("place"))
+    return shards.numbered(v("v_end").select("chrom", "strand", "pos"), ["chrom", "strand"], ["pos"], "place")
 
 
 # --- reads and bias ---
