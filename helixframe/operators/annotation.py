@@ -44,7 +44,7 @@ def _overlaps(a: str, b: str) -> Column:
 
 
 def compare_transcripts(t: DataFrame) -> DataFrame:
-    """Pairs of overlapping transcripts of a gene, ``a`` before ``b`` by name, with how they relate.
+    """Pairs of overlapping transcripts of a gene, each in both orders, with how ``a`` relates to ``b``.
 
     ``same_chain``: equal introns.  ``truncation``: the introns of a are some
     successive ones of b, its ends lie strictly inside b's, and none of them in an
@@ -52,7 +52,7 @@ def compare_transcripts(t: DataFrame) -> DataFrame:
     first or the last exons overlap.  Then the differences of the ends and counts.
     """
     a, b = t.alias("a"), t.alias("b")
-    p = a.join(b, (F.col("a.gene") == F.col("b.gene")) & (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.strand") == F.col("b.strand")) & (F.col("a.tx") < F.col("b.tx")) & _overlaps("a", "b"))
+    p = a.join(b, (F.col("a.gene") == F.col("b.gene")) & (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.strand") == F.col("b.strand")) & (F.col("a.tx") != F.col("b.tx")) & _overlaps("a", "b"))
     ai, bi = F.col("a.introns"), F.col("b.introns")
     shared = F.size(F.array_intersect(ai, bi))
     in_intron = F.exists(bi, lambda i: ((F.col("a.start") > i["left"]) & (F.col("a.start") < i["right"])) | ((F.col("a.end") > i["left"]) & (F.col("a.end") < i["right"])))
@@ -74,8 +74,8 @@ def compare_transcripts(t: DataFrame) -> DataFrame:
 
 
 def mergeable(pairs: DataFrame, mode: str = "strict") -> DataFrame:
-    """Pairs that may be merged: equal chains that touch at an end, and for ``any`` truncations and contained ones too."""
-    keep = F.col("same_chain") & F.col("terminal")
+    """Pairs whose ``a`` may be merged into ``b``: equal chains that touch at an end (once, the first name as ``a``), and for ``any`` truncations and contained ones too."""
+    keep = F.col("same_chain") & F.col("terminal") & (F.col("a_tx") < F.col("b_tx"))
     return pairs.where(keep if mode == "strict" else keep | F.col("truncation") | F.col("contained"))
 
 

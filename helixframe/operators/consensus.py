@@ -15,12 +15,8 @@ from pyspark.sql import functions as F
 from helixframe.operators.intervals import cluster
 
 
-def _resolve(starts: list[int], ends: list[int], scores: list[float]) -> list[tuple[int, int, int, float]]:
-    weight: dict[tuple[int, int], list[float]] = {}
-    for s, e, x in zip(starts, ends, scores):
-        own = weight.setdefault((s, e), [0, 0.0])
-        own[0] += 1
-        own[1] += x
+def _resolve(starts: list[int], ends: list[int], counts: list[int], scores: list[float]) -> list[tuple[int, int, int, float]]:
+    weight = {(s, e): (n, x) for s, e, n, x in zip(starts, ends, counts, scores)}
     out: list[tuple[int, int, int, float]] = []
     at = min(starts)
     rest = dict(weight)
@@ -44,10 +40,10 @@ def consensus(features: DataFrame, keys: list[str], score: str = "score") -> Dat
     bounds = c.groupBy(*group).agg(F.max("start").alias("s"), F.min("end").alias("e"), F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
     simple = bounds.where("s < e").select(*keys, "start", "end", "n", "score")
     # equal intervals are counted before the group is gathered, so copies do not swell it
-    hard = c.join(bounds.where("s >= e").select(*group), group, "left_semi").select(*group, "start", "end", "score")
+    hard = c.join(bounds.where("s >= e").select(*group), group, "left_semi").groupBy(*group, "start", "end").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _resolve(pdf["start"].tolist(), pdf["end"].tolist(), pdf["score"].tolist())
+        rows = _resolve(pdf["start"].tolist(), pdf["end"].tolist(), pdf["n"].tolist(), pdf["score"].tolist())
         out = pd.DataFrame(rows, columns=["start", "end", "n", "score"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])

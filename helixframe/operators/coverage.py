@@ -30,17 +30,17 @@ def combine(parts: list[tuple[DataFrame, float]], keys: list[str] = KEYS) -> Dat
     return reduce(DataFrame.unionByName, scaled).groupBy(*keys, "pos").agg(F.sum("value").alias("value")).where("value <> 0")
 
 
-def _equal_runs(c: DataFrame, keys: list[str], shard: int) -> DataFrame:
-    """Maximal runs of successive positions of equal ``value``, found within shards and joined across their borders."""
+def _equal_runs(c: DataFrame, keys: list[str], shard: int, values: list[str] = ["value"]) -> DataFrame:
+    """Maximal runs of successive positions of equal ``values``, found within shards and joined across their borders."""
     c = c.withColumn("h", _shard(F.col("pos"), shard))
-    w = Window.partitionBy(*keys, "h", "value").orderBy("pos")
-    local = c.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy(*keys, "h", "value", "g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    w = Window.partitionBy(*keys, "h", *values).orderBy("pos")
+    local = c.withColumn("g", F.col("pos") - F.row_number().over(w)).groupBy(*keys, "h", *values, "g").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     touches = (F.pmod("start", F.lit(shard)) == 0) | (F.pmod("end", F.lit(shard)) == 0)
     edge = local.where(touches)
-    v = Window.partitionBy(*keys, "value").orderBy("start")
+    v = Window.partitionBy(*keys, *values).orderBy("start")
     edge = edge.withColumn("opens", F.when(F.col("start") == F.lag("end").over(v), 0).otherwise(1)).withColumn("g", F.sum("opens").over(v))
-    joined = edge.groupBy(*keys, "value", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    columns = [*keys, "start", "end", "value"]
+    joined = edge.groupBy(*keys, *values, "g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    columns = [*keys, "start", "end", *values]
     return local.where(~touches).select(*columns).unionByName(joined.select(*columns))
 
 
@@ -57,10 +57,9 @@ def encode_runs(cov: DataFrame, keys: list[str] = KEYS, digits: int | None = 2,
 def pivot_runs(cov: DataFrame, key: str, names: list[str], keys: list[str] = KEYS, shard: int = SHARD) -> DataFrame:
     """Several coverages side by side, one column for each of ``names``; maximal runs of equal rows."""
     wide = cov.groupBy(*keys, "pos").pivot(key, names).agg(F.sum("value")).na.fill(0.0, names)
-    packed = wide.select(*keys, "pos", F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value"))
-    out = _equal_runs(packed, keys, shard)
-    parts = F.split("value", "\t")
-    return out.select(*keys, "start", "end", *[parts[i].cast("double").alias(n) for i, n in enumerate(names)])
+    inner = [f"v{i}" for i in range(len(names))]
+    out = _equal_runs(wide.select(*keys, "pos", *[F.col(f"`{n}`").alias(i) for n, i in zip(names, inner)]), keys, shard, inner)
+    return out.select(*keys, "start", "end", *[F.col(i).alias(n) for n, i in zip(names, inner)])
 
 
 def end_counts(reads: DataFrame, end: str = "5p", keys: list[str] = KEYS) -> DataFrame:

@@ -14,11 +14,14 @@ def decode_sam(lines: DataFrame, text: str = "value") -> DataFrame:
 
     Position is 0-based; ``weight`` is the tag XW, 1 without it; ``strand`` is that
     of the fragment, so the second mate is turned round; ``primary`` excludes
-    secondary and supplementary lines.
+    secondary and supplementary lines.  Tags are kept whole; of a tag given twice
+    the first counts.
     """
     f = F.split(F.col(text), "\t")
     body = lines.where(~F.col(text).startswith("@") & (F.size(f) >= 11))
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 6, 1_000_000).alias("v"))))
+    given = F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6)).alias("v")))
+    firsts = F.filter(given, lambda t, i: (i == 0) | ~F.exists(F.slice(given, 1, i), lambda before: before["k"] == t["k"]))
+    tags = F.map_from_entries(firsts)
     out = body.select(
         F.get(f, F.lit(0)).alias("read_id"), F.get(f, F.lit(1)).cast("int").alias("flag"), F.get(f, F.lit(2)).alias("chrom"), (F.get(f, F.lit(3)).cast("bigint") - 1).alias("pos"), F.get(f, F.lit(4)).cast("int").alias("mapq"),
         F.get(f, F.lit(5)).alias("cigar"), F.get(f, F.lit(6)).alias("mate_chrom"), (F.get(f, F.lit(7)).cast("bigint") - 1).alias("mate_pos"), F.get(f, F.lit(9)).alias("seq"), F.get(f, F.lit(10)).alias("qual"), tags.alias("tags"),

@@ -23,9 +23,10 @@ BLOCK_BYTES = 32 << 20
 
 #: Patterns of the castable types; a cell that does not match fails the cast.
 CAST_PATTERNS = {
-    "bigint": r"^[+-]?[0-9]{1,18}$",
+    "bigint": r"^[+-]?[0-9]+$",
     "double": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$",
 }
+_ARROW = {"bigint": pa.int64(), "double": pa.float64()}
 
 
 @dataclass(frozen=True)
@@ -100,6 +101,19 @@ def _structural(lines: pa.Array, fmt: LineFormat) -> tuple[list[pa.Array], list[
     return columns, kept, rejected
 
 
+def cast_column(values: pa.Array, kind: str) -> pa.Array:
+    """Cells as ``bigint`` or ``double``; null where a cell is no such number or does not fit."""
+    good = pc.match_substring_regex(values, CAST_PATTERNS[kind])
+    if kind == "bigint":
+        minus = pc.starts_with(values, "-")
+        digits = pc.replace_substring_regex(values, "^[+-]?0*", "")
+        size = pc.utf8_length(digits)
+        limit = pc.if_else(minus, "9223372036854775808", "9223372036854775807")
+        good = pc.and_(good, pc.or_(pc.less(size, 19), pc.and_(pc.equal(size, 19), pc.less_equal(digits, limit))))
+        values = pc.replace_substring_regex(values, "^[+]", "")
+    return pc.cast(pc.if_else(good, values, pa.scalar(None, values.type)), _ARROW[kind])
+
+
 def parse_block(lines: pa.Array, fmt: LineFormat) -> tuple[pa.Array, list[pa.Array], pa.Array]:
     """(reason, fields, bad field), each as long as ``lines``.
 
@@ -115,7 +129,7 @@ def parse_block(lines: pa.Array, fmt: LineFormat) -> tuple[pa.Array, list[pa.Arr
     sane = pc.match_substring_regex(text, f"^{cell}(?:{delimiter}{cell})*$")
     reason: list[str | None] = [None] * n
     culprit: list[str | None] = [None] * n
-    fields: list[list[str | None]] = [[None] * n for _ in fmt.fields]
+    fields = [pa.nulls(n, _ARROW.get(fmt.casts.get(f, ""), pa.string())) for f in fmt.fields]
     for i, (skip, ok) in enumerate(zip(skipped.to_pylist(), sane.to_pylist())):
         reason[i] = "skip" if skip else None if ok else "quoting"
     todo = [i for i in range(n) if reason[i] is None]
@@ -129,15 +143,17 @@ def parse_block(lines: pa.Array, fmt: LineFormat) -> tuple[pa.Array, list[pa.Arr
             for name, values in zip(fmt.fields, trimmed):
                 same = pc.equal(pc.utf8_lower(values), name.lower())
                 header = same if header is None else pc.and_(header, same)
-        fails = {}
+        fails, parsed = {}, []
         for name, values in zip(fmt.fields, trimmed):
-            for pattern in (fmt.patterns.get(name), CAST_PATTERNS.get(fmt.casts.get(name, ""))):
-                if pattern:
-                    miss = pc.invert(pc.match_substring_regex(values, pattern))
-                    fails[name] = pc.or_(fails[name], miss) if name in fails else miss
+            kind = fmt.casts.get(name)
+            parsed.append(cast_column(values, kind) if kind else values)
+            misses = [pc.invert(pc.match_substring_regex(values, fmt.patterns[name]))] if name in fmt.patterns else []
+            misses += [pc.is_null(parsed[-1])] if kind else []
+            if misses:
+                fails[name] = misses[0] if len(misses) == 1 else pc.or_(*misses)
         masks = {name: m.to_pylist() for name, m in fails.items()}
         heads = header.to_pylist() if header is not None else [False] * len(kept)
-        texts = [t.to_pylist() for t in trimmed]
+        source: list[int | None] = [None] * n  # the parsed row of each line
         for j, i in enumerate(kept):
             at = todo[i]
             if heads[j]:
@@ -148,9 +164,10 @@ def parse_block(lines: pa.Array, fmt: LineFormat) -> tuple[pa.Array, list[pa.Arr
                     reason[at], culprit[at] = "invalid_value", name
                     break
             else:
-                for out, values in zip(fields, texts):
-                    out[at] = values[j]
-    return pa.array(reason, pa.string()), [pa.array(f, pa.string()) for f in fields], pa.array(culprit, pa.string())
+                source[at] = j
+        rows = pa.array(source, pa.int64())
+        fields = [values.take(rows) for values in parsed]
+    return pa.array(reason, pa.string()), fields, pa.array(culprit, pa.string())
 
 
 def parse_lines(df: DataFrame, line: str, keep: list[str], fmt: LineFormat) -> DataFrame:
@@ -167,7 +184,7 @@ def parse_lines(df: DataFrame, line: str, keep: list[str], fmt: LineFormat) -> D
     spark_types = {"bigint": T.LongType(), "double": T.DoubleType()}
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{line}`").cast("string").alias("line"))
     schema = T.StructType(
-        [*source.schema.fields[:-1], *[T.StructField(f"f{i}", T.StringType()) for i in range(len(fmt.fields))],
+        [*source.schema.fields[:-1], *[T.StructField(f"f{i}", spark_types.get(fmt.casts.get(f, ""), T.StringType())) for i, f in enumerate(fmt.fields)],
          T.StructField("reason", T.StringType()), T.StructField("bad_field", T.StringType())]
     )
 
@@ -185,7 +202,7 @@ def parse_lines(df: DataFrame, line: str, keep: list[str], fmt: LineFormat) -> D
                 yield out.filter(pc.fill_null(pc.not_equal(reason, "skip"), True))
 
     parsed = source.mapInArrow(run, schema)
-    record = F.struct(*[F.col(f"f{i}").cast(spark_types.get(fmt.casts.get(f, ""), T.StringType())).alias(f) for i, f in enumerate(fmt.fields)])
+    record = F.struct(*[F.col(f"f{i}").alias(f) for i, f in enumerate(fmt.fields)])
     return parsed.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
         F.when(F.col("reason").isNull(), record).alias("record"), "reason", "bad_field",

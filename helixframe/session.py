@@ -70,7 +70,7 @@ def input_bytes(df: DataFrame) -> int:
     return df.count() * df._jdf.schema().defaultSize() if size is None else size
 
 
-def partitions_for(df: DataFrame, bytes_each: int, size: int | None = None, most: int | None = None) -> int:
+def partitions_for(df: DataFrame, bytes_each: int, size: int | None = None) -> int:
     """Partitions of about ``bytes_each`` for ``df``, at least the shuffle default; ``size`` if it is known already."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil((input_bytes(df) if size is None else size) / bytes_each))

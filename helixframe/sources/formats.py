@@ -124,7 +124,8 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     """The nine columns, 1-based and closed, with ``attributes`` as a map of GFF3 or GTF keys; other lines are left out."""
     f = F.split("value", "\t")
     body = _lines(spark, path).where(F.size(f) == 9)
-    pairs = F.filter(F.split(F.get(f, F.lit(8)), ";"), lambda x: F.trim(x) != "")
+    # a semicolon inside quotes belongs to the value
+    pairs = F.filter(F.regexp_extract_all(F.get(f, F.lit(8)), F.lit('((?:[^;"]|"[^"]*"|")+)'), F.lit(1)), lambda x: F.trim(x) != "")
 
     def entry(x):
         x = F.trim(x)

@@ -24,10 +24,8 @@ def write_bedgraph(runs: DataFrame, path: str) -> None:
 
 def write_multi_bedgraph(runs: DataFrame, names: list[str], path: str) -> None:
     """Several columns; every part begins with the header, so that it can be read by itself."""
-    body = runs.orderBy("chrom", "start").select(tab("chrom", "start", "end", *names).alias("value"))
-    body.write.mode("overwrite").option("header", False).text(path)
-    head = runs.sparkSession.createDataFrame([("#" + "\t".join(["chrom", "start", "end", *names]),)], "value string")
-    head.write.mode("append").text(path)
+    body = runs.orderBy("chrom", "start").select(F.coalesce(F.col("chrom"), F.lit(".")).alias("#chrom"), *[F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in ("start", "end", *names)])
+    body.write.mode("overwrite").options(sep="\t", header=True, quote="", escape="").csv(path)
 
 
 def write_bed(features: DataFrame, path: str, extra: list[str] = []) -> None:
