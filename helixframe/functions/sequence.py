@@ -103,10 +103,11 @@ def gc_content(s: Column) -> Column:
     return F.length(F.regexp_replace(F.upper(s), "[^GC]", "")) / F.nullif(F.length(s), F.lit(0))
 
 
-def shuffle_sequence(s: Column, seed: int) -> Column:
+def shuffle_sequence(s: Column, seed: int | Column) -> Column:
     """A random permutation of the letters, the same on every run for the same seed and letters."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
     letters = F.split(s, "")
-    keyed = F.transform(_starts(s, 1), lambda i: F.struct(F.xxhash64(F.lit(seed), s, i).alias("k"), F.substring(s, i, F.lit(1)).alias("c")))
+    keyed = F.transform(_starts(s, 1), lambda i: F.struct(F.md5(F.concat_ws("|", seed.cast("string"), s, i)).alias("k"), F.substring(s, i, F.lit(1)).alias("c")))
     return F.when(F.size(letters) > 0, F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
 
 

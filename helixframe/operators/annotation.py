@@ -114,7 +114,9 @@ def classify(features: DataFrame, exons: DataFrame, upstream: int = 500, width:
     # each of these is read by several rules
     f = materialize(features.select("fid", *keys, "start", "end"), "features")
     exons = materialize(exons.select(*keys, "gene", "tx", "start", "end"), "exons")
-    named_exons = F.xxhash64(*keys, "start", "end", "gene").alias("eid")
+    # the exon's number settles ties; made from the exon itself, it is the same on every run
+    text = F.concat(F.col("chrom"), F.col("strand"), F.lit("|"), F.col("start"), F.lit("|"), F.col("end"), F.lit("|"), F.col("gene"))
+    named_exons = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("eid")
     ex = materialize(exons.select(*keys, "start", "end", "gene").distinct().select("*", named_exons), "exons")
     first = materialize(terminal_exons(exons).select(*keys, "start", "end", "gene").distinct().select("*", named_exons), "exons")
 

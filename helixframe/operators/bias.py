@@ -47,7 +47,8 @@ def density(cov: DataFrame, keys: list[str], reach: int = 25, shard: int = SHARD
 def sampled_baseline(cov: DataFrame, keys: list[str], share: float, seed: int, reach: int = 25) -> DataFrame:
     """Positions near covered ones, drawn by hash in proportion to the density of coverage there."""
     d = density(cov, keys, reach).select(*keys, "pos", "near", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("o")).withColumn("at", F.col("pos") + F.col("o"))
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys, "pos", "at"), F.lit(1 << 30)) / float(1 << 30)
+    text = F.concat_ws("|", F.lit(str(seed)), *keys, "pos", "at")
+    u = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / float(1 << 48)
     return d.where(u < share * F.col("near") / (2 * reach + 1)).where("at >= 0").select(*keys, "at")
 
 

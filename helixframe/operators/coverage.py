@@ -110,7 +110,7 @@ def to_transcripts(cov: DataFrame, exons: DataFrame) -> DataFrame:
     ``exons``: chrom, strand, tx, start, end (half-open).  A base in several
     isoforms gives several rows; minus transcripts are reversed.
     """
-    w = Window.partitionBy("tx").orderBy("start")
+    w = Window.partitionBy("tx").orderBy("start", "end")
     own = Window.partitionBy("tx")
     length = F.col("end") - F.col("start")
     e = exons.withColumn("before", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(length).over(own))

@@ -103,12 +103,9 @@ def welch_t(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def unit_scale(values: list[float]) -> float:
-    """Scale at which the positive part of a profile sums to 1, by bisection."""
-    lo, hi = 0.0, 1e12
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if sum(max(0.0, v * mid) for v in values) < 1 else (lo, mid)
-    return hi
+    """Scale at which the positive part of a profile sums to 1; infinite without any."""
+    total = math.fsum(v for v in values if v > 0)
+    return 1 / total if total else math.inf
 
 
 def bandwidth_of(profile: pd.Series, share: float = 0.6827, least: int = 1, most: int = 30) -> int:

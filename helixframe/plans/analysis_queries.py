@@ -68,20 +68,32 @@ def _(v):
 @query("tx_same_chain", f"""WITH {_EX}, {_CHAIN} SELECT a.gene, a.tx AS a_tx, b.tx AS b_tx, a.start - b.start AS d_start, a."end" - b."end" AS d_end, CAST(a.exons - b.exons AS INTEGER) AS d_exons
 FROM c a JOIN c b ON a.gene = b.gene AND a.chrom = b.chrom AND a.strand = b.strand AND a.tx < b.tx AND a.start < b."end" AND b.start < a."end" WHERE a.chain = b.chain""")
 def _(v):
-    return annotation.compare_transcripts(annotation.transcripts(_exons(v))).where("same_chain").select("gene", "a_tx", "b_tx", "d_start", "d_end", "d_exons")
+    return annotation.compare_transcripts(annotation.transcripts(_exons(v))).where("same_chain and a_tx < b_tx").select("gene", "a_tx", "b_tx", "d_start", "d_end", "d_exons")
 
 
-@query("tx_compare")
+_PAIR = """t AS (SELECT chrom, strand, gene, tx, min(start) AS start, max("end") AS "end", list({'s': start, 'e': "end"} ORDER BY start, "end") AS ex FROM x GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, [{'l': ex[i].e, 'r': ex[i + 1].s} FOR i IN range(1, len(ex))] AS ins FROM t),
+p AS (SELECT a.gene, a.tx AS a_tx, b.tx AS b_tx, a.start AS s, a."end" AS e, b.start AS bs, b."end" AS be, a.ex AS ax, b.ex AS bx, a.ins AS ai, b.ins AS bi
+  FROM k a JOIN k b ON a.gene = b.gene AND a.chrom = b.chrom AND a.strand = b.strand AND a.tx <> b.tx AND a.start < b."end" AND b.start < a."end"),
+r AS (SELECT gene, a_tx, b_tx, len(list_intersect(ai, bi)) = greatest(len(ai), len(bi)) AS same_chain,
+  list_has_all(bi, ai) AND s > bs AND e < be AND len([i FOR i IN bi IF (s > i.l AND s < i.r) OR (e > i.l AND e < i.r)]) = 0
+    AND len([i FOR i IN bi IF NOT list_contains(ai, i) AND len([y FOR y IN ax IF y.s < i.l AND y.e > i.r]) > 0]) = 0 AS truncation,
+  len([y FOR y IN bx IF y.s <= s AND e <= y.e]) > 0 AS contained,
+  (ax[1].s < bx[1].e AND bx[1].s < ax[1].e) OR (ax[-1].s < bx[-1].e AND bx[-1].s < ax[-1].e) AS terminal,
+  s - bs AS d_start, e - be AS d_end, CAST(len(ax) - len(bx) AS INTEGER) AS d_exons FROM p)"""
+
+
+@query("tx_compare", f"WITH {_EX}, {_PAIR} SELECT * FROM r")
 def _(v):
     return annotation.compare_transcripts(annotation.transcripts(_exons(v)))
 
 
-@query("tx_mergeable")
+@query("tx_mergeable", f"WITH {_EX}, {_PAIR} SELECT gene, a_tx, b_tx FROM r WHERE (same_chain AND terminal AND a_tx < b_tx) OR truncation OR contained")
 def _(v):
     return annotation.mergeable(annotation.compare_transcripts(annotation.transcripts(_exons(v))), "any").select("gene", "a_tx", "b_tx")
 
 
-@query("tx_contained", f"""WITH {_EX}, {_CHAIN} SELECT DISTINCT a.gene, a.tx AS a_tx, b.tx AS b_tx FROM c a JOIN c b ON a.gene = b.gene AND a.chrom = b.chrom AND a.strand = b.strand AND a.tx < b.tx
+@query("tx_contained", f"""WITH {_EX}, {_CHAIN} SELECT DISTINCT a.gene, a.tx AS a_tx, b.tx AS b_tx FROM c a JOIN c b ON a.gene = b.gene AND a.chrom = b.chrom AND a.strand = b.strand AND a.tx <> b.tx
 JOIN x ON x.gene = b.gene AND x.tx = b.tx AND x.chrom = b.chrom AND x.strand = b.strand AND x.start <= a.start AND a."end" <= x."end\"""")
 def _(v):
     return annotation.compare_transcripts(annotation.transcripts(_exons(v))).where("contained").select("gene", "a_tx", "b_tx")
@@ -128,7 +140,26 @@ def _(v):
     return annotation.classify(_points(v), _exons(v)).where("code >= 4").select("fid", "code")
 
 
-@query("cls_decision_tree")
+# nearest exons on each side of what meets none, of which those with the least number win; numbers are made from the exon itself
+_SIDES = """SELECT fid, max(CASE WHEN side = 'l' THEN gene END) AS l, max(CASE WHEN side = 'r' THEN gene END) AS r FROM (
+  SELECT fid, side, gene, row_number() OVER (PARTITION BY fid, side ORDER BY gap, eid) AS n FROM (
+    SELECT f.fid, n.gene, n.eid, CASE WHEN n."end" <= f.start THEN 'l' ELSE 'r' END AS side, CASE WHEN n."end" <= f.start THEN f.start - n."end" ELSE n.start - f."end" END AS gap
+    FROM {} f JOIN ne n ON f.chrom = n.chrom AND f.strand = n.strand
+    WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.chrom = f.chrom AND ex.strand = f.strand AND ex.start < f."end" AND f.start < ex."end"))) WHERE n = 1 GROUP BY fid"""
+_TREE = _CLASS.rstrip() + f""",
+ne AS (SELECT *, CAST('0x' || substr(md5(chrom || strand || '|' || start || '|' || "end" || '|' || gene), 1, 15) AS BIGINT) AS eid FROM ex),
+c3 AS (SELECT fid FROM ({_SIDES.format('f')}) WHERE l = r),
+sense AS (SELECT fid, code FROM o UNION ALL SELECT fid, 3 FROM c3),
+rest AS (SELECT fid, chrom, CASE WHEN strand = '+' THEN '-' ELSE '+' END AS strand, start, "end" FROM f WHERE fid NOT IN (SELECT fid FROM sense)),
+c2 AS (SELECT DISTINCT rest.fid FROM rest JOIN ex ON rest.chrom = ex.chrom AND rest.strand = ex.strand AND rest.start < ex."end" AND ex.start < rest."end"),
+c1 AS (SELECT fid FROM ({_SIDES.format('rest')}) WHERE l = r),
+every AS (SELECT fid, code FROM sense UNION ALL SELECT fid, 2 FROM c2 UNION ALL SELECT fid, 1 FROM c1 UNION ALL SELECT fid, 0 FROM f),
+best AS (SELECT fid, CAST(max(code) AS INTEGER) AS code FROM every GROUP BY fid),
+lab AS (SELECT fid, code, ['N', 'IA', 'A', 'I', 'U', 'D', 'P', 'S'][code + 1] AS label FROM best)
+"""
+
+
+@query("cls_decision_tree", _TREE + "SELECT fid, code, label FROM lab")
 def _(v):
     return annotation.classify(_points(v), _exons(v))
 
@@ -274,9 +305,22 @@ def _(v):
     return stats.benjamini_hochberg(v("detected_sites").where("adj_p_val is not null and not isnan(adj_p_val)"), ["sample_name"], "adj_p_val").select("site_id", "fdr")
 
 
-@query("st_fold_change", "SELECT site_id, (slice_site_rpm + 1) / (allen_score + 1) AS fc FROM detected_sites")
+_FLANK = """s AS (SELECT site_id, sample_name, target_transcript, slice_site, CASE WHEN isnan(slice_site_rpm) THEN NULL ELSE slice_site_rpm END AS rpm FROM detected_sites),
+q AS (SELECT DISTINCT sample_name, target_transcript, slice_site FROM s WHERE slice_site IS NOT NULL AND sample_name IS NOT NULL AND target_transcript IS NOT NULL),
+m AS (SELECT q.sample_name, q.target_transcript, q.slice_site, max(s.rpm) AS flank FROM q JOIN s USING (sample_name, target_transcript)
+  WHERE s.slice_site <> q.slice_site AND abs(s.slice_site - q.slice_site) <= 50 GROUP BY 1, 2, 3)"""
+
+
+@query("st_fold_change", f"WITH {_FLANK} SELECT s.site_id, (s.rpm + 1) / (coalesce(m.flank, 0) + 1) AS fc FROM s LEFT JOIN m USING (sample_name, target_transcript, slice_site)")
 def _(v):
-    return v("detected_sites").select("site_id", stats.fold_change(F.col("slice_site_rpm"), F.col("allen_score")).alias("fc"))
+    """Signal of a site over the highest one elsewhere within 50 bases of its transcript."""
+    d = v("detected_sites").select("site_id", "sample_name", "target_transcript", "slice_site", F.nanvl("slice_site_rpm", F.lit(None)).alias("rpm"))
+    by = ["sample_name", "target_transcript"]
+    places = d.where("slice_site is not null").groupBy(*by, "slice_site").agg(F.max("rpm").alias("rpm"))
+    # a place does not count for itself, so its neighbours are taken from each side
+    near = shards.around(places, by, "slice_site", 50, {"all": F.collect_list(F.struct("rpm", "slice_site"))})
+    flank = near.select(*by, "slice_site", F.array_max(F.transform(F.filter("all", lambda x: x["slice_site"] != F.col("slice_site")), lambda x: x["rpm"])).alias("flank"))
+    return d.join(flank, [*by, "slice_site"], "left").select("site_id", stats.fold_change(F.col("rpm"), F.coalesce("flank", F.lit(0.0))).alias("fc"))
 
 
 @query("st_ks", f"""WITH {_SITES}, c AS (SELECT fold_change AS v, count(*) FILTER (WHERE control) AS a, count(*) FILTER (WHERE NOT control) AS b FROM d GROUP BY 1),
@@ -339,7 +383,20 @@ def _(v):
     return a.join(b, "slice_id", "full").withColumn("best", F.when(F.coalesce("p_x", F.lit(2.0)) <= F.coalesce("p_y", F.lit(2.0)), "x").otherwise("y"))
 
 
-@query("st_spaced_sites")
+def spaced_sql(sites: str) -> str:
+    """Greedy spacing of ``sites``, rows numbered ``n`` within ``g``, with ``x`` and ``site_id``: the kept ones as ``kept``."""
+    return f"""{sites},
+step AS (SELECT g, n, [x] AS xs, [site_id] AS ids FROM ranked WHERE n = 1
+  UNION ALL SELECT r.g, r.n, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ids, site_id) ELSE ids END
+  FROM (SELECT r.g, r.n, r.x, r.site_id, s.xs, s.ids, len([k FOR k IN s.xs IF abs(k - r.x) <= 5]) = 0 AS ok FROM step s JOIN ranked r ON r.g = s.g AND r.n = s.n + 1) r),
+kept AS (SELECT unnest(ids) AS site_id FROM (SELECT ids, row_number() OVER (PARTITION BY g ORDER BY n DESC) AS back FROM step) WHERE back = 1)"""
+
+
+_RANKED = """ranked AS (SELECT sample_name || '|' || target_transcript AS g, slice_site AS x, site_id, row_number() OVER (PARTITION BY sample_name, target_transcript
+  ORDER BY allen_score, CASE WHEN isnan(slice_site_rpm) THEN 0 WHEN slice_site_rpm IS NULL THEN 2 ELSE 1 END, slice_site_rpm DESC, family, site_id) AS n FROM {} WHERE slice_site IS NOT NULL)"""
+
+
+@query("st_spaced_sites", "WITH RECURSIVE " + spaced_sql(f"{_SITES}, " + _RANKED.format("(SELECT * FROM d WHERE NOT control)")) + " SELECT site_id FROM kept")
 def _(v):
     s = _sites(v).where("not control and slice_site is not null")
     return stats.spaced(s, ["sample_name", "target_transcript"], "slice_site", [F.col("allen_score").asc(), F.col("slice_site_rpm").desc(), F.col("family").asc(), F.col("site_id").asc()]).select("site_id")
@@ -480,7 +537,9 @@ def _(v):
     return bias.pileup(v("v_uug"), v("v_end"), ["chrom", "strand"])
 
 
-@query("bias_sampled_baseline")
+@query("bias_sampled_baseline", """WITH d AS (SELECT chrom, strand, pos, count(*) OVER (PARTITION BY chrom, strand ORDER BY pos RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS near FROM v_end),
+o AS (SELECT *, pos + unnest(range(-25, 26)) AS place FROM d)
+SELECT chrom, strand, place AS "at" FROM o WHERE place >= 0 AND CAST('0x' || substr(md5('11|' || chrom || '|' || strand || '|' || pos || '|' || place), 1, 12) AS BIGINT) / 281474976710656.0 < 0.2 * near / 51""")
 def _(v):
     return bias.sampled_baseline(v("v_end"), ["chrom", "strand"], 0.2, 11)
 

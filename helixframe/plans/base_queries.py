@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import annotation, genome
 from helixframe.plans.analysis_queries import _EX, _exons
+from helixframe.plans.sequence_queries import orf_sql
 from helixframe.plans.views import view, with_views
 
 QUERIES, SQL = {}, {}
@@ -42,7 +43,8 @@ def _(v):
     return genome.transcript_sequences(_doc_exons(v), genome.tiles(_genome(v), 64), 64).select("tx", "seq")
 
 
-@query("seq_coding_parts")
+@query("seq_coding_parts", f"""WITH {_G}, {_TXSEQ}, z AS (SELECT tx AS doc_id, seq FROM q), {orf_sql('z')}
+SELECT z.doc_id AS tx, substr(seq, 1, o.start) AS utr5, substr(seq, o.start + 1, o."end" - o.start) AS cds, substr(seq, o."end" + 1) AS utr3 FROM z JOIN orf o USING (doc_id)""")
 def _(v):
     return genome.coding_parts(genome.transcript_sequences(_doc_exons(v), genome.tiles(_genome(v), 64), 64))
 

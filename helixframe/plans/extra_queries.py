@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import annotation, consensus, coverage, intervals, quant, signal, stats
-from helixframe.plans.analysis_queries import _exons, _points
+from helixframe.plans.analysis_queries import _EX, _POINT, _TREE, _RANKED, _exons, _points, spaced_sql
 from helixframe.plans.views import view, with_views
 from helixframe.session import materialize, shared_dir
 from helixframe.sources import formats, sinks
@@ -56,7 +56,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return formats.read_bed(spark, path).select("chrom", "start", "end", "name", "strand")
 
 
-@query("io_gff_round_trip")
+@query("io_gff_round_trip", f"WITH {_EX} SELECT chrom, strand, gene, tx, start, \"end\" FROM x")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     path = _folder(spark, "gff")
     sinks.write_gff(_exons(lambda n: view(spark, sf, n)), path)
@@ -109,7 +109,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return consensus.consensus(view(spark, sf, "v_feat"), ["chrom", "strand"])
 
 
-@query("cmp_class_counts")
+@query("cmp_class_counts", _TREE + "SELECT label, count(*) AS n FROM lab GROUP BY 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = lambda n: view(spark, sf, n)
     return annotation.classify(_points(v), _exons(v)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -123,7 +123,21 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.mask(end, capped, "inside").select("chrom", "strand", "pos", "value")
 
 
-@query("cmp_cleavage_test")
+_TEST = """d AS (SELECT *, split_part(srna, '_shuffled', 1) AS family, srna LIKE '%_shuffled%' AS control FROM detected_sites WHERE srna IS NOT NULL AND NOT coalesce(isnan(fold_change), false) AND NOT coalesce(isnan(allen_score), false)),
+nf AS (SELECT family, fold_change AS v, count(*) AS k FROM d WHERE control AND fold_change IS NOT NULL GROUP BY 1, 2), na AS (SELECT family, allen_score AS v, count(*) AS k FROM d WHERE control AND allen_score IS NOT NULL GROUP BY 1, 2),
+tf AS (SELECT family, sum(k) AS t FROM nf GROUP BY 1), ta AS (SELECT family, sum(k) AS t FROM na GROUP BY 1),
+cf AS (SELECT t.family, t.v, coalesce(sum(nf.k), 0) AS c FROM (SELECT DISTINCT family, fold_change AS v FROM d WHERE NOT control AND fold_change IS NOT NULL) t LEFT JOIN nf ON t.family = nf.family AND nf.v <= t.v GROUP BY 1, 2),
+ca AS (SELECT t.family, t.v, coalesce(sum(na.k), 0) AS c FROM (SELECT DISTINCT family, allen_score AS v FROM d WHERE NOT control AND allen_score IS NOT NULL) t LEFT JOIN na ON t.family = na.family AND na.v <= t.v GROUP BY 1, 2),
+pv AS (SELECT d.*, 1 - cf.c / tf.t AS p_fc, ca.c / ta.t AS p_allen, CASE WHEN d.family LIKE 'TAS%' THEN 'tas' ELSE 'mir' END AS kind FROM d LEFT JOIN tf ON d.family = tf.family LEFT JOIN ta ON d.family = ta.family
+  LEFT JOIN cf ON d.family = cf.family AND d.fold_change = cf.v LEFT JOIN ca ON d.family = ca.family AND d.allen_score = ca.v WHERE NOT control),
+fp AS (SELECT *, CASE WHEN p_fc * p_allen = 0 THEN 0 ELSE p_fc * p_allen * (1 - ln(p_fc * p_allen)) END AS p FROM pv),
+rk AS (SELECT *, count(p) OVER (PARTITION BY kind, sample_name) AS m, count(p) OVER (PARTITION BY kind, sample_name ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS r FROM fp WHERE p IS NOT NULL),
+bh AS (SELECT *, least(1.0, min(p * m / r) OVER (PARTITION BY kind, sample_name ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr FROM rk),
+hits AS (SELECT * FROM bh WHERE fold_change > 1 AND fdr < 0.05 AND (slice_site_rpm > 0.1 OR isnan(slice_site_rpm)))"""
+
+
+@query("cmp_cleavage_test", "WITH RECURSIVE " + spaced_sql(f"{_TEST}, " + _RANKED.format("hits")) + """
+SELECT site_id, sample_name, family, target_transcript, slice_site, fold_change, p, fdr, coalesce(interaction, family || ':' || target_transcript) AS interaction FROM hits WHERE site_id IN (SELECT site_id FROM kept)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Test sites against their shuffled controls: p-values, their combination, false discovery rate, spacing and report columns."""
     d = view(spark, sf, "detected_sites").where("srna is not null and not isnan(fold_change) and not isnan(allen_score)")
@@ -137,7 +151,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("site_id", "sample_name", "family", "target_transcript", "slice_site", "fold_change", "p", "fdr", F.coalesce("interaction", F.concat_ws(":", "family", "target_transcript")).alias("interaction"))
 
 
-@query("cmp_transcript_coverage")
+@query("cmp_transcript_coverage", f"""WITH {_EX}, {_POINT}, k AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY tx ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum("end" - start) OVER (PARTITION BY tx) AS total FROM x),
+l AS (SELECT k.gene, k.tx, CAST(CASE WHEN k.strand = '-' THEN total - 1 - (before + f.start - k.start) ELSE before + f.start - k.start END AS BIGINT) AS tx_pos FROM k JOIN f ON f.chrom = k.chrom AND f.strand = k.strand AND f.start >= k.start AND f.start < k."end"),
+g AS (SELECT DISTINCT gene, tx FROM x), t AS (SELECT g.gene, l.tx, count(*) AS n FROM (SELECT tx FROM l) l JOIN g USING (tx) GROUP BY 1, 2),
+w AS (SELECT tx FROM (SELECT tx, row_number() OVER (PARTITION BY gene ORDER BY n DESC, tx) AS i FROM t) WHERE i = 1)
+SELECT tx, tx_pos, CAST(count(*) AS DOUBLE) AS value FROM l WHERE tx IN (SELECT tx FROM w) GROUP BY 1, 2""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Genome coverage in the coordinates of each gene's dominant transcript."""
     v = lambda n: view(spark, sf, n)
@@ -156,7 +174,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.overlap_join(pts, ex, ["chrom", "strand"], width=256).select(F.col("b_gene").alias("gene"), F.col("a_event_id").alias("e")).distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("cmp_rescale_bandwidth")
+@query("cmp_rescale_bandwidth", """WITH s AS (SELECT chrom || strand AS ref, pos FROM v_uug), c AS (SELECT chrom || strand AS ref, pos, sum(value) AS value FROM v_end GROUP BY 1, 2), o AS (SELECT CAST(unnest(range(-50, 51)) AS INTEGER) AS diff),
+m AS (SELECT diff, avg(coalesce(value, 0)) AS mean FROM s CROSS JOIN o LEFT JOIN c ON c.ref = s.ref AND c.pos = s.pos + diff GROUP BY 1), t AS (SELECT sum(greatest(mean, 0)) AS t FROM m),
+h AS (SELECT h, sum(greatest(mean, 0)) AS inside FROM m, (SELECT unnest(range(0, 51)) AS h) WHERE diff BETWEEN -h AND h GROUP BY 1)
+SELECT 1 / t AS scale, (SELECT CAST(least(30, greatest(1, min(h))) AS INTEGER) FROM h, t WHERE inside >= 0.6827 * t) AS bandwidth FROM t""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Scale at which the mean end profile has unit area, and the half-window that holds 68.27 % of it."""
     v = lambda n: view(spark, sf, n)

@@ -82,34 +82,52 @@ def _(v):
     return s.select("doc_id", F.aggregate(S.degeneracy(F.col("seq")), F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"))
 
 
-@query("seq_orf")
+def orf_sql(table: str) -> str:
+    """``orf``: the longest reading frame of ``seq`` of each ``doc_id`` of ``table``."""
+    return f"""fr AS (SELECT doc_id, f, coalesce(array_to_string([({_CODON})[substr(seq, i, 3)] FOR i IN range(f + 1, length(seq) - 1, 3)], ''), '') AS aa FROM (SELECT doc_id, seq, unnest([0, 1, 2]) AS f FROM {table})),
+pt AS (SELECT doc_id, f, aa, i, part, sum(length(part) + 1) OVER (PARTITION BY doc_id, f ORDER BY i) - length(part) - 1 AS ahead FROM (SELECT doc_id, f, aa, unnest(string_split(aa, '*')) AS part, generate_subscripts(string_split(aa, '*'), 1) AS i FROM fr)),
+mt AS (SELECT *, instr(part, 'M') AS m FROM pt),
+rk AS (SELECT doc_id, substr(part, m) AS aa, f + 3 * (ahead + m - 1) AS start, ahead + length(part) >= length(aa) AS stopless, f + 3 * (ahead + length(part)) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY length(part) - m DESC, f, i) AS n FROM mt WHERE m > 0),
+orf AS (SELECT d.doc_id, coalesce(rk.aa, '') AS aa, CAST(coalesce(start, 0) AS INTEGER) AS start, CAST(coalesce(stop + CASE WHEN stopless THEN 0 ELSE 3 END, 0) AS INTEGER) AS "end", coalesce(stopless, false) AS stopless FROM (SELECT doc_id FROM {table}) d LEFT JOIN rk ON rk.doc_id = d.doc_id AND rk.n = 1)"""
+
+
+@query("seq_orf", f"WITH {_SEQ}, {orf_sql('s')} SELECT * FROM orf")
 def _(v):
     return _seq(v).select("doc_id", S.longest_orf("seq").alias("o")).select("doc_id", "o.aa", "o.start", "o.end", "o.stopless")
 
 
-@query("seq_icomplexity")
+# common prefixes of neighbouring sorted suffixes
+_LCP = """sf AS (SELECT doc_id, substr(seq, i) AS t FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)),
+nb AS (SELECT doc_id, t, lag(t) OVER (PARTITION BY doc_id ORDER BY t) AS p FROM sf),
+lc AS (SELECT doc_id, coalesce(len([k FOR k IN range(1, least(length(t), length(p)) + 1) IF substr(t, 1, k) = substr(p, 1, k)]), 0) AS l FROM nb),
+ic AS (SELECT s.doc_id, s.seq, coalesce(round(c, 4), 0) AS complexity FROM s LEFT JOIN (SELECT doc_id, sum(ln((l + 2) / (l + 1))) / ln(5) AS c FROM lc GROUP BY 1) USING (doc_id))"""
+
+
+@query("seq_icomplexity", f"WITH {_SEQ}, {_LCP} SELECT doc_id, complexity FROM ic")
 def _(v):
     return _seq(v).select("doc_id", S.icomplexity("seq").alias("complexity"))
 
 
-@query("seq_complexity_filter")
+@query("seq_complexity_filter", f"WITH {_SEQ}, {_LCP} SELECT doc_id, seq FROM ic WHERE length(seq) > 0 AND complexity / length(seq) >= 0.3")
 def _(v):
     return _seq(v).where("length(seq) > 0").where(S.icomplexity("seq") / F.length("seq") >= 0.3).select("doc_id", "seq")
 
 
-@query("seq_complexity_table")
+@query("seq_complexity_table", f"WITH {_SEQ}, {_LCP} SELECT round_even(complexity / length(seq), 2) AS bin, count(*) AS n FROM ic WHERE length(seq) > 0 GROUP BY 1")
 def _(v):
     return _seq(v).where("length(seq) > 0").groupBy(F.bround(S.icomplexity("seq") / F.length("seq"), 2).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("seq_distinct_substrings")
+@query("seq_distinct_substrings", f"""WITH {_SEQ}, b AS (SELECT doc_id, substr(seq, i, k) AS t FROM (SELECT doc_id, seq, i, unnest(range(1, length(seq) - i + 2)) AS k FROM (SELECT doc_id, seq, unnest(range(1, length(seq) + 1)) AS i FROM s)))
+SELECT s.doc_id, coalesce(n, 0) AS n FROM s LEFT JOIN (SELECT doc_id, count(DISTINCT t) AS n FROM b GROUP BY 1) USING (doc_id)""")
 def _(v):
     return _seq(v).select("doc_id", S.substring_count("seq").alias("n"))
 
 
-@query("seq_shuffle")
+@query("seq_shuffle", """WITH r AS (SELECT rec_id, unnest(range(1, 4)) AS set_id, sequence FROM anno_mirna WHERE sequence IS NOT NULL)
+SELECT rec_id, CAST(set_id AS INTEGER) AS set_id, coalesce(array_to_string([x.c FOR x IN list_sort([{'k': md5((7 + set_id) || '|' || sequence || '|' || i), 'c': substr(sequence, i, 1)} FOR i IN range(1, length(sequence) + 1)])], ''), '') AS shuffled FROM r""")
 def _(v):
-    return v("anno_mirna").where("sequence is not null").select("rec_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("set_id"), "sequence").select("rec_id", "set_id", S.shuffle_sequence(F.col("sequence"), 7).alias("shuffled"))
+    return v("anno_mirna").where("sequence is not null").select("rec_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("set_id"), "sequence").select("rec_id", "set_id", S.shuffle_sequence(F.col("sequence"), F.col("set_id") + 7).alias("shuffled"))
 
 
 @query("seq_gc", f"WITH {_SEQ} SELECT doc_id, length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0) AS gc FROM s")
@@ -196,6 +214,8 @@ def _(v):
     return _duplex(v).where(S.duplex_ok(F.col("q"), F.col("t")) & F.length("q").between(15, 26)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("duplex_regions")
+@query("duplex_regions", f"""WITH {_DUPLEX}, m AS (SELECT rec_id, length(q) AS n, i, {_PAIRCOST} >= 1 AS open FROM (SELECT *, unnest(range(1, length(q) + 1)) AS i FROM d)),
+g AS (SELECT rec_id, n, i, i - row_number() OVER (PARTITION BY rec_id ORDER BY i) AS g FROM m WHERE open)
+SELECT rec_id, CAST(min(i) AS INTEGER) AS start, CAST(max(i) AS INTEGER) AS "end", CASE WHEN min(i) = 1 THEN 'UP5' WHEN max(i) = any_value(n) THEN 'UP3' ELSE 'SIL' END AS kind FROM g GROUP BY rec_id, g""")
 def _(v):
     return _duplex(v).select("rec_id", F.inline(S.pairing_regions(F.col("q"), F.col("t"))))
