@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.intervals import nearest, overlap_join
+from helixframe.operators.shards import numbered
 from helixframe.session import materialize
 
 # Labels of the classes, by code.
@@ -159,3 +160,21 @@ def auto_cutoff(totals: DataFrame, bins: int = 101) -> DataFrame:
     counts = totals.where("total > 0").groupBy(F.least(F.floor(share * (bins - 1)), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     h = spine.join(counts, "bin", "left").na.fill(0, ["n"]).where(F.col("bin") < bins // 4)
     return h.withColumn("low", F.min("n").over(Window.partitionBy())).where("n = low").agg((F.avg("bin") / (bins - 1)).alias("cutoff"))
+
+
+def keep_labels(labelled: DataFrame, labels: str = "PIUD") -> DataFrame:
+    """Features with one of the one-letter labels, as gene counts of capped ends take them."""
+    return labelled.where(F.col("label").isin(*labels))
+
+
+def name_in_order(features: DataFrame, prefix: str, by: list[str] = [], order: list[str] = ["chrom", "start", "end"], name: str = "name") -> DataFrame:
+    """``name``: ``prefix.N``, N being the place of a feature in ``order``, for each of ``by`` from 1 on."""
+    rows = features if by else features.withColumn("_all", F.lit(0))
+    out = numbered(rows, by or ["_all"], order, "_place").withColumn(name, F.concat(F.lit(f"{prefix}."), F.col("_place").cast("string")))
+    return out.drop("_place", "_all")
+
+
+def buffer_right(features: DataFrame, by: int = 1) -> DataFrame:
+    """End, and peak if there is one, moved to the right; the start stays."""
+    out = features.withColumn("end", F.col("end") + by)
+    return out.withColumn("peak", F.col("peak") + by) if "peak" in features.columns else out

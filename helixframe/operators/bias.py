@@ -26,6 +26,74 @@ def bias_weight(seqs: DataFrame, bias: DataFrame, baseline: DataFrame, key: str,
     return j.groupBy(key).agg(F.exp(F.sum(F.log(F.col("a") / F.col("b")))).alias("weight"))
 
 
+def allele_deviation(bias: DataFrame, k: int) -> DataFrame:
+    """``rel_pos``, ``deviation``: spread of the frequency of a base over the k places of a tile, mean over the bases."""
+    places = bias.select("rel_pos", "freq", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"), "kmer")
+    alleles = places.groupBy("rel_pos", "i", F.substring("kmer", F.col("i"), F.lit(1)).alias("base")).agg(F.sum("freq").alias("f"))
+    # a base that does not occur at a place has frequency 0 there
+    spread = alleles.groupBy("rel_pos", "base").agg(F.sqrt(F.greatest(F.sum(F.col("f") * F.col("f")) / k - F.pow(F.sum("f") / k, 2), F.lit(0.0))).alias("d"))
+    return spread.groupBy("rel_pos").agg((F.sum("d") / 4).alias("deviation"))
+
+
+def biased_tiles(deviation: list[tuple[int, float]], k: int, fold: float = 5.0) -> list[int]:
+    """Places of tiles that do not overlap and deviate more than ``fold`` times as much as the first one, taken from left to right."""
+    limit = dict(deviation)[min(p for p, _ in deviation)] * fold
+    out: list[int] = []
+    for place, d in sorted(deviation):
+        if d > limit and (not out or place >= out[-1] + k):
+            out.append(place)
+    return out
+
+
+def tile_groups(tiles: list[int], correlation: dict[tuple[int, int], float], least: float = 0.15) -> list[list[int]]:
+    """Tiles put together with the first tile left that they correlate with by more than ``least``."""
+    left, out = sorted(tiles), []
+    while left:
+        first = left[0]
+        group = [t for t in left if t == first or correlation.get((first, t), 0.0) > least]
+        out.append(group)
+        left = [t for t in left if t not in group]
+    return out
+
+
+def grouped_weight(seqs: DataFrame, bias: DataFrame, baseline: DataFrame, groups: list[list[int]], key: str, k: int, seq: str = "seq") -> DataFrame:
+    """Weight of each read: the product over groups of tiles of the mean of baseline / bias; tiles without a ratio above 0 do not count.
+
+    Reads too short for a tile, or with letters other than A, C, G and T there, lack that tile.
+    """
+    tiles = [(g, t) for g, group in enumerate(groups) for t in group]
+    if not tiles:
+        return seqs.select(key, F.lit(1.0).alias("weight"))
+    entries = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(t).alias("rel_pos"), F.substring(seq, t + 1, k).alias("kmer")) for g, t in tiles])
+    parts = seqs.select(key, F.inline(entries)).where(F.length("kmer") == k)
+    ratios = bias.withColumnRenamed("freq", "b").join(baseline.withColumnRenamed("freq", "a"), "kmer").select("rel_pos", "kmer", (F.col("a") / F.col("b")).alias("ratio")).where("ratio > 0")
+    means = parts.join(ratios, ["rel_pos", "kmer"]).groupBy(key, "g").agg(F.avg("ratio").alias("m"))
+    out = means.groupBy(key).agg(F.exp(F.sum(F.log("m"))).alias("weight"))
+    return seqs.select(key).join(out, key, "left").select(key, F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def correct_bias(seqs: DataFrame, key: str, k: int, reach: int, seq: str = "seq", fold: float = 5.0, least: float = 0.15) -> DataFrame:
+    """The whole correction: k-mer frequencies by place, baseline, biased tiles, their groups by correlation, and the weight of each read.
+
+    Runs jobs when called; the driver receives a number a place and one a pair of tiles.
+    """
+    bias, baseline = kmer_bias(seqs, k, reach, seq), baseline_kmers(seqs, k, seq)
+    tiles = biased_tiles([(r.rel_pos, r.deviation) for r in allele_deviation(bias, k).collect()], k, fold)
+    correlation = {}
+    if len(tiles) > 1:
+        names = [f"t{t}" for t in tiles]
+        wide = seqs.select(*[F.log(F.substring(seq, t + 1, k).isin(*_common(bias, t)).cast("double") + 1).alias(n) for t, n in zip(tiles, names)])
+        correlation = {(int(r.i[1:]), int(r.j[1:])): r.abs_corr or 0.0 for r in tile_correlation(wide, names).collect()}
+    return grouped_weight(seqs, bias, baseline, tile_groups(tiles, correlation, least), key, k, seq)
+
+
+def _common(bias: DataFrame, place: int) -> list[str]:
+    """The k-mers of a place that are more frequent than the mean there, of at most 4 ** k."""
+    at = bias.where(F.col("rel_pos") == place)
+    mean = at.agg(F.avg("freq")).first()[0]
+    return [r.kmer for r in at.where(F.col("freq") > mean).collect()]
+
+
 def baseline_kmers(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """Frequency of k-mers anywhere: kmer, freq."""
     c = seqs.select(F.explode(S.kmers(F.col(seq), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))

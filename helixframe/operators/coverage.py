@@ -91,7 +91,7 @@ def mask_positions(mask: DataFrame, mode: str) -> DataFrame:
 def mask(cov: DataFrame, features: DataFrame, mode: str = "inside", keys: list[str] = KEYS) -> DataFrame:
     """Coverage outside the masked positions."""
     points = cov.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
-    return overlap_join(points, mask_positions(features, mode), keys, how="left_anti").drop("start", "end")
+    return overlap_join(points, mask_positions(features, mode), keys, how="left_anti", a_levels=(0,)).drop("start", "end")
 
 
 def feature_matrix(features: DataFrame, cov: DataFrame, sample: str, samples: list[str], name: str = "name", keys: list[str] = KEYS) -> DataFrame:
@@ -99,7 +99,7 @@ def feature_matrix(features: DataFrame, cov: DataFrame, sample: str, samples: li
     from helixframe.operators.intervals import merge
 
     points = cov.select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value", F.col(sample).alias("_sample"))
-    pairs = overlap_join(merge(features, [*keys, name]), points, keys)
+    pairs = overlap_join(merge(features, [*keys, name]), points, keys, b_levels=(0,))
     wide = pairs.groupBy(F.col(f"a_{name}").alias(name)).pivot("b__sample", samples).agg(F.sum("b_value"))
     return features.select(name).distinct().join(wide, name, "left").na.fill(0.0, samples)
 
@@ -115,6 +115,6 @@ def to_transcripts(cov: DataFrame, exons: DataFrame) -> DataFrame:
     length = F.col("end") - F.col("start")
     e = exons.withColumn("before", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(length).over(own))
     points = cov.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value")
-    hits = overlap_join(points, e, KEYS)
+    hits = overlap_join(points, e, KEYS, a_levels=(0,))
     along = F.col("b_before") + F.col("a_start") - F.col("b_start")
     return hits.select(F.col("b_tx").alias("tx"), F.when(F.col("a_strand") == "-", F.col("b_total") - 1 - along).otherwise(along).alias("tx_pos"), F.col("a_value").alias("value"))

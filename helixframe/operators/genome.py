@@ -67,6 +67,18 @@ def base_frequencies(points: DataFrame, tiled: DataFrame, size: int = TILE) -> D
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # a few rows
 
 
+def motif_scan(tiled: DataFrame, motif: str, most: int, size: int = TILE) -> DataFrame:
+    """chrom, start, end, strand of the hits of an IUPAC motif on both strands, with at most ``most`` substitutions; one a span and strand.
+
+    A tile is read with the first letters of the next, so hits over a border are found once.
+    """
+    k = len(motif)
+    head = tiled.select("chrom", (F.col("tile") - 1).alias("tile"), F.substring("seq", 1, k - 1).alias("_next"))
+    whole = tiled.join(head, ["chrom", "tile"], "left").select("chrom", "tile", F.concat("seq", F.coalesce("_next", F.lit(""))).alias("seq"))
+    hits = whole.select("chrom", (F.col("tile").cast("bigint") * size).alias("_o"), F.inline(S.motif_hits_both(F.col("seq"), motif, most)))
+    return hits.select("chrom", (F.col("_o") + F.col("at")).alias("start"), (F.col("_o") + F.col("at") + k).alias("end"), "strand").distinct()
+
+
 def coding_parts(sequences: DataFrame) -> DataFrame:
     """tx, and the parts before, in and after the longest reading frame."""
     o = sequences.select("tx", "seq", S.longest_orf("seq").alias("o"))
@@ -79,7 +91,7 @@ def reads_in(reads: DataFrame, exons: DataFrame, one_each: bool = False, order:
     from helixframe.operators.intervals import overlap_join
 
     points = reads.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
-    kept = overlap_join(points, exons.select("chrom", "strand", "start", "end"), ["chrom", "strand"], how="left_semi").drop("start", "end")
+    kept = overlap_join(points, exons.select("chrom", "strand", "start", "end"), ["chrom", "strand"], how="left_semi", a_levels=(0,)).drop("start", "end")
     if one_each:
         w = Window.partitionBy("chrom", "strand", "pos").orderBy(order)
         kept = kept.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -38,11 +38,11 @@ def _meeting(la: Column, lb: Column, w: Column) -> Callable[[Column], Column]:
     return lambda b: F.struct(la.alias("_la"), lb.alias("_lb"), b.alias("_bin"), w.alias("_w"))
 
 
-def _binned(df: DataFrame, side: str, width: int) -> DataFrame:
+def _binned(df: DataFrame, side: str, width: int, others: tuple[int, ...]) -> DataFrame:
     """A row for each (own level, other level, bin) in which a row can meet the other side."""
     df = df.where("start < end").withColumn("_l", _level(width))
     parts = []
-    for other in range(LEVELS):
+    for other in others:
         level = F.greatest("_l", F.lit(other))
         w = F.element_at(F.array(*[F.lit(width * FACTOR**k) for k in range(LEVELS)]), level + 1)
         bins = F.sequence(_div(F.col("start"), w), _div(F.col("end") - 1, w))
@@ -51,15 +51,20 @@ def _binned(df: DataFrame, side: str, width: int) -> DataFrame:
     return df.select("*", F.inline(F.flatten(F.array(*parts)))).drop("_l")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, keys: list[str], width: int = WIDTH, how: str = "inner") -> DataFrame:
+def overlap_join(
+    a: DataFrame, b: DataFrame, keys: list[str], width: int = WIDTH, how: str = "inner", a_levels: tuple[int, ...] = tuple(range(LEVELS)), b_levels: tuple[int, ...] = tuple(range(LEVELS))
+) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` that share a position, with equal ``keys``.
 
     Columns come out as ``a_*`` and ``b_*``.  ``how``: inner, left_semi or
     left_anti (rows of ``a``, as given).  Empty intervals and null keys meet nothing.
+    ``a_levels`` and ``b_levels`` tell which bin widths a side can have: where all of
+    its intervals have up to 4 ``width`` bases, (0,), so that the other side's rows
+    are not copied for wider ones.
     """
     # whether a row meets anything depends on its keys and ends only
-    x = _binned(a if how == "inner" else a.select(*keys, "start", "end").distinct(), "a", width)
-    y = _binned(b, "b", width)
+    x = _binned(a if how == "inner" else a.select(*keys, "start", "end").distinct(), "a", width, b_levels)
+    y = _binned(b if how == "inner" else b.select(*keys, "start", "end").distinct(), "b", width, a_levels)
     on = F.lit(True)
     x = x.toDF(*[c if c in ("_la", "_lb", "_bin", "_w") else f"a_{c}" for c in x.columns])
     y = y.drop("_w").toDF(*[f"{c}_" if c in ("_la", "_lb", "_bin") else f"b_{c}" for c in y.drop("_w").columns])
@@ -113,7 +118,7 @@ def cluster(df: DataFrame, keys: list[str], book_ended: bool = True, width: int
     """Every row with ``c_start``, ``c_end`` of the merged run that it lies in."""
     runs = merge(df, keys, book_ended)
     points = df.withColumn("_s", F.col("start")).withColumn("_e", F.col("end")).withColumn("end", F.col("start") + 1)
-    out = overlap_join(points, runs, keys, width)
+    out = overlap_join(points, runs, keys, width, a_levels=(0,))
     kept = [F.col(f"a_{c}").alias(c) for c in df.columns if c not in ("start", "end")]
     return out.select(*kept, F.col("a__s").alias("start"), F.col("a__e").alias("end"), F.col("b_start").alias("c_start"), F.col("b_end").alias("c_end"))
 

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.coverage import to_transcripts
+from helixframe.operators.intervals import overlap_join
+
 
 def gene_rollup(quant: DataFrame, name: str = "name") -> DataFrame:
     """Isoforms (``gene.N``) to genes: reads add up, the length is the longest isoform's."""
@@ -13,14 +16,14 @@ def gene_rollup(quant: DataFrame, name: str = "name") -> DataFrame:
 
 
 def normalise(quant: DataFrame, genome: float | None = None) -> DataFrame:
-    """RPK, RPM and TPM; with ``genome``, reads per genome million as well. A length of 0 gives 0."""
+    """RPK, RPM and TPM; with ``genome``, a number of genome-matching reads, RPgM and RPKgM per million of them as well. A length of 0 gives 0."""
     rpk = F.when(F.col("length") > 0, F.col("reads") * 1000 / F.col("length")).otherwise(0.0)
     q = quant.withColumn("rpk", rpk)
     totals = q.agg(F.sum("reads").alias("_r"), F.sum("rpk").alias("_k"))
     out = q.crossJoin(F.broadcast(totals))  # one row
     out = out.withColumn("rpm", F.col("reads") * 1e6 / F.col("_r")).withColumn("tpm", F.col("rpk") * 1e6 / F.col("_k"))
     if genome is not None:
-        out = out.withColumn("rpgm", F.col("reads") * 1e6 / genome)
+        out = out.withColumn("rpgm", F.col("reads") * 1e6 / genome).withColumn("rpkgm", F.col("rpk") * 1e6 / genome)
     return out.drop("_r", "_k")
 
 
@@ -64,45 +67,148 @@ def edges(exons: DataFrame, by: list[str]) -> DataFrame:
     return j.groupBy(*[F.col(f"c.{k}").alias(k) for k in by], F.col("c.x").alias("start"), F.col("c.y").alias("end")).agg(F.array_sort(F.collect_set("e.tx")).alias("txs"))
 
 
-def _settle(pdf: pd.DataFrame) -> dict[str, float]:
-    """Reads of the transcripts of one group: unique edges give densities, shared edges follow them."""
-    txs = sorted({t for own in pdf["txs"] for t in own})
-    length = {t: 0 for t in txs}
-    unique_length, unique_reads = dict.fromkeys(txs, 0), dict.fromkeys(txs, 0.0)
-    for own, start, end, reads in zip(pdf["txs"], pdf["start"], pdf["end"], pdf["reads"]):
-        for t in own:
-            length[t] += end - start
-        if len(own) == 1:
-            unique_length[own[0]] += end - start
-            unique_reads[own[0]] += reads
-    density = {t: unique_reads[t] / unique_length[t] if unique_length[t] >= 20 else None for t in txs}
-    known = [d for d in density.values() if d is not None]
-    start_at = sum(known) / len(known) if known else 1.0
-    rate = {t: start_at if d is None else d for t, d in density.items()}
-    total = dict.fromkeys(txs, 0.0)
-    for _ in range(100):
-        total = dict.fromkeys(txs, 0.0)
-        for own, reads in zip(pdf["txs"], pdf["reads"]):
-            mass = sum(rate[t] for t in own)
-            for t in own:
-                total[t] += reads * (rate[t] / mass if mass > 0 else 1 / len(own))
-        new = {t: total[t] / length[t] if length[t] else 0.0 for t in txs}
-        moved = max((abs(new[t] - rate[t]) for t in txs), default=0)
-        rate = new
-        if moved < 1e-9:
-            break
-    return total
-
-
-def isoform_reads(edge_reads: DataFrame, by: str = "gene") -> DataFrame:
-    """Reads of every transcript from the reads of edges (``by``, start, end, txs, reads).
-
-    A group is one overlap group of transcripts, which annotation bounds; each is settled in one pandas call.
+class _Priors:
+    """Reads and length that a transcript has been given so far; their ratio is its prior."""
+
+    def __init__(self) -> None:
+        self.reads: dict[str, float] = {}
+        self.length: dict[str, int] = {}
+
+    def known(self, tx: str) -> bool:
+        return tx in self.length
+
+    def give(self, tx: str, reads: float, length: int) -> None:
+        self.reads[tx] = self.reads.get(tx, 0.0) + reads
+        self.length[tx] = self.length.get(tx, 0) + length
+
+    def share(self, txs: list[str], reads: float, length: int) -> None:
+        """Give an edge's reads to its transcripts.
+
+        Those with a prior get what it lets expect, at most all; what is left goes in
+        equal parts to those without, or, if there are none, in proportion to the priors.
+        """
+        expected = {t: self.reads[t] / self.length[t] * length for t in txs if self.known(t)}
+        total = sum(expected.values())
+        new = [t for t in txs if t not in expected]
+        if total >= reads or not new:
+            for t, x in expected.items():
+                self.give(t, reads * (x / total if total > 0 else 1 / len(expected)), length)
+        else:
+            for t, x in expected.items():
+                self.give(t, x, length)
+            for t in new:
+                self.give(t, (reads - total) / len(new), length)
+
+
+def settle_edges(edges: list[tuple[int, int, list[str], float]], least_prior: int = 20) -> dict[str, float]:
+    """Reads of the transcripts of one overlap group from (start, end, transcripts, reads) of its edges.
+
+    Edges of one transcript alone give its prior, if they have ``least_prior`` bases
+    together.  Other edges are settled from left to right while at most one of their
+    transcripts is without a prior, again and again; when a round settles none, or
+    there is no prior at all, any edge may be.  A transcript's reads are its prior times
+    its length.
+    """
+    edges = sorted(edges, key=lambda e: (e[0], e[1]))
+    whole: dict[str, int] = {}
+    alone = _Priors()
+    for start, end, txs, reads in edges:
+        for t in txs:
+            whole[t] = whole.get(t, 0) + end - start
+        if len(txs) == 1:
+            alone.give(txs[0], reads, end - start)
+    priors = _Priors()
+    for t, length in alone.length.items():
+        if length >= least_prior:
+            priors.give(t, alone.reads[t], length)
+    waiting = [e for e in edges if len(e[2]) > 1]
+    naive = not priors.length
+    while waiting:
+        later = []
+        for start, end, txs, reads in waiting:
+            if not naive and sum(not priors.known(t) for t in txs) > 1:
+                later.append((start, end, txs, reads))
+            elif reads:
+                priors.share(txs, reads, end - start)
+        naive = naive or len(later) == len(waiting)
+        waiting = later
+    return {t: priors.reads[t] / priors.length[t] * n if priors.known(t) else 0.0 for t, n in sorted(whole.items())}
+
+
+def isoform_reads(edge_reads: DataFrame, by: str = "gene", least_prior: int = 20) -> DataFrame:
+    """Reads of every transcript from the reads of edges (``by``, start, end, txs, reads); see ``settle_edges``.
+
+    A group is one overlap group of transcripts, whose edges annotation bounds; coverage
+    has been summed before, so no group grows with the reads.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = _settle(pdf)
+        total = settle_edges([(int(s), int(e), list(t), float(r)) for s, e, t, r in zip(pdf["start"], pdf["end"], pdf["txs"], pdf["reads"])], least_prior)
         return pd.DataFrame({by: [pdf[by].iloc[0]] * len(total), "tx": list(total), "reads": list(total.values())})
 
     kind = edge_reads.schema[by].dataType.simpleString()
     tx = edge_reads.schema["txs"].dataType.elementType.simpleString()
     return edge_reads.groupBy(by).applyInPandas(run, f"{by} {kind}, tx {tx}, reads double")
+
+
+def scale_ratio_tables(end: DataFrame, body: DataFrame, fragment: float = 200) -> DataFrame:
+    """One row: the factor from tables of reads, length and rpm or tpm, over rows whose reads and norm are above 0 (``norm``)."""
+    b = body.where("reads > 0 and norm > 0").agg(F.sum("reads").alias("b"), F.sum(F.col("length") * F.col("norm")).alias("l"))
+    e = end.where("reads > 0 and norm > 0").agg(F.sum("reads").alias("e"))
+    return b.crossJoin(e).select((fragment * 1e6 / F.col("l") * F.col("b") / F.col("e")).alias("scale"))  # one row each
+
+
+def align_profile(tx_cov: DataFrame, lengths: DataFrame, side: str = "left", most: int | None = None, norm: str = "sum") -> DataFrame:
+    """Meta-profile without stretching: ``offset`` from the first base (left, from 0) or the last one (right, down from 0).
+
+    ``norm``: sum adds values, mean divides by the number of transcripts, max scales each
+    transcript by its highest value first and then divides.  Offsets end after ``most``.
+    """
+    at = F.col("tx_pos") if side == "left" else F.col("tx_pos") - F.col("length") + 1
+    j = tx_cov.join(lengths, "tx").withColumn("offset", at.cast("bigint"))
+    if most is not None:
+        j = j.where(F.col("offset") < most if side == "left" else F.col("offset") > -most)
+    if norm == "max":
+        j = j.join(tx_cov.groupBy("tx").agg(F.max(F.abs("value")).alias("_d")), "tx").where("_d > 0").withColumn("value", F.col("value") / F.col("_d"))
+    out = j.groupBy("offset").agg(F.sum("value").alias("signal"))
+    if norm == "sum":
+        return out
+    counted = (j if norm == "max" else lengths).select("tx").distinct().agg(F.count(F.lit(1)).alias("_n"))
+    return out.crossJoin(F.broadcast(counted)).select("offset", (F.col("signal") / F.col("_n")).alias("signal"))  # one row
+
+
+def positions_of(transcripts: DataFrame, splice: bool = True, buffer: int = 0) -> DataFrame:
+    """Pieces of transcripts that a profile reads, as exon rows: the exons, or the whole span, and ``buffer`` bases at each end."""
+    span = transcripts.groupBy("chrom", "strand", "tx").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    pieces = transcripts.select("chrom", "strand", "tx", "start", "end") if splice else span
+    if buffer:
+        left = span.select("chrom", "strand", "tx", (F.col("start") - buffer).alias("start"), F.col("start").alias("end"))
+        right = span.select("chrom", "strand", "tx", F.col("end").alias("start"), (F.col("end") + buffer).alias("end"))
+        pieces = pieces.unionByName(left).unionByName(right)
+    return pieces
+
+
+def profile_signal(cov: DataFrame, pieces: DataFrame, antisense: bool = False, doubles: bool = True) -> DataFrame:
+    """``tx``, ``tx_pos``, ``value`` of coverage under transcripts' pieces; of the other strand with ``antisense``.
+
+    Without ``doubles`` a base counts for the first transcript by name only.
+    """
+    if antisense:
+        cov = cov.withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+"))
+    hits = to_transcripts(cov.withColumn("value", F.struct("chrom", "strand", "pos", "value")), pieces)
+    if not doubles:
+        first = hits.groupBy("value").agg(F.min(F.struct("tx", "tx_pos")).alias("f"))
+        hits = first.select("f.tx", "f.tx_pos", "value")
+    return hits.select("tx", "tx_pos", F.col("value.value").alias("value"))
+
+
+def distance_profile_by(sites: DataFrame, cov: DataFrame, by: list[str], reach: int = 50) -> DataFrame:
+    """``by``, ``diff``, ``total`` and ``mean``: signal at -reach..reach around the sites (``ref``, ``pos``) of each group.
+
+    Only signal that lies within reach of a site is joined; offsets without any are 0.
+    """
+    windows = sites.select(*by, F.col("ref"), (F.col("pos") - reach).alias("start"), (F.col("pos") + reach + 1).alias("end"), F.col("pos").alias("_site"))
+    points = cov.groupBy("ref", "pos").agg(F.sum("value").alias("value")).select("ref", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value")
+    hits = overlap_join(windows, points, ["ref"], width=max(64, reach), b_levels=(0,))
+    sums = hits.groupBy(*[F.col(f"a_{c}").alias(c) for c in by], (F.col("b_start") - F.col("a__site")).cast("int").alias("diff")).agg(F.sum("b_value").alias("total"))
+    groups = sites.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("diff"))
+    return groups.join(sums, [*by, "diff"], "left").select(*by, "diff", F.coalesce("total", F.lit(0.0)).alias("total"), (F.coalesce("total", F.lit(0.0)) / F.col("_n")).alias("mean"))

@@ -55,6 +55,17 @@ def softclip_policy(reads: DataFrame, allowed: str = "both", bases: str = "ACGT"
     return reads.where(ok & (F.regexp_replace(clipped, f"[{bases}]", "") == ""))
 
 
+def untemplated_counts(reads: DataFrame, base: str = "nuc") -> DataFrame:
+    """Reads by 5' position and untemplated base: unique ones (``n_map`` 1) count 1, others their ``weight``."""
+    own = F.when(F.col("n_map") == 1, 1.0).otherwise(F.col("weight"))
+    return reads.where(F.col(base).isNotNull()).groupBy("chrom", "strand", "pos", base).agg(F.sum(own).alias("n"))
+
+
+def first_reads(reads: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """The first ``most`` reads in ``order``, for a trial run on part of a library."""
+    return reads.orderBy(*order).limit(most)
+
+
 def min_match(reads: DataFrame, least: int = 16) -> DataFrame:
     """Unique reads need more than ``least`` matched bases, multimappers as many."""
     matched = F.aggregate("segments", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])

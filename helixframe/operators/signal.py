@@ -46,7 +46,7 @@ def in_features(cov: DataFrame, features: DataFrame, keys: list[str] = KEYS) ->
     from helixframe.operators.intervals import overlap_join
 
     points = cov.select(*keys, F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "value")
-    hits = overlap_join(points, features.select(*keys, "start", "end"), keys)
+    hits = overlap_join(points, features.select(*keys, "start", "end"), keys, a_levels=(0,))
     return hits.select(*[F.col(f"a_{k}").alias(k) for k in keys], F.col("b_start").alias("start"), F.col("b_end").alias("end"), F.col("a_start").alias("pos"), F.col("a_value").alias("value"))
 
 
@@ -91,6 +91,39 @@ def trim(inside: DataFrame, fraction: float, keys: list[str] = KEYS) -> DataFram
     return r.groupBy(*keys, "start", "end").agg(F.min("pos").alias("new_start"), (F.max("pos") + 1).alias("new_end"), F.max("enough").alias("n"))
 
 
+def rank_values(inside: DataFrame, fraction: float = 0.9, keys: list[str] = KEYS) -> DataFrame:
+    """``score``: offsets of the fewest top positions that reach ``fraction`` of a feature's total, highest first, later of equals first; as high as the last stay."""
+    own = Window.partitionBy(*keys, "start", "end")
+    top = own.orderBy(F.desc("value"), F.desc("pos"))
+    r = inside.where("value > 0").withColumn("_n", F.row_number().over(top)).withColumn("_run", F.sum("value").over(top.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("_total", F.sum("value").over(own))
+    r = r.withColumn("_last", F.max(F.when(F.col("_run") - F.col("value") < F.col("_total") * fraction - 1e-9, F.struct("_n", "value"))).over(own)["value"]).where("value >= _last")
+    listed = F.array_sort(F.collect_list(F.struct("_n", (F.col("pos") - F.col("start")).alias("x"))))
+    return r.groupBy(*keys, "start", "end").agg(F.array_join(F.transform(listed, lambda x: x["x"].cast("string")), ",").alias("score"))
+
+
+def all_values(inside: DataFrame, least: float = 0.01, keys: list[str] = KEYS) -> DataFrame:
+    """``score``: offset:share of the positions with at least ``least`` of a feature's total, shares to two digits; ``0:0`` without any."""
+    own = Window.partitionBy(*keys, "start", "end")
+    r = inside.withColumn("_s", F.col("value") / F.sum("value").over(own)).withColumn("_r", F.round("_s", 2))
+    entry = F.concat((F.col("pos") - F.col("start")).cast("string"), F.lit(":"), F.col("_r").cast("string"))
+    listed = F.array_sort(F.collect_list(F.when((F.col("_s") >= least) & (F.col("_r") > 0), F.struct("pos", entry.alias("e")))))
+    joined = F.array_join(F.transform(listed, lambda x: x["e"]), ",")
+    return r.groupBy(*keys, "start", "end").agg(F.when(joined == "", "0:0").otherwise(joined).alias("score"))
+
+
+def feature_score(inside: DataFrame, mode: str = "sum", reads: float | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """``score`` of each feature as text: sum, rpm (of ``reads``, two digits), period, byrank or allvalues; any other mode is sum."""
+    if mode == "period":
+        return period_scores(inside, keys=keys).select(*keys, "start", "end", F.col("period").cast("string").alias("score"))
+    if mode == "byrank":
+        return rank_values(inside, keys=keys)
+    if mode == "allvalues":
+        return all_values(inside, keys=keys)
+    total = F.sum("value")
+    return inside.groupBy(*keys, "start", "end").agg((F.round(total * 1e6 / reads, 2) if mode == "rpm" else total).cast("string").alias("score"))
+
+
 def period_scores(inside: DataFrame, most: int | None = None, keys: list[str] = KEYS) -> DataFrame:
     """Best period of each feature: mean signal at multiples of p from the peak, times its share; of equals the longer p.
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.session import materialize
+
 BED = T.StructType().add("chrom", "string").add("start", "long").add("end", "long").add("name", "string").add("score", "double").add("strand", "string")
 BEDGRAPH = T.StructType().add("chrom", "string").add("start", "long").add("end", "long").add("value", "double")
 
@@ -38,15 +40,37 @@ def read_fasta(spark: SparkSession, path: str, split_on: str = " ", upper: bool
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, plus, qual, and ``number`` of the record; records are four lines.
+    """read_id, seq, plus, qual, and ``number`` of the record over all files; records are four lines.
 
-    Lines are numbered by file block and place, then grouped by fours; no window
-    holds the file.
+    A line's number is its place in its block of the file and the lines of the blocks
+    before, of which there is one row a block; lines are then grouped by fours.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
+    lines = materialize(lines, "fastq")  # the ids hold for one run only
+    blocks = lines.groupBy("f", "b").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    at = lines.join(F.broadcast(blocks.drop("n")), ["f", "b"]).withColumn("at", F.col("before") + F.col("m") - F.col("first"))
+    part = F.pmod("at", F.lit(4))
+    own = [F.max(F.when(part == i, F.col("value"))) for i in range(4)]
+    records = at.groupBy(F.call_function("div", F.col("at"), F.lit(4)).alias("number")).agg(F.regexp_replace(own[0], "^@", "").alias("read_id"), own[1].alias("seq"), own[2].alias("plus"), own[3].alias("qual"))
+    return records.select("read_id", "seq", "plus", "qual", "number")
+
+
+def parse_folding(lines: DataFrame, text: str = "value", least_ratio: float = 0.65) -> DataFrame:
+    """Text of a duplex folding program, one alignment a row, to structure, positions and energy.
+
+    A row is like ``((((.&.)))) 1,5 : 10,14 (-7.20)``: brackets of both strands, their
+    first and last positions, and the energy.  With a column ``perfect`` (the energy of
+    the perfect match) ``mfe_ratio`` is given, at most 1, and rows below ``least_ratio``
+    drop out.  Other rows are left out.
     """
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] // 4, x[1] % 4, x[0][0]))
-    lines = spark.createDataFrame(rows, "number long, part long, value string")
-    parts = lines.groupBy("number").pivot("part", [0, 1, 2, 3]).agg(F.first("value"))
-    return parts.select(F.regexp_replace("0", "^@", "").alias("read_id"), F.col("1").alias("seq"), F.col("2").alias("plus"), F.col("3").alias("qual"), "number")
+    at = r"^\s*([.(]+)&([.)]+)\s+(\d+),(\d+)\s+:\s+(\d+),(\d+)\s+\(\s*(-?[0-9.]+)\)"
+    names = [("left", "string"), ("right", "string"), ("t_start", "bigint"), ("t_stop", "bigint"), ("q_start", "bigint"), ("q_stop", "bigint"), ("mfe", "double")]
+    out = lines.where(F.col(text).rlike(at)).select("*", *[F.regexp_extract(text, at, i + 1).cast(kind).alias(n) for i, (n, kind) in enumerate(names)])
+    if "perfect" in lines.columns:
+        out = out.withColumn("mfe_ratio", F.least(F.lit(1.0), F.col("mfe") / F.col("perfect"))).where(F.col("mfe_ratio") >= least_ratio)
+    return out
 
 
 def split_interleaved(fastq: DataFrame) -> tuple[DataFrame, DataFrame]:

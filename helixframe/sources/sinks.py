@@ -22,10 +22,22 @@ def write_bedgraph(runs: DataFrame, path: str) -> None:
     _text(runs, tab("chrom", "start", "end", "value"), path, ["chrom", "start"])
 
 
+def _with_header(lines: DataFrame, path: str, head: str) -> None:
+    """Text lines (``value``), with ``head`` at the beginning of every part."""
+    def run(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([head])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_multi_bedgraph(runs: DataFrame, names: list[str], path: str) -> None:
     """Several columns; every part begins with the header, so that it can be read by itself."""
-    body = runs.orderBy("chrom", "start").select(F.coalesce(F.col("chrom"), F.lit(".")).alias("#chrom"), *[F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in ("start", "end", *names)])
-    body.write.mode("overwrite").options(sep="\t", header=True, quote="", escape="").csv(path)
+    body = runs.orderBy("chrom", "start").select(tab("chrom", "start", "end", *names).alias("value"))
+    _with_header(body, path, "#" + "\t".join(["chrom", "start", "end", *names]))
 
 
 def write_bed(features: DataFrame, path: str, extra: list[str] = []) -> None:
@@ -50,6 +62,32 @@ def write_gff(exons: DataFrame, path: str) -> None:
     _text(exons, gff_lines(exons), path, ["chrom", "start", F.col("end") - F.col("start")])
 
 
+def write_wig(cov: DataFrame, path: str) -> None:
+    """Coverage (``chrom``, ``pos``, ``value``) as fixedStep stretches of successive positions; a stretch is one record, so any part can be read by itself."""
+    from helixframe.operators.shards import numbered
+
+    rows = numbered(cov, ["chrom"], ["pos"], "_n").withColumn("_g", F.col("pos") - F.col("_n"))
+    # a stretch is cut where a shard of the axis ends, so that no record grows with the data
+    cut = F.call_function("div", F.col("pos"), F.lit(1 << 16))
+    lines = F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("string").alias("v"))))
+    runs = rows.groupBy("chrom", "_g", cut.alias("_h")).agg(F.min("pos").alias("pos"), lines.alias("rows"))
+    head = F.concat(F.lit("fixedStep chrom="), F.col("chrom"), F.lit(" start="), (F.col("pos") + 1).cast("string"), F.lit(" step=1\n"))
+    _text(runs, F.concat(head, F.array_join(F.transform("rows", lambda x: x["v"]), "\n")), path, ["chrom", "pos"])
+
+
+def pretty_duplex(query: Column, target: Column) -> Column:
+    """A duplex as three lines: the target from its 5' end, the pairs (``|``, ``o`` for G:U), and the query from its 3' end."""
+    from helixframe.functions.sequence import pairing
+
+    marks = F.reverse(F.regexp_replace(pairing(query, target), "[xbg]", " "))
+    return F.concat(F.lit("5' "), F.reverse(target), F.lit(" 3'\n   "), marks, F.lit("\n3' "), F.reverse(query), F.lit(" 5'"))
+
+
+def write_duplexes(duplexes: DataFrame, path: str, columns: list[str]) -> None:
+    """A table of duplexes, with a header of comments in every part."""
+    _with_header(duplexes.select(tab(*columns).alias("value")), path, "#" + "\t".join(columns))
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
     matrix.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
