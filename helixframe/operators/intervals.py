@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.periods import SHARD, _shard, merge_periods
+from helixframe.operators.shards import numbered
 
 #: Least bin width, the factor to the next, and the number of widths.
 WIDTH, FACTOR, LEVELS = 1024, 64, 3
@@ -168,22 +169,46 @@ def nearest(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str, d
     return best.select(F.col("a_id").alias(a_id), F.col("n.b_id").alias(b_id), F.col("n.distance").alias("distance"))
 
 
+SELECTORS = ("first", "last", "left", "right", "upstream", "downstream", "highscore", "lowscore")
+
+
+def _preference(df: DataFrame, select: str, order: list[str], score: str, strand: str) -> list[Column]:
+    place = F.struct(*order)
+    along = F.when(F.col(strand) == "-", -F.col("end")).otherwise(F.col("start")) if strand in df.columns else F.col("start")
+    return {
+        "first": [place.asc()], "last": [F.desc(place)], "left": [F.col("start").asc(), place.asc()], "right": [F.desc("end"), place.asc()],
+        "upstream": [along.asc(), place.asc()], "downstream": [F.desc(along), place.asc()], "highscore": [F.desc(score), place.asc()], "lowscore": [F.col(score).asc(), place.asc()],
+    }[select]
+
+
 def deduplicate(df: DataFrame, by: list[str], select: str = "first", order: list[str] | None = None, score: str = "score", strand: str = "strand", only_unique: bool = False) -> DataFrame:
-    """One row of every run of equal keys ``by``.
+    """One row of all rows with equal keys ``by``, wherever they stand.
 
     ``select``: first or last (in ``order``), left or right (by position), upstream
     or downstream (along the strand), highscore or lowscore.  ``only_unique`` keeps
     only keys with one row.
     """
-    order = order or ["start", "end"]
-    place = F.struct(*order)
-    along = F.when(F.col(strand) == "-", -F.col("end")).otherwise(F.col("start")) if strand in df.columns else F.col("start")
-    rank = {
-        "first": [place], "last": [F.desc(place)], "left": [F.col("start"), place], "right": [F.desc("end"), place],
-        "upstream": [along, place], "downstream": [F.desc(along), place], "highscore": [F.desc(score), place], "lowscore": [F.col(score), place],
-    }[select]
     own = Window.partitionBy(*by)
-    out = df.withColumn("_r", F.row_number().over(own.orderBy(*rank)))
+    out = df.withColumn("_r", F.row_number().over(own.orderBy(*_preference(df, select, order or ["start", "end"], score, strand))))
     if only_unique:
         out = out.withColumn("_n", F.count(F.lit(1)).over(own)).where("_n = 1").drop("_n")
     return out.where("_r = 1").drop("_r")
+
+
+def deduplicate_runs(
+    df: DataFrame, by: list[str], sequence: list[str], within: list[str] = [], select: str = "first", score: str = "score", strand: str = "strand", only_unique: bool = False, partitions: int | None = None
+) -> DataFrame:
+    """One row of every run of equal keys ``by`` among rows that follow each other in ``sequence`` (which has no ties) in a group of ``within``.
+
+    A key that comes back after another one begins a run of its own.  Rows are numbered
+    without a window over a group; a run is where the number within the key lags
+    behind by the same distance.  ``select`` is as in ``deduplicate``.
+    """
+    rows = df if within else df.withColumn("_all", F.lit(0))
+    group = within or ["_all"]
+    rows = numbered(rows, group, sequence, "_at", partitions)
+    rows = numbered(rows, [*group, *by], sequence, "_in", partitions).withColumn("_run", F.col("_at") - F.col("_in"))
+    out = deduplicate(rows, [*group, *by, "_run"], select, ["_at"], score, strand, only_unique)
+    return out.select(*df.columns)
+
+

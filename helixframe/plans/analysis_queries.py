@@ -111,14 +111,12 @@ def _(v):
     return annotation.flanks(annotation.terminal_exons(_exons(v)), 100).select("gene", "tx", "start", "end")
 
 
-@query("tx_liftover", f"""WITH {_EX}, k AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY tx ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-  sum("end" - start) OVER (PARTITION BY tx) AS total FROM x1), {_POINT}
+@query("tx_liftover", f"""WITH {_EX}, k AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY tx ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum("end" - start) OVER (PARTITION BY tx) AS total FROM x), {_POINT}
 SELECT k.tx, f.fid, CAST(CASE WHEN k.strand = '-' THEN total - 1 - (before + f.start - k.start) ELSE before + f.start - k.start END AS BIGINT) AS tx_pos
-FROM k JOIN f ON f.chrom = k.chrom AND f.strand = k.strand AND f.start >= k.start AND f.start < k."end\"""".replace(f"{_EX}, k", f"{_EX}, x1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY tx, start) AS c FROM x) WHERE c = 1), k"))
+FROM k JOIN f ON f.chrom = k.chrom AND f.strand = k.strand AND f.start >= k.start AND f.start < k."end\"""")
 def _(v):
-    from pyspark.sql import Window
-
-    ex = _exons(v).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("tx", "start"))).where("c = 1").drop("c")
+    ex = _exons(v)
     cov = _points(v).select("chrom", "strand", F.col("start").alias("pos"), F.col("fid").alias("value"))
     return coverage.to_transcripts(cov, ex).select("tx", F.col("value").alias("fid"), "tx_pos")
 
@@ -340,15 +338,7 @@ def _(v):
     return _sites(v).where("not control").groupBy("family").agg((F.sum(F.round(F.col("fold_change") * 10000).cast("bigint")) / F.count(F.lit(1)) / 10000).alias("mean"), F.coalesce(F.stddev_samp("fold_change"), F.lit(0.0)).alias("sd"), (F.countDistinct("sample_name") >= 2).alias("voted"))
 
 
-@query("st_interaction_matrix", f"""WITH {_SITES} SELECT family || ':' || target_transcript AS interaction, least(5, coalesce(sum(slice_site_rpm) FILTER (WHERE sample_name = 'fb_1'), 0)) AS fb_1, least(5, coalesce(sum(slice_site_rpm) FILTER (WHERE sample_name = 'fb_2'), 0)) AS fb_2
-FROM d WHERE NOT control AND NOT isnan(coalesce(slice_site_rpm, 0)) GROUP BY 1""")
-def _(v):
-    s = _sites(v).where("not control and not isnan(coalesce(slice_site_rpm, 0D))").withColumn("interaction", F.concat("family", F.lit(":"), "target_transcript"))
-    wide = s.groupBy("interaction").pivot("sample_name", ["fb_1", "fb_2"]).agg(F.sum("slice_site_rpm"))
-    return wide.select("interaction", *[F.least(F.lit(5.0), F.coalesce(s, F.lit(0.0))).alias(s) for s in ("fb_1", "fb_2")])
-
-
-@query("st_interaction_all", f"""WITH {_SITES} SELECT sample_name, family || ':' || target_transcript AS interaction, least(5, coalesce(sum(slice_site_rpm), 0)) AS value
+@query("st_interaction_matrix", f"""WITH {_SITES} SELECT sample_name, family || ':' || target_transcript AS interaction, least(5, coalesce(sum(slice_site_rpm), 0)) AS value
 FROM d WHERE NOT control AND NOT isnan(coalesce(slice_site_rpm, 0)) GROUP BY 1, 2""")
 def _(v):
     s = _sites(v).where("not control and not isnan(coalesce(slice_site_rpm, 0D))")
@@ -375,11 +365,13 @@ def _(v):
     return v("detected_sites").where("fold_change > 1 and not isnan(fold_change) and adj_p_val < 0.05 and slice_site_rpm > 0.1 and not isnan(slice_site_rpm)").select("site_id")
 
 
-@query("st_best_window", """WITH a AS (SELECT target_transcript || ':' || slice_site AS slice_id, min(adj_p_val) AS p FROM detected_sites WHERE sample_name = 'fb_1' GROUP BY 1), b AS (SELECT target_transcript || ':' || slice_site AS slice_id, min(adj_p_val) AS p FROM detected_sites WHERE sample_name = 'fb_2' GROUP BY 1)
+@query("st_best_window", """WITH a AS (SELECT target_transcript || ':' || slice_site AS slice_id, min(adj_p_val) AS p FROM detected_sites WHERE right(sample_name, 1) IN ('1', '3', '5', '7', '9') GROUP BY 1), b AS (SELECT target_transcript || ':' || slice_site AS slice_id, min(adj_p_val) AS p FROM detected_sites WHERE right(sample_name, 1) NOT IN ('1', '3', '5', '7', '9') GROUP BY 1)
 SELECT coalesce(a.slice_id, b.slice_id) AS slice_id, a.p AS p_x, b.p AS p_y, CASE WHEN coalesce(a.p, 2) <= coalesce(b.p, 2) THEN 'x' ELSE 'y' END AS best FROM a FULL JOIN b ON a.slice_id = b.slice_id""")
 def _(v):
     d = v("detected_sites").withColumn("slice_id", F.concat("target_transcript", F.lit(":"), F.col("slice_site").cast("string")))
-    a, b = (d.where(F.col("sample_name") == s).groupBy("slice_id").agg(F.min("adj_p_val").alias(c)) for s, c in (("fb_1", "p_x"), ("fb_2", "p_y")))
+    # all samples in two halves stand for two window sizes
+    odd = F.substring("sample_name", -1, 1).isin("1", "3", "5", "7", "9")
+    a, b = (d.where(own).groupBy("slice_id").agg(F.min("adj_p_val").alias(c)) for own, c in ((odd, "p_x"), (~odd, "p_y")))
     return a.join(b, "slice_id", "full").withColumn("best", F.when(F.coalesce("p_x", F.lit(2.0)) <= F.coalesce("p_y", F.lit(2.0)), "x").otherwise("y"))
 
 
@@ -402,13 +394,7 @@ def _(v):
     return stats.spaced(s, ["sample_name", "target_transcript"], "slice_site", [F.col("allen_score").asc(), F.col("slice_site_rpm").desc(), F.col("family").asc(), F.col("site_id").asc()]).select("site_id")
 
 
-@query("st_gene_sets", """SELECT DISTINCT split_part(target_transcript, '.', 1) AS gene FROM detected_sites WHERE sample_name = 'fb_1' INTERSECT SELECT DISTINCT split_part(target_transcript, '.', 1) FROM detected_sites WHERE sample_name = 'fb_2'""")
-def _(v):
-    d = v("detected_sites").select("sample_name", F.substring_index("target_transcript", ".", 1).alias("gene"))
-    return d.where("sample_name = 'fb_1'").select("gene").intersect(d.where("sample_name = 'fb_2'").select("gene"))
-
-
-@query("st_gene_sets_all", """SELECT gene FROM (SELECT sample_name, split_part(target_transcript, '.', 1) AS gene FROM detected_sites WHERE sample_name IS NOT NULL)
+@query("st_gene_sets", """SELECT gene FROM (SELECT sample_name, split_part(target_transcript, '.', 1) AS gene FROM detected_sites WHERE sample_name IS NOT NULL)
 GROUP BY gene HAVING count(DISTINCT sample_name) = (SELECT count(DISTINCT sample_name) FROM detected_sites)""")
 def _(v):
     d = v("detected_sites").where("sample_name is not null").select("sample_name", F.substring_index("target_transcript", ".", 1).alias("gene"))
@@ -417,13 +403,7 @@ def _(v):
     return found.crossJoin(F.broadcast(samples)).where("n = samples").select("gene")  # one row
 
 
-@query("st_study_union", "SELECT count(DISTINCT site) AS sites, count(*) AS n FROM (SELECT target_transcript || ':' || slice_site AS site FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name = 'fb_1' UNION ALL SELECT target_transcript || ':' || slice_site FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name = 'fb_2')")
-def _(v):
-    d = v("detected_sites").where("adj_p_val < 0.05").withColumn("site", F.concat("target_transcript", F.lit(":"), F.col("slice_site").cast("string")))
-    return d.where("sample_name = 'fb_1'").unionByName(d.where("sample_name = 'fb_2'")).agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
-
-
-@query("st_study_union_all", "SELECT count(DISTINCT target_transcript || ':' || slice_site) AS sites, count(*) AS n FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name IS NOT NULL")
+@query("st_study_union", "SELECT count(DISTINCT target_transcript || ':' || slice_site) AS sites, count(*) AS n FROM detected_sites WHERE adj_p_val < 0.05 AND sample_name IS NOT NULL")
 def _(v):
     d = v("detected_sites").where("adj_p_val < 0.05 and sample_name is not null").withColumn("site", F.concat("target_transcript", F.lit(":"), F.col("slice_site").cast("string")))
     return d.agg(F.countDistinct("site").alias("sites"), F.count(F.lit(1)).alias("n"))
@@ -451,16 +431,6 @@ def _unique(m):
 
 
 @query("rd_allocate_round", f"""WITH {_MULTI}, u AS (SELECT chrom, strand, pos, sum(weight) AS value FROM m WHERE n_map = 1 GROUP BY 1, 2, 3),
-l AS (SELECT m.*, coalesce(a.value, 0) AS own, coalesce(b.value, 0) AS other FROM m LEFT JOIN u a ON m.chrom = a.chrom AND m.strand = a.strand AND m.pos = a.pos
-  LEFT JOIN u b ON m.chrom = b.chrom AND m.strand <> b.strand AND m.pos = b.pos WHERE m.n_map = 2),
-w AS (SELECT *, sum(own) OVER (PARTITION BY read) AS s, sum(other) OVER (PARTITION BY read) AS t FROM l)
-SELECT read, chrom, strand, pos, CASE WHEN s > 0 THEN own / s WHEN t > 0 THEN other / t END AS share FROM w""")
-def _(v):
-    m = _multi(v)
-    return reads.allocate(m.where("n_map = 2"), _unique(m)).select("read", "chrom", "strand", "pos", "share")
-
-
-@query("rd_allocate_all", f"""WITH {_MULTI}, u AS (SELECT chrom, strand, pos, sum(weight) AS value FROM m WHERE n_map = 1 GROUP BY 1, 2, 3),
 l AS (SELECT m.*, coalesce(a.value, 0) AS own, coalesce(b.value, 0) AS other FROM m LEFT JOIN u a ON m.chrom = a.chrom AND m.strand = a.strand AND m.pos = a.pos
   LEFT JOIN u b ON m.chrom = b.chrom AND m.strand <> b.strand AND m.pos = b.pos WHERE m.n_map > 1),
 w AS (SELECT *, sum(own) OVER (PARTITION BY read) AS s, sum(other) OVER (PARTITION BY read) AS t FROM l)
@@ -476,10 +446,10 @@ def _(v):
     return reads.rescue(_unique(m), m.where("n_map > 1"))
 
 
-@query("rd_max_per_position", "SELECT chrom, strand, pos, least(count(*), 5) AS n FROM (SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_partkey AS pos FROM lineitem) GROUP BY 1, 2, 3")
+@query("rd_max_per_position", """SELECT chrom, strand, pos, read FROM (SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_partkey AS pos, l_orderkey AS read,
+  row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_partkey ORDER BY l_orderkey) AS n FROM lineitem) WHERE n <= 5""")
 def _(v):
-    kept = reads.max_per_position(_multi(v), 5, ["chrom", "strand", "pos"], ["read"])
-    return kept.groupBy("chrom", "strand", "pos").agg(F.count(F.lit(1)).alias("n"))
+    return reads.max_per_position(_multi(v), 5, ["chrom", "strand", "pos"], ["read"]).select("chrom", "strand", "pos", "read")
 
 
 @query("rd_size_classes", "SELECT l_partkey AS pos, count(*) FILTER (WHERE l_quantity < 20) AS short, count(*) FILTER (WHERE l_quantity >= 20) AS long FROM lineitem GROUP BY 1")

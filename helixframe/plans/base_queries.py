@@ -80,16 +80,16 @@ def _(v):
     return genome.end_groups(annotation.transcripts(_exons(v))).select("gene", "tx", "group")
 
 
-@query("duplex_best", """SELECT target_transcript AS transcript, slice_site AS slice, min(allen_score) AS allen FROM detected_sites WHERE srna IS NOT NULL AND allen_score IS NOT NULL AND NOT isnan(allen_score) GROUP BY 1, 2""")
+@query("duplex_best", """SELECT target_transcript AS transcript, slice_site AS slice, min(allen_score) AS allen, arg_min(srna, (allen_score, srna)) AS query FROM detected_sites WHERE srna IS NOT NULL AND allen_score IS NOT NULL AND NOT isnan(allen_score) GROUP BY 1, 2""")
 def _(v):
     d = v("detected_sites").where("srna is not null and allen_score is not null and not isnan(allen_score)").select(F.col("srna").alias("query"), F.col("target_transcript").alias("transcript"), F.col("slice_site").alias("slice"), F.col("allen_score").alias("allen"))
-    return genome.best_duplex(d).select("transcript", "slice", "allen")
+    return genome.best_duplex(d).select("transcript", "slice", "allen", "query")
 
 
-@query("rd_transfer_weights", """WITH a AS (SELECT l_partkey, l_extendedprice AS weight, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey) AS n FROM lineitem WHERE l_discount >= 0.05),
-b AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS n FROM lineitem) SELECT b.l_partkey AS pos, count(a.weight) AS matched, count(*) AS n FROM b LEFT JOIN a ON a.l_partkey = b.l_partkey AND a.n = b.n GROUP BY 1""")
+@query("rd_transfer_weights", """WITH a AS (SELECT l_partkey, l_extendedprice AS weight, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem WHERE l_discount >= 0.05),
+b AS (SELECT l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem) SELECT b.l_partkey AS pos, count(a.weight) AS matched, count(*) AS n, sum(coalesce(a.weight, 1)) AS weight FROM b LEFT JOIN a ON a.l_partkey = b.l_partkey AND a.n = b.n GROUP BY 1""")
 def _(v):
     li = v("lineitem")
-    a = li.where("l_discount >= 0.05").select(F.col("l_partkey").alias("pos"), (-F.col("l_extendedprice")).alias("weight"), F.col("l_orderkey").alias("o"))
-    b = li.select(F.col("l_partkey").alias("pos"), F.col("l_orderkey").alias("o"))
-    return genome.transfer_weights(a, b, ["pos"], "o").groupBy("pos").agg(F.count_if(F.col("weight") < 0).alias("matched"), F.count(F.lit(1)).alias("n"))
+    a = li.where("l_discount >= 0.05").select(F.col("l_partkey").alias("pos"), (-F.col("l_extendedprice")).alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("o"))
+    b = li.select(F.col("l_partkey").alias("pos"), F.struct("l_orderkey", "l_linenumber").alias("o"))
+    return genome.transfer_weights(a, b, ["pos"], "o").groupBy("pos").agg(F.count_if(F.col("weight") < 0).alias("matched"), F.count(F.lit(1)).alias("n"), F.sum(F.abs("weight")).alias("weight"))

@@ -34,11 +34,15 @@ _RUNS = """SELECT chrom, strand, min(pos) AS start, max(pos) + 1 AS "end", value
   SELECT chrom, strand, pos, value, pos - row_number() OVER (PARTITION BY chrom, strand, value ORDER BY pos) AS g FROM v_end) GROUP BY chrom, strand, value, g"""
 
 
-@query("io_bedgraph_round_trip", f"SELECT chrom, start, \"end\", value FROM ({_RUNS}) WHERE strand = '+'")
+@query("io_bedgraph_round_trip", f"SELECT chrom, strand, start, \"end\", value FROM ({_RUNS})")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "bedgraph")
-    sinks.write_bedgraph(coverage.encode_runs(view(spark, sf, "v_end").where("strand = '+'")), path)
-    return formats.read_bedgraph(spark, path, "+").select("chrom", "start", "end", "value")
+    runs = coverage.encode_runs(view(spark, sf, "v_end"))
+    parts = []
+    for strand in "+-":  # a file holds one strand
+        path = _folder(spark, "bedgraph")
+        sinks.write_bedgraph(runs.where(F.col("strand") == strand), path)
+        parts.append(formats.read_bedgraph(spark, path, strand))
+    return parts[0].unionByName(parts[1]).select("chrom", "strand", "start", "end", "value")
 
 
 @query("io_fasta_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL AND length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) > 0")

@@ -93,14 +93,14 @@ def _(v):
     return intervals.overlap_join(v("v_feat"), v("v_point"), ["chrom", "strand"], width=128).select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id"))
 
 
-@query("iv_anti", f"SELECT event_id, start FROM v_feat a WHERE NOT EXISTS (SELECT 1 FROM v_point b WHERE {_HIT} AND b.score > 50)")
+@query("iv_anti", f"SELECT event_id, start FROM v_feat a WHERE NOT EXISTS (SELECT 1 FROM v_point b WHERE {_HIT})")
 def _(v):
-    return intervals.overlap_join(v("v_feat"), v("v_point").where("score > 50"), ["chrom", "strand"], how="left_anti", width=128).select("event_id", "start")
+    return intervals.overlap_join(v("v_feat"), v("v_point"), ["chrom", "strand"], how="left_anti", width=128).select("event_id", "start")
 
 
-@query("iv_semi", f"SELECT event_id, start FROM v_feat a WHERE EXISTS (SELECT 1 FROM v_point b WHERE {_HIT} AND b.score > 50)")
+@query("iv_semi", f"SELECT event_id, start FROM v_feat a WHERE EXISTS (SELECT 1 FROM v_point b WHERE {_HIT})")
 def _(v):
-    return intervals.overlap_join(v("v_feat"), v("v_point").where("score > 50"), ["chrom", "strand"], how="left_semi", width=128).select("event_id", "start")
+    return intervals.overlap_join(v("v_feat"), v("v_point"), ["chrom", "strand"], how="left_semi", width=128).select("event_id", "start")
 
 
 def _nearest_sql(keys: str, keep: str) -> str:
@@ -114,11 +114,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, b_event_i
 
 
 def _nearest(v, keys, direction, strand):
-    b = v("v_feat").where("score > 60").withColumnRenamed("event_id", "b_event_id")
+    b = v("v_feat").withColumnRenamed("event_id", "b_event_id")
     return intervals.nearest(v("v_point"), b, keys, "event_id", "b_event_id", direction, strand, width=128, shard=4096)
 
 
-_FEATS = "WITH f AS (SELECT * FROM v_feat WHERE score > 60), "
+_FEATS = "WITH f AS (SELECT * FROM v_feat), "
 for _name, _keys, _on, _dir in (
     ("iv_nearest_ahead", ["chrom", "strand"], "a.chrom = b.chrom AND a.strand = b.strand", "ahead"),
     ("iv_nearest_behind", ["chrom", "strand"], "a.chrom = b.chrom AND a.strand = b.strand", "behind"),
@@ -131,22 +131,22 @@ for _name, _keys, _on, _dir in (
     )
 
 
-@query("iv_nearest_opposite", "WITH f AS (SELECT * REPLACE (CASE strand WHEN '+' THEN '-' ELSE '+' END AS strand) FROM v_feat WHERE score > 60), "
+@query("iv_nearest_opposite", "WITH f AS (SELECT * REPLACE (CASE strand WHEN '+' THEN '-' ELSE '+' END AS strand) FROM v_feat), "
        + _nearest_sql("a.chrom = b.chrom AND a.strand = b.strand", "true").strip()[5:] + "SELECT event_id, b_event_id, gap AS distance FROM r WHERE n = 1")
 def _(v):
-    b = v("v_feat").where("score > 60").withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+")).withColumnRenamed("event_id", "b_event_id")
+    b = v("v_feat").withColumn("strand", F.when(F.col("strand") == "+", "-").otherwise("+")).withColumnRenamed("event_id", "b_event_id")
     return intervals.nearest(v("v_point"), b, ["chrom", "strand"], "event_id", "b_event_id", width=128, shard=4096)
 
 
 @query("iv_subtract", """
-WITH m AS (SELECT DISTINCT chrom, strand, start, "end" FROM v_point WHERE score > 30),
+WITH m AS (SELECT DISTINCT chrom, strand, start, "end" FROM v_point),
 b AS (SELECT chrom, strand, unnest(range(start, "end")) AS pos FROM m),
 a AS (SELECT event_id, chrom, strand, unnest(range(start, "end")) AS pos FROM v_feat),
 k AS (SELECT event_id, pos FROM a ANTI JOIN b USING (chrom, strand, pos)),
 g AS (SELECT event_id, pos, pos - row_number() OVER (PARTITION BY event_id ORDER BY pos) AS g FROM k)
 SELECT event_id, min(pos) AS start, max(pos) + 1 AS "end" FROM g GROUP BY event_id, g.g""")
 def _(v):
-    return intervals.subtract(v("v_feat"), v("v_point").where("score > 30"), ["chrom", "strand"], "event_id", width=128).select("event_id", "start", "end")
+    return intervals.subtract(v("v_feat"), v("v_point"), ["chrom", "strand"], "event_id", width=128).select("event_id", "start", "end")
 
 
 @query("iv_map_max", f"SELECT a.event_id, coalesce(max(b.score), 0) AS mapped FROM v_feat a LEFT JOIN v_point b ON {_HIT} GROUP BY 1")
@@ -203,11 +203,11 @@ def _(v):
     return intervals.covered_sum(f, v("v_run"), ["chrom", "strand"], "event_id", width=128)
 
 
-_MASK = "(SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN 'N' ELSE 'R' END AS chrom, strand, {} AS pos FROM v_feat WHERE score > 100)"
+_MASK = "(SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN 'N' ELSE 'R' END AS chrom, strand, {} AS pos FROM v_feat)"
 for _mode, _pos in (("inside", 'unnest(range(start, "end" + 1))'), ("up", "CASE WHEN strand = '+' THEN \"end\" ELSE start - 1 END"), ("down", "CASE WHEN strand = '+' THEN start - 1 ELSE \"end\" END")):
     @query(f"iv_mask_{_mode}", f"SELECT c.chrom, c.strand, c.pos, c.value FROM v_end c ANTI JOIN {_MASK.format(_pos)} m ON c.chrom = m.chrom AND c.strand = m.strand AND c.pos = m.pos")
     def _(v, mode=_mode):
-        f = v("v_feat").where("score > 100").withColumn("chrom", F.when(F.col("event_id") % 3 == 0, "A").when(F.col("event_id") % 3 == 1, "N").otherwise("R"))
+        f = v("v_feat").withColumn("chrom", F.when(F.col("event_id") % 3 == 0, "A").when(F.col("event_id") % 3 == 1, "N").otherwise("R"))
         return coverage.mask(v("v_end"), f, mode).select("chrom", "strand", "pos", "value")
 
 
@@ -237,6 +237,18 @@ def _(v):
     return intervals.deduplicate(v("v_feat"), ["chrom", "start"], "first", ["event_id"], only_unique=True).select("event_id", "chrom", "start")
 
 
+# adjacent rows by position with the same user: one row a run, by each way to choose
+_RUN = """WITH o AS (SELECT *, row_number() OVER (ORDER BY chrom, start, "end", event_id) AS place, row_number() OVER (PARTITION BY user_id % 3 ORDER BY chrom, start, "end", event_id) AS within FROM v_feat),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id % 3, place - within ORDER BY {}) AS n FROM o) SELECT event_id FROM r WHERE n = 1"""
+_ALONG = "CASE WHEN strand = '-' THEN -\"end\" ELSE start END"
+for _name, _rank in {
+    "first": "place", "last": "place DESC", "left": "start, place", "right": '"end" DESC, place', "upstream": f"{_ALONG}, place", "downstream": f"{_ALONG} DESC, place", "highscore": "score DESC, place", "lowscore": "score, place",
+}.items():
+    query(f"iv_runs_{_name}", _RUN.format(_rank))(
+        lambda v, n=_name: intervals.deduplicate_runs(v("v_feat").withColumn("k", F.col("user_id") % 3), ["k"], ["chrom", "start", "end", "event_id"], select=n).select("event_id")
+    )
+
+
 # --- signal -----------------------------------------------------------------------------------
 
 def _smooth_sql(weights):
@@ -300,7 +312,7 @@ def _(v):
 
 
 @query("sig_period", f"""WITH {_ISLAND}, k AS (SELECT *, first_value(pos) OVER (PARTITION BY chrom, strand, start ORDER BY value DESC, pos DESC) AS peak, sum(value) OVER (PARTITION BY chrom, strand, start) AS total FROM x),
-y AS (SELECT *, unnest(range(1, least(30, "end" - start) + 1)) AS p FROM k),
+y AS (SELECT *, unnest(range(1, "end" - start + 1)) AS p FROM k),
 z AS (SELECT chrom, strand, start, "end", p, sum(CASE WHEN (pos - peak) % p = 0 THEN value END) AS hit, max(("end" - 1 - peak) // p + (peak - start) // p + 1) AS spots, max(total) AS total FROM y GROUP BY 1, 2, 3, 4, 5),
 o AS (SELECT *, hit / spots * hit / total AS score, row_number() OVER (PARTITION BY chrom, strand, start ORDER BY hit / spots * hit / total DESC, p DESC) AS n FROM z)
 SELECT chrom, strand, start, "end", CAST(p AS INTEGER) AS period, score FROM o WHERE n = 1""")

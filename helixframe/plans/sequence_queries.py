@@ -44,21 +44,16 @@ def _(v):
 
 @query("seq_all_kmers", "SELECT a || b || c AS kmer FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS a), (SELECT unnest(['A', 'C', 'G', 'T']) AS b), (SELECT unnest(['A', 'C', 'G', 'T']) AS c)")
 def _(v):
-    return v("region").limit(1).select(F.explode(F.array(*[F.lit(k) for k in S.all_kmers(3)])).alias("kmer"))
+    return v("region").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*[F.lit(k) for k in S.all_kmers(3)])).alias("kmer"))
 
 
 _MISS = " + ".join(f"CASE WHEN substr(seq, i + {k}, 1) IN ({', '.join(repr(b) for b in S.IUPAC[c])}) THEN 0 ELSE 1 END" for k, c in enumerate("GTYRACGA"))
 
 
-@query("seq_motif_scan", f"WITH {_SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS at FROM p WHERE {_MISS} <= 1")
-def _(v):
-    return _seq(v).select("doc_id", F.explode(S.motif_hits(F.col("seq"), "GTYRACGA", 1)).alias("at"))
-
-
 _MISS_BACK = " + ".join(f"CASE WHEN substr(seq, i + {k}, 1) IN ({', '.join(repr(b) for b in S.IUPAC[c])}) THEN 0 ELSE 1 END" for k, c in enumerate("TCGTYRAC"))
 
 
-@query("seq_motif_both", f"WITH {_SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS at, '+' AS strand FROM p WHERE {_MISS} <= 1 UNION ALL SELECT doc_id, CAST(i - 1 AS INTEGER), '-' FROM p WHERE {_MISS_BACK} <= 1")
+@query("seq_motif_scan", f"WITH {_SEQ}, p AS (SELECT doc_id, seq, unnest(range(1, length(seq) - 6)) AS i FROM s) SELECT doc_id, CAST(i - 1 AS INTEGER) AS at, '+' AS strand FROM p WHERE {_MISS} <= 1 UNION ALL SELECT doc_id, CAST(i - 1 AS INTEGER), '-' FROM p WHERE {_MISS_BACK} <= 1")
 def _(v):
     return _seq(v).select("doc_id", F.inline(S.motif_hits_both(F.col("seq"), "GTYRACGA", 1)))
 
@@ -76,10 +71,10 @@ def _(v):
     return _seq(v).select("doc_id", S.translate_codons(F.col("seq")).alias("aa"))
 
 
-@query("seq_degeneracy", "WITH d AS (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTRYN]', '', 'g') AS seq FROM documents) SELECT doc_id, length(seq) + length(regexp_replace(seq, '[^RY]', '', 'g')) + 3 * length(regexp_replace(seq, '[^N]', '', 'g')) AS total FROM d")
+@query("seq_degeneracy", "WITH d AS (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGTRYN]', '', 'g') AS seq FROM documents) SELECT doc_id, coalesce(array_to_string([CASE WHEN substr(seq, i, 1) = 'N' THEN 4 WHEN substr(seq, i, 1) IN ('R', 'Y') THEN 2 ELSE 1 END FOR i IN range(1, length(seq) + 1)], ','), '') AS each FROM d")
 def _(v):
     s = v("documents").select("doc_id", F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGTRYN]", "").alias("seq"))
-    return s.select("doc_id", F.aggregate(S.degeneracy(F.col("seq")), F.lit(0), lambda a, x: a + x).cast("bigint").alias("total"))
+    return s.select("doc_id", F.array_join(F.transform(S.degeneracy(F.col("seq")), lambda x: x.cast("string")), ",").alias("each"))
 
 
 def orf_sql(table: str) -> str:
@@ -177,9 +172,9 @@ def _(v):
     return _cigar(v).groupBy(S.softclip(F.col("cigar"), "left").alias("clip")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sam_flags", "SELECT (l_partkey & 1) <> 0 AS paired, (l_partkey & 16) <> 0 AS reverse, (l_partkey & 256) <> 0 AS secondary, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+@query("sam_flags", "SELECT " + ", ".join(f"(l_partkey & {1 << i}) <> 0 AS {n}" for i, n in enumerate(S.FLAG_BITS)) + ", count(*) AS n FROM lineitem GROUP BY ALL")
 def _(v):
-    return v("lineitem").select(S.flag_bits(F.col("l_partkey")).alias("f")).groupBy("f.paired", "f.reverse", "f.secondary").agg(F.count(F.lit(1)).alias("n"))
+    return v("lineitem").select(S.flag_bits(F.col("l_partkey")).alias("f")).groupBy(*[f"f.{n}" for n in S.FLAG_BITS]).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- duplexes: each small RNA against an altered perfect target ---

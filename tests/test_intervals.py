@@ -92,3 +92,14 @@ def test_kernels_and_trim(spark):
     inside = spark.createDataFrame(rows, "chrom string, strand string, start long, end long, pos long, value double")
     assert sorted(r.pos for r in signal.local_maxima(inside).collect()) == [2, 4]
     assert inside.agg(F.sum("value")).first()[0] == 14
+
+
+def test_runs_of_equal_keys_are_told_apart(spark):
+    rows = [(i, k, i * 10, i * 10 + 5, "+", float(i % 4)) for i, k in enumerate("aabbbaac" * 20)]
+    df = spark.createDataFrame(rows, "id long, k string, start long, end long, strand string, score double")
+    got = sorted(r.id for r in intervals.deduplicate_runs(df, ["k"], ["start"], partitions=6).collect())
+    assert got == [i for i, (_, k, *_) in enumerate(rows) if i == 0 or rows[i - 1][1] != k]
+    alone = [r.id for r in intervals.deduplicate_runs(df, ["k"], ["start"], only_unique=True, partitions=6).collect()]
+    assert sorted(alone) == [i for i, (_, k, *_) in enumerate(rows) if k == "c"]
+    high = {r.id for r in intervals.deduplicate_runs(df, ["k"], ["start"], select="highscore", partitions=6).collect()}
+    assert {1, 3} <= high and len(high) == len(got)
