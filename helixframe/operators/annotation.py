@@ -5,10 +5,13 @@ Exons are rows of chrom, strand, gene, tx, start, end (half-open).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.intervals import nearest, overlap_join
+from helixframe.operators.intervals import _nearest_before, overlap_join
+from helixframe.operators.periods import SHARD
 from helixframe.operators.shards import numbered
 from helixframe.session import materialize
 
@@ -119,30 +122,36 @@ def classify(features: DataFrame, exons: DataFrame, upstream: int = 500, width:
     text = F.concat(F.col("chrom"), F.col("strand"), F.lit("|"), F.col("start"), F.lit("|"), F.col("end"), F.lit("|"), F.col("gene"))
     named_exons = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").alias("eid")
     ex = materialize(exons.select(*keys, "start", "end", "gene").distinct().select("*", named_exons), "exons")
-    first = materialize(terminal_exons(exons).select(*keys, "start", "end", "gene").distinct().select("*", named_exons), "exons")
-
-    def within(a: DataFrame, b: DataFrame, code: int, on: list[str] = keys) -> DataFrame:
-        return overlap_join(a, b.select(*keys, "start", "end").distinct(), on, how="left_semi", width=width).select("fid", F.lit(code).alias("code"))
-
-    def between(a: DataFrame, b: DataFrame, code: int) -> DataFrame:
-        named = b.select("eid", "gene").distinct()
-        sides = []
-        for way in ("ahead", "behind"):
-            n = nearest(a, b, keys, "fid", "eid", way, "strand", width=width).where("distance <> 0").join(named, "eid")
-            sides.append(materialize(n.select("fid", F.col("gene").alias(way)), "sides"))
-        return sides[0].join(sides[1], "fid").where("ahead = behind").select("fid", F.lit(code).alias("code"))
-
-    s, p = within(f, single_exon_genes(exons), 7), materialize(within(f, first, 6), "codes")
-    labelled_p = f.join(p.select("fid"), "fid", "left_semi")
-    d = within(f, ex, 5)
-    clear = overlap_join(f, labelled_p.select("chrom", "start", "end").distinct(), ["chrom"], how="left_anti", width=width)
-    d = d.join(clear.select("fid"), "fid", "left_semi")
-    u = nearest(f, first, keys, "fid", "eid", "ahead", "strand", width=width).where(F.col("distance").between(-upstream, -1)).select("fid", F.lit(4).alias("code"))
-    u = materialize(u, "codes")
-    sense = materialize(s.unionByName(p).unionByName(d).unionByName(u).unionByName(between(f, ex, 3)), "codes")
-    rest = f.join(sense.select("fid"), "fid", "left_anti")
-    rest = materialize(rest, "features")
-    anti = within(_flip(rest), ex, 2).unionByName(between(_flip(rest), ex, 1))
+    first = terminal_exons(exons).select(*keys, "start", "end", "gene").distinct().select("*", named_exons)
+
+    def within(a: DataFrame, b: DataFrame, on: list[str] = keys) -> DataFrame:
+        return overlap_join(a, b.select(*keys, "start", "end"), on, how="left_semi", width=width).select("fid")
+
+    def side(a: DataFrame, b: DataFrame, left: bool) -> DataFrame:
+        """The nearest row of ``b`` to the left or right of each row of ``a``, which overlaps none."""
+        at, edge = (F.col("start"), F.col("end")) if left else (-F.col("end"), -F.col("start"))
+        x = a.select(*keys, at.alias("at"), F.col("fid").alias("a_id"))
+        y = b.select(*keys, edge.alias("at"), F.col("eid").alias("ord"), F.col("eid").alias("b_id"))
+        return _nearest_before(x, y, keys, SHARD).select(F.col("a_id").alias("fid"), F.col("b_id").alias("eid"), "gap")
+
+    def between(a: DataFrame) -> DataFrame:
+        genes = ex.select("eid", "gene").distinct()
+        left, right = (side(a, ex, way).join(genes, "eid").select("fid", F.col("gene").alias(f"g{int(way)}")) for way in (True, False))
+        return left.join(right, "fid").where("g0 = g1").select("fid")
+
+    s, p = within(f, single_exon_genes(exons)), materialize(within(f, first), "codes")
+    in_exon = materialize(within(f, ex), "codes")
+    labelled_p = f.join(p, "fid", "left_semi")
+    clear = overlap_join(f.join(in_exon, "fid", "left_semi"), labelled_p.select("chrom", "start", "end"), ["chrom"], how="left_anti", width=width).select("fid")
+    free = f.join(p, "fid", "left_anti")
+    ahead = side(free.where("strand = '+'"), first, False).unionByName(side(free.where("strand = '-'"), first, True))
+    u = ahead.where(F.col("gap") <= upstream).select("fid")
+    i = between(f.join(in_exon, "fid", "left_anti"))
+    parts = [(s, 7), (p, 6), (clear, 5), (u, 4), (i, 3)]
+    sense = materialize(reduce(DataFrame.unionByName, [d.select("fid", F.lit(code).alias("code")) for d, code in parts]), "codes")
+    rest = materialize(_flip(f.join(sense, "fid", "left_anti")), "features")
+    across = materialize(within(rest, ex), "codes")
+    anti = across.select("fid", F.lit(2).alias("code")).unionByName(between(rest.join(across, "fid", "left_anti")).select("fid", F.lit(1).alias("code")))
     best = sense.unionByName(anti).groupBy("fid").agg(F.max("code").alias("code"))
     labels = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     return f.join(best, "fid", "left").select("fid", F.coalesce("code", F.lit(0)).alias("code")).withColumn("label", F.element_at(labels, F.col("code")))

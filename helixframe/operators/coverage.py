@@ -17,11 +17,38 @@ from helixframe.operators.periods import SHARD, _shard
 KEYS = ["chrom", "strand"]
 
 
-def expand_runs(runs: DataFrame, keys: list[str] = KEYS, on_overlap: str = "sum", order: str | None = None) -> DataFrame:
+def segment_runs(segments: DataFrame, keys: list[str] = KEYS, shard: int = SHARD) -> DataFrame:
+    """Runs covered by half-open segments (``start``, ``end``, ``value``), with the summed value of those that cover them.
+
+    A segment is two steps, up at its start and down at its end; steps are summed by
+    position, and added up within shards of the axis with one carried row a shard.
+    So the rows follow the ends of segments and not the bases.  A count of open
+    segments goes along, so that rounding leaves no run where nothing lies.
+    """
+    step = F.array(F.struct(F.col("start").alias("pos"), F.col("value").alias("v"), F.lit(1).alias("n")), F.struct(F.col("end").alias("pos"), (-F.col("value")).alias("v"), F.lit(-1).alias("n")))
+    steps = segments.where("start < end").select(*keys, F.inline(step)).groupBy(*keys, "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    steps = steps.withColumn("h", _shard(F.col("pos"), shard))
+    local = Window.partitionBy(*keys, "h").orderBy("pos")
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    inside = steps.select(*keys, "h", "pos", F.lead("pos").over(local).alias("next"), F.sum("v").over(upto).alias("v"), F.sum("n").over(upto).alias("n"))
+    along = Window.partitionBy(*keys).orderBy("h")  # one row a shard
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    edges = steps.groupBy(*keys, "h").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.min("pos").alias("first"))
+    edges = edges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("h").alias("_h"), F.lead("first").over(along).alias("_next"), F.sum("v").over(before).alias("_v"), F.sum("n").over(before).alias("_n"))
+    on = F.col("h") == F.col("_h")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    out = inside.join(edges, on)
+    return out.where(F.col("n") + F.coalesce("_n", F.lit(0)) > 0).select(*keys, F.col("pos").alias("start"), F.coalesce("next", "_next").alias("end"), (F.col("v") + F.coalesce("_v", F.lit(0))).alias("value"))
+
+
+def expand_runs(runs: DataFrame, keys: list[str] = KEYS, on_overlap: str = "sum", order: str | None = None, shard: int = SHARD) -> DataFrame:
     """Runs to positions.  Zero values are skipped; positions given twice add up, or the last in ``order`` wins."""
-    each = runs.where("value <> 0 and start < end").select("*", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
-    value = F.sum("value") if on_overlap == "sum" else F.max_by("value", order or "start")
-    return each.groupBy(*keys, "pos").agg(value.alias("value"))
+    there = runs.where("value <> 0 and start < end")
+    positions = F.explode(F.sequence("start", F.col("end") - 1)).alias("pos")
+    if on_overlap == "sum":
+        return segment_runs(there, keys, shard).select(*keys, positions, "value")
+    return there.select("*", positions).groupBy(*keys, "pos").agg(F.max_by("value", order or "start").alias("value"))
 
 
 def combine(parts: list[tuple[DataFrame, float]], keys: list[str] = KEYS) -> DataFrame:

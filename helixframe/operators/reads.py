@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,23 +138,27 @@ def rescue(unique: DataFrame, multi: DataFrame, rounds: int | None = None, oppos
     parallel, so the result is not that of a read-by-read sweep.  Every round is
     written to the shared folder.
     """
-    cov = unique
+    own = ["chrom", "strand", "pos"]
+    given = [unique.select(*own, "value")]  # coverage of the rounds so far, one table a round; put together after each level
+
+    def total() -> DataFrame:
+        return reduce(DataFrame.unionByName, given).groupBy(*own).agg(F.sum("value").alias("value")) if len(given) > 1 else given[0]
+
     levels = [r.n_map for r in multi.select("n_map").distinct().orderBy("n_map").collect()]  # few small numbers
     for level in levels:
         waiting = multi.where(F.col("n_map") == level)
         done_rounds = 0
         while rounds is None or done_rounds < rounds:
-            shared = materialize(allocate(waiting, cov, opposite), "rescue")
-            done = shared.where("share is not null")
-            if done.isEmpty():
+            shared = materialize(allocate(waiting, total(), opposite), "rescue")
+            found = shared.agg(F.count_if(F.col("share").isNotNull()).alias("done"), F.count_if(F.col("share").isNull()).alias("left")).first()
+            if not found["done"]:
                 break
-            add = done.select("chrom", "strand", F.explode(_mapped(done)).alias("pos"), (F.col("weight") * F.col("share")).alias("value"))
-            cov = materialize(cov.unionByName(add).groupBy("chrom", "strand", "pos").agg(F.sum("value").alias("value")), "coverage")
+            done = shared.where("share is not null")
+            given.append(done.select("chrom", "strand", F.explode(_mapped(done)).alias("pos"), (F.col("weight") * F.col("share")).alias("value")).where("value <> 0"))
             waiting = shared.where("share is null").drop("share")
-            if waiting.isEmpty():
+            if not found["left"]:
                 break
             done_rounds += 1
-        even = waiting.select("chrom", "strand", F.explode(_mapped(waiting)).alias("pos"), (F.col("weight") / level).alias("value"))
-        cov = cov.unionByName(even).groupBy("chrom", "strand", "pos").agg(F.sum("value").alias("value"))
-        cov = materialize(cov.where("value <> 0"), "coverage")
-    return cov
+        given.append(waiting.select("chrom", "strand", F.explode(_mapped(waiting)).alias("pos"), (F.col("weight") / level).alias("value")))
+        given = [materialize(total().where("value <> 0"), "coverage")]
+    return given[0]

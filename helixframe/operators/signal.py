@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.operators.coverage import KEYS
-from helixframe.operators.periods import SHARD, merge_periods
+from helixframe.operators.periods import SHARD, _shard, merge_periods
 from helixframe.operators.shards import around, numbered
 
 
@@ -24,16 +27,43 @@ def kernel(shape: str = "laplace", bandwidth: float = 15, sigma: float = 3) -> l
     return [(x, w / total) for x, w in raw]
 
 
-def convolve(cov: DataFrame, weights: list[tuple[int, float]], keys: list[str] = KEYS, snap: float = 1e-9) -> DataFrame:
-    """Sum of value x weight at every position in reach; negative positions and values up to ``snap`` are dropped.
-
-    The kernel is a literal array, exploded beside each position; the sums combine before the shuffle.
-    """
+def convolve_rows(cov: DataFrame, weights: list[tuple[int, float]], keys: list[str] = KEYS, snap: float = 1e-9) -> DataFrame:
+    """The convolution as one aggregation, for streams: a row for each position and offset, which combine before the shuffle."""
     pairs = F.array(*[F.struct(F.lit(x).cast("bigint").alias("o"), F.lit(w).alias("w")) for x, w in weights])
     spread = cov.select(*keys, "pos", "value", F.inline(pairs)).select(*keys, (F.col("pos") + F.col("o")).alias("pos"), (F.col("value") * F.col("w")).alias("value"))
     return spread.where("pos >= 0").groupBy(*keys, "pos").agg(F.sum("value").alias("value")).where(F.col("value") > snap)
 
 
+def convolve(cov: DataFrame, weights: list[tuple[int, float]], keys: list[str] = KEYS, snap: float = 1e-9, shard: int = 1 << 16) -> DataFrame:
+    """Sum of value x weight at every position in reach; negative positions and values up to ``snap`` are dropped.
+
+    Positions are summed first, so a group is at most a shard of the axis with the
+    reach of the kernel on both sides; each is one dense array.
+    """
+    reach = max(abs(x) for x, _ in weights)
+    dense = np.zeros(2 * reach + 1)
+    for x, w in weights:
+        dense[reach + x] += w
+    shard = max(shard, reach)
+    summed = cov.groupBy(*keys, "pos").agg(F.sum(F.col("value").cast("double")).alias("value"))
+    place, home = F.pmod("pos", F.lit(shard)), _shard(F.col("pos"), shard)
+    copies = F.filter(F.array(home, F.when(place < reach, home - 1), F.when(place >= shard - reach, home + 1)), lambda h: h.isNotNull())
+    spread = summed.select(*keys, "pos", "value", F.explode(copies).alias("h"))
+    schema = T.StructType([*[f for f in spread.schema.fields if f.name in keys], T.StructField("pos", T.LongType()), T.StructField("value", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("h")[0].as_py() * shard
+        line = np.zeros(shard + 2 * reach)
+        line[table.column("pos").to_numpy() - (first - reach)] = table.column("value").to_numpy()
+        out = np.convolve(line, dense, "valid")
+        at = np.nonzero(out > snap)[0]
+        at = at[at + first >= 0]
+        columns = [table.column(k).combine_chunks().take(pa.array(np.zeros(len(at), np.int64))) for k in keys]
+        return pa.Table.from_arrays([*columns, pa.array(at + first), pa.array(out[at])], names=[*keys, "pos", "value"])
+
+    return spread.groupBy(*keys, "h").applyInArrow(run, schema)
+
+
 def islands(cov: DataFrame, threshold: float = 0.0, min_length: int = 1, keys: list[str] = KEYS) -> DataFrame:
     """Maximal runs of positions with value above ``threshold``: ``start``, ``end``."""
     above = cov.where(F.col("value") > threshold).select(*keys, F.col("pos").alias("s"), F.col("pos").alias("e"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import annotation, bias, coverage, intervals, quant, reads, shards, signal, stats
 from helixframe.plans.views import view, with_views
+from helixframe.session import materialize
 
 QUERIES, SQL = {}, {}
 
@@ -520,24 +521,28 @@ _KERNEL = signal.kernel("laplace", 3, 3)
 
 
 def feature_calling(v):
-    """Scale, subtract, smooth, find islands and their peaks, and keep those with enough reads."""
-    end, body = v("v_end"), v("v_body")
-    totals = end.agg(F.sum("value").alias("e")).crossJoin(body.agg(F.sum("value").alias("b")))  # one row
-    scale = totals.select(F.least(F.lit(10.0), F.col("b") / F.col("e")).alias("scale"))
-    scaled = end.crossJoin(F.broadcast(scale)).select("chrom", "strand", "pos", (F.col("value") * F.col("scale")).alias("value"))  # one row
-    signal_ = coverage.combine([(scaled, 1.0), (body, -1.0)])
+    """Mask, scale, subtract, smooth, find islands and their peaks, and keep those with enough reads."""
+    f = v("v_feat").withColumn("chrom", F.when(F.col("event_id") % 3 == 0, "A").when(F.col("event_id") % 3 == 1, "N").otherwise("R"))
+    end = materialize(coverage.mask(v("v_end"), f, "up").select("chrom", "strand", "pos", "value"), "end")  # read three times
+    body = v("v_body")
+    # both sums in one row
+    totals = end.agg(F.sum("value").alias("e")).crossJoin(body.agg(F.sum("value").alias("b")))
+    total = totals.first()
+    scale = min(10.0, float(total["b"]) / float(total["e"])) if total["e"] else 10.0
+    signal_ = coverage.combine([(end, scale), (body, -1.0)])
     smooth = signal.convolve(signal_, _KERNEL)
     found = signal.islands(smooth, 0.0, 3)
     peaks = signal.feature_values(signal.in_features(end, found))
-    total = end.agg(F.sum("value").alias("t"))
-    return peaks.crossJoin(F.broadcast(total)).where(F.col("total") * 1e6 / F.col("t") >= 20).select("chrom", "strand", "start", "end", "peak")  # one row
+    return peaks.where(F.col("total") * 1e6 / F.lit(float(total["e"] or 1)) >= 20).select("chrom", "strand", "start", "end", "peak")
 
 
-@query("flagship_feature_calling", "WITH sc AS (SELECT least(10.0, (SELECT sum(value) FROM v_body) / (SELECT sum(value) FROM v_end)) AS scale), "
-       "c AS (SELECT chrom, strand, pos, sum(x) AS value FROM (SELECT chrom, strand, pos, value * scale AS x FROM v_end, sc UNION ALL SELECT chrom, strand, pos, -value FROM v_body) GROUP BY 1, 2, 3 HAVING sum(x) <> 0), "
+@query("flagship_feature_calling", "WITH mk AS (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'A' WHEN event_id % 3 = 1 THEN 'N' ELSE 'R' END AS chrom, strand, CASE WHEN strand = '+' THEN \"end\" ELSE start - 1 END AS pos FROM v_feat), "
+       "en AS (SELECT e.* FROM v_end e ANTI JOIN mk ON e.chrom = mk.chrom AND e.strand = mk.strand AND e.pos = mk.pos), "
+       "sc AS (SELECT least(10.0, (SELECT sum(value) FROM v_body) / (SELECT sum(value) FROM en)) AS scale), "
+       "c AS (SELECT chrom, strand, pos, sum(x) AS value FROM (SELECT chrom, strand, pos, value * scale AS x FROM en, sc UNION ALL SELECT chrom, strand, pos, -value FROM v_body) GROUP BY 1, 2, 3 HAVING sum(x) <> 0), "
        "s AS (SELECT chrom, strand, pos + o AS pos FROM c, (VALUES " + ", ".join(f"({x}, CAST({w!r} AS DOUBLE))" for x, w in _KERNEL) + ") k(o, w) WHERE pos + o >= 0 GROUP BY 1, 2, 3 HAVING sum(value * w) > 1e-9), "
        "g AS (SELECT *, pos - row_number() OVER (PARTITION BY chrom, strand ORDER BY pos) AS g FROM s), i AS (SELECT chrom, strand, min(pos) AS start, max(pos) + 1 AS \"end\" FROM g GROUP BY chrom, strand, g HAVING count(*) >= 3), "
-       "x AS (SELECT i.*, e.pos, e.value FROM i JOIN v_end e ON e.chrom = i.chrom AND e.strand = i.strand AND e.pos >= i.start AND e.pos < i.\"end\") "
-       "SELECT chrom, strand, start, \"end\", arg_max(pos, (value, pos)) AS peak FROM x GROUP BY 1, 2, 3, 4 HAVING sum(value) * 1e6 / (SELECT sum(value) FROM v_end) >= 20")
+       "x AS (SELECT i.*, e.pos, e.value FROM i JOIN en e ON e.chrom = i.chrom AND e.strand = i.strand AND e.pos >= i.start AND e.pos < i.\"end\") "
+       "SELECT chrom, strand, start, \"end\", arg_max(pos, (value, pos)) AS peak FROM x GROUP BY 1, 2, 3, 4 HAVING sum(value) * 1e6 / (SELECT sum(value) FROM en) >= 20")
 def _(v):
     return feature_calling(v)

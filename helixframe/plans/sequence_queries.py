@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
+from helixframe.operators import coverage
 from helixframe.plans.views import view, with_views
 
 QUERIES, SQL = {}, {}
@@ -164,7 +165,8 @@ def _(v):
 @query("cigar_coverage", """SELECT pos, count(*) AS n FROM (SELECT unnest(range(l_partkey, l_partkey + CAST(l_quantity AS BIGINT))) AS pos FROM lineitem
   UNION ALL SELECT unnest(range(l_partkey + CAST(l_quantity AS BIGINT) + l_suppkey, l_partkey + CAST(l_quantity AS BIGINT) + l_suppkey + 20)) FROM lineitem) GROUP BY 1""")
 def _(v):
-    return _cigar(v).select(F.explode(S.covered_positions(S.cigar_segments(F.col("pos"), F.col("cigar")))).alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n"))
+    segments = _cigar(v).select(F.lit(0).alias("all"), F.inline(S.cigar_segments(F.col("pos"), F.col("cigar"))), F.lit(1).alias("value"))
+    return coverage.expand_runs(segments, ["all"]).select("pos", F.col("value").alias("n"))
 
 
 @query("cigar_softclip", "SELECT l_linenumber AS clip, count(*) AS n FROM lineitem GROUP BY 1")

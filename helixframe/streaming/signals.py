@@ -20,7 +20,7 @@ def read_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 def convolve_stream(cov: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
     """The convolution so far; late and repeated positions add up, so the order of the input does not matter."""
-    return signal.convolve(cov, weights)
+    return signal.convolve_rows(cov, weights)
 
 
 def group_reads(lines: DataFrame) -> DataFrame:
