@@ -116,7 +116,10 @@ def mask_positions(mask: DataFrame, mode: str) -> DataFrame:
 
 
 def mask(cov: DataFrame, features: DataFrame, mode: str = "inside", keys: list[str] = KEYS) -> DataFrame:
-    """Coverage outside the masked positions."""
+    """Coverage outside the masked positions. Masks of one base meet it by position, others by their bins."""
+    if mode != "inside":
+        at = mask_positions(features, mode).select(*keys, F.col("start").alias("pos")).distinct()
+        return cov.join(at, [*keys, "pos"], "left_anti")
     points = cov.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + 1)
     return overlap_join(points, mask_positions(features, mode), keys, how="left_anti", a_levels=(0,)).drop("start", "end")
 

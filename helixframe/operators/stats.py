@@ -51,9 +51,11 @@ def benjamini_hochberg(df: DataFrame, by: list[str], p: str, name: str = "fdr",
     rank = F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
     raw = r.withColumn("_q", F.col("_v") * F.col("total__before") / rank)
     least = raw.groupBy(*by, "_p").agg(F.min("_q").alias("_l"))
-    outer = Window.partitionBy(*by).orderBy("_p")  # one row a partition
-    later = least.withColumn("_later", F.min("_l").over(outer.rowsBetween(1, Window.unboundedFollowing))).drop("_l")
-    done = raw.join(later, [*by, "_p"]).select(*by, F.col("_v").alias(p), F.least(F.lit(1.0), F.min("_q").over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col("_later")).alias(name))
+    # from the greatest value down, for a frame that ends at the last row costs the square of the rows
+    outer = Window.partitionBy(*by).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    later = least.withColumn("_later", F.min("_l").over(outer)).drop("_l")
+    down = Window.partitionBy(*by, "_p").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    done = raw.join(later, [*by, "_p"]).select(*by, F.col("_v").alias(p), F.least(F.lit(1.0), F.min("_q").over(down), F.col("_later")).alias(name))
     return df.join(done, [*by, p], "left")
 
 

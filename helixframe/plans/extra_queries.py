@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.operators import annotation, consensus, coverage, intervals, quant, signal, stats
 from helixframe.plans.analysis_queries import _EX, _POINT, _TREE, _RANKED, _exons, _points, spaced_sql
 from helixframe.plans.views import view, with_views
-from helixframe.session import materialize, shared_dir
+from helixframe.session import materialize, shared_folder
 from helixframe.sources import formats, sinks
 from helixframe.streaming import signals
 
 QUERIES, SQL = {}, {}
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def query(name, sql=None):
     def add(f):
         QUERIES[name] = f
@@ -39,7 +33,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     runs = coverage.encode_runs(view(spark, sf, "v_end"))
     parts = []
     for strand in "+-":  # a file holds one strand
-        path = _folder(spark, "bedgraph")
+        path = shared_folder(spark, "bedgraph")
         sinks.write_bedgraph(runs.where(F.col("strand") == strand), path)
         parts.append(formats.read_bedgraph(spark, path, strand))
     return parts[0].unionByName(parts[1]).select("chrom", "strand", "start", "end", "value")
@@ -47,7 +41,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("io_fasta_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL AND length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) > 0")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "fasta")
+    path = shared_folder(spark, "fasta")
     seqs = view(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq")).where("length(seq) > 0")
     sinks.write_fasta(seqs, path)
     return formats.read_fasta(spark, path)
@@ -55,14 +49,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("io_bed_round_trip", "SELECT chrom, start, \"end\", CAST(event_id AS VARCHAR) AS name, strand FROM v_feat")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "bed")
+    path = shared_folder(spark, "bed")
     sinks.write_bed(view(spark, sf, "v_feat").withColumn("name", F.col("event_id")), path)
     return formats.read_bed(spark, path).select("chrom", "start", "end", "name", "strand")
 
 
 @query("io_gff_round_trip", f"WITH {_EX} SELECT chrom, strand, gene, tx, start, \"end\" FROM x")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    path = _folder(spark, "gff")
+    path = shared_folder(spark, "gff")
     sinks.write_gff(_exons(lambda n: view(spark, sf, n)), path)
     return formats.gff_exons(formats.read_gff(spark, path)).select("chrom", "strand", "gene", "tx", "start", "end")
 
@@ -71,7 +65,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat_ws("\t", "l_orderkey", F.when(F.col("l_linestatus") == "O", "0").otherwise("16"), "l_returnflag", F.col("l_partkey") + 1, F.lit("60"),
                        F.concat(F.col("l_quantity").cast("int"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), F.lit("A"), F.lit("I"), F.concat(F.lit("XW:f:"), F.col("l_discount")))
-    path = _folder(spark, "sam")
+    path = shared_folder(spark, "sam")
     view(spark, sf, "lineitem").select(line.alias("value")).write.text(path)
     return formats.read_sam(spark, path).groupBy("chrom", "strand").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("segments")[0]["end"] - F.col("segments")[0]["start"]).alias("bases"))
 
@@ -81,24 +75,24 @@ SQL["io_sam_decode"] = "SELECT l_returnflag AS chrom, CASE WHEN l_linestatus = '
 
 @query("stream_convolve", "SELECT chrom, strand, pos + o AS pos, sum(value * w) AS value FROM v_end, (VALUES " + ", ".join(f"({x}, CAST({w!r} AS DOUBLE))" for x, w in signal.kernel("laplace", 3, 3)) + ") k(o, w) WHERE pos + o >= 0 GROUP BY 1, 2, 3 HAVING sum(value * w) > 1e-9")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    source = _folder(spark, "stream")
+    source = shared_folder(spark, "stream")
     view(spark, sf, "v_end").select("chrom", "strand", "pos", F.col("value").cast("double")).repartition(3).write.parquet(source)
     stream = signals.convolve_stream(signals.read_coverage(spark, source), signal.kernel("laplace", 3, 3))
-    out = _folder(spark, "smooth")
+    out = shared_folder(spark, "smooth")
     # a complete result is replaced batch by batch in the shared folder; it is never held by the driver
-    q = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _folder(spark, "state")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    q = stream.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "state")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
 @query("stream_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = _folder(spark, "counts")
+    out = shared_folder(spark, "counts")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     path = f"{sf}/events.parquet"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) if not _isshared_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
     counts = signals.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", late="3650 days")
-    q = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _folder(spark, "state")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    q = counts.writeStream.outputMode("complete").trigger(availableNow=True).option("checkpointLocation", shared_folder(spark, "state")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     q.awaitTermination()
     return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 

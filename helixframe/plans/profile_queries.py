@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from helixframe.operators import annotation, bias, genome, quant, reads, signal
@@ -12,7 +10,7 @@ from helixframe.plans.base_queries import _genome
 from helixframe.plans.genome_queries import _ISLAND, _inside
 from helixframe.plans.sequence_queries import _MISS, _MISS_BACK, _SEQ
 from helixframe.plans.views import view, with_views
-from helixframe.session import shared_dir
+from helixframe.session import shared_folder
 from helixframe.sources import formats, sinks
 
 QUERIES, SQL = {}, {}
@@ -218,7 +216,7 @@ def _(v):
 
 def round_trip(name, sql):
     def add(f):
-        QUERIES[name] = lambda spark, sf: f(spark, lambda v: view(spark, sf, v), f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+        QUERIES[name] = lambda spark, sf: f(spark, lambda v: view(spark, sf, v), shared_folder(spark, name))
         SQL[name] = with_views(sql)
         return f
     return add
