@@ -156,13 +156,18 @@ def encode_column(df: DataFrame, text: str, keep: list[str], path: str = VOCABUL
     Every row is kept, repeated ones too.  Defined cases: a null or empty text has
     an empty list; a text that spells a special token is ordinary text; texts may
     be of any length; an empty table gives none; further columns are ignored.
-    There is no shuffle.  ``path`` must be readable on every executor.
+    There is no shuffle.  The file at ``path`` goes to the executors with the job.
     """
+    context = df.sparkSession.sparkContext
+    context.addFile(path)
+    name = os.path.basename(path)
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        from pyspark import SparkFiles
+
+        encode = encoder(SparkFiles.get(name)).encode
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for batch in batches:
             ids, rows, size = [], 0, 0
