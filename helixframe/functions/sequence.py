@@ -47,8 +47,8 @@ def _starts(s: Column, k: int, step: int = 1) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """All k-mers of a sequence, in order."""
-    return F.transform(_starts(s, k), lambda i: F.substring(s, i, F.lit(k)))
+    """All k-mers of a sequence, in order, in one pass over it."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def codon_table() -> dict[str, str]:
@@ -65,7 +65,8 @@ def translate_codons(s: Column) -> Column:
     """Amino acids of frame 1; unknown codons are X, stops are ``*``, a rest under three letters is left off."""
     text = F.translate(F.upper(s), "U", "T")
     table = F.create_map(*[F.lit(x) for kv in codon_table().items() for x in kv])
-    return F.array_join(F.transform(_starts(text, 3, 3), lambda i: F.coalesce(F.element_at(table, F.substring(text, i, F.lit(3))), F.lit("X"))), "")
+    codons = F.regexp_extract_all(text, F.lit("(?s).{3}"), F.lit(0))
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.element_at(table, c), F.lit("X"))), "")
 
 
 def degeneracy(s: Column) -> Column:

@@ -16,11 +16,9 @@ TILE = 4096
 
 
 def tiles(genome: DataFrame, size: int = TILE) -> DataFrame:
-    """chrom, tile, seq of a table of chrom, seq."""
-    last = F.floor((F.length("seq") - 1) / size).cast("int")
-    numbers = F.when(F.length("seq") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    cut = genome.select("chrom", "seq", F.explode(numbers).alias("tile"))
-    return cut.select("chrom", "tile", F.substring("seq", F.col("tile") * size + 1, F.lit(size)).alias("seq"))
+    """chrom, tile, seq of a table of chrom, seq; each sequence is gone through once. Long ones are better read as tiles, see ``formats.read_fasta_tiles``."""
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return genome.select("chrom", F.posexplode(pieces).alias("tile", "seq"))
 
 
 def bases_at(points: DataFrame, tiled: DataFrame, size: int = TILE) -> DataFrame:

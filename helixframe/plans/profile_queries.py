@@ -319,3 +319,11 @@ def _(v):
     plus = F.col("l_linestatus") == "O"
     r = v("lineitem").select("l_orderkey", "l_linenumber", F.when(plus, "+").otherwise("-").alias("strand"), F.when(plus, "1S4M").otherwise("4M1S").alias("cigar"), F.when(plus, F.concat(letter, F.lit("AAAA"))).otherwise(F.concat(F.lit("AAAA"), letter)).alias("seq"))
     return reads.untemplated_filter(r, "G").select("l_orderkey", "l_linenumber")
+
+
+@round_trip("io_fasta_tiles", f"WITH {_SEQ} SELECT CAST(doc_id AS VARCHAR) AS chrom, CAST(unnest(range(0, (length(seq) + 15) // 16)) AS INTEGER) AS tile, unnest([substr(seq, 16 * t + 1, 16) FOR t IN range(0, (length(seq) + 15) // 16)]) AS seq FROM s WHERE length(seq) > 0")
+def _(spark, v, path):
+    """Sequences in lines of 10 letters, read as tiles of 16."""
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,10}"), F.lit(0)), "\n")
+    sinks.write_fasta(_genome(v).where("length(seq) > 0").select(F.col("chrom").alias("name"), lines.alias("seq")), path)
+    return formats.read_fasta_tiles(spark, path, 16)

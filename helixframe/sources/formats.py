@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.operators.shards import running_sum
 from helixframe.session import materialize
 
 BED = T.StructType().add("chrom", "string").add("start", "long").add("end", "long").add("name", "string").add("score", "double").add("strand", "string")
@@ -39,24 +40,50 @@ def read_fasta(spark: SparkSession, path: str, split_on: str = " ", upper: bool
     return out.select(F.substring_index("_h", split_on, 1).alias("name"), "seq")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """read_id, seq, plus, qual, and ``number`` of the record over all files; records are four lines.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` and ``at``, the number of a line over all files in the order of their names, from 0 on.
 
     A line's number is its place in its block of the file and the lines of the blocks
-    before, of which there is one row a block; lines are then grouped by fours.
+    before, of which there is one row a block.  Lines are written once into the shared folder.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    lines = materialize(lines, "fastq")  # the ids hold for one run only
+    lines = materialize(lines, "lines")  # the ids hold for one run only
     blocks = lines.groupBy("f", "b").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
     blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    at = lines.join(F.broadcast(blocks.drop("n")), ["f", "b"]).withColumn("at", F.col("before") + F.col("m") - F.col("first"))
+    return lines.join(blocks.drop("n"), ["f", "b"]).select("value", (F.col("before") + F.col("m") - F.col("first")).alias("at"))
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, seq, plus, qual, and ``number`` of the record over all files; records are four lines."""
     part = F.pmod("at", F.lit(4))
     own = [F.max(F.when(part == i, F.col("value"))) for i in range(4)]
-    records = at.groupBy(F.call_function("div", F.col("at"), F.lit(4)).alias("number")).agg(F.regexp_replace(own[0], "^@", "").alias("read_id"), own[1].alias("seq"), own[2].alias("plus"), own[3].alias("qual"))
+    number = F.call_function("div", F.col("at"), F.lit(4)).alias("number")
+    records = numbered_lines(spark, path).groupBy(number).agg(F.regexp_replace(own[0], "^@", "").alias("read_id"), own[1].alias("seq"), own[2].alias("plus"), own[3].alias("qual"))
     return records.select("read_id", "seq", "plus", "qual", "number")
 
 
+def read_fasta_tiles(spark: SparkSession, path: str, size: int = 4096, split_on: str = " ", upper: bool = True) -> DataFrame:
+    """``chrom``, ``tile``, ``seq``: FASTA as tiles of ``size`` letters, so that no row holds a whole sequence.
+
+    A line finds its place by the lengths of the lines before it in its record; the
+    pieces of a tile are then put together.
+    """
+    lines = numbered_lines(spark, path).withColumn("value", F.regexp_replace("value", "[\\s]+$", "")).withColumn("_head", F.col("value").startswith(">").cast("bigint")).withColumn("_all", F.lit(0))
+    records = running_sum(lines, ["_all"], "at", "_head", "record").where("record > 0").select("record", "at", "value", "_head")
+    names = records.where("_head = 1").select("record", F.substring_index(F.expr("substring(value, 2)"), split_on, 1).alias("chrom"))
+    body = records.where("_head = 0 and value <> ''").withColumn("_n", F.length("value").cast("bigint"))
+    placed = running_sum(body, ["record"], "at", "_n", "_end").withColumn("_start", F.col("_end") - F.col("_n"))
+    # the first piece fills the tile that the line before has begun
+    room = F.least(F.col("_n"), F.lit(size) - F.pmod("_start", F.lit(size))).cast("int")
+    rest = F.regexp_extract_all(F.substr("value", room + 1), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = placed.select("record", "_start", F.posexplode(F.concat(F.array(F.substring("value", F.lit(1), room)), rest)).alias("_k", "part"))
+    tile = (F.call_function("div", F.col("_start"), F.lit(size)) + F.col("_k")).cast("int").alias("tile")
+    ordered = F.array_sort(F.collect_list(F.struct("_start", "_k", "part")))
+    tiles = pieces.where("part <> ''").groupBy("record", tile).agg(F.array_join(F.transform(ordered, lambda x: x["part"]), "").alias("seq"))
+    return tiles.join(names, "record").select("chrom", "tile", (F.upper("seq") if upper else F.col("seq")).alias("seq"))
+
+
 def parse_folding(lines: DataFrame, text: str = "value", least_ratio: float = 0.65) -> DataFrame:
     """Text of a duplex folding program, one alignment a row, to structure, positions and energy.
 

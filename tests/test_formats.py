@@ -93,3 +93,19 @@ def test_weights_and_junctions(spark):
     assert sinks.duplicate_by_weight(df).count() == 2
     j = spark.createDataFrame([("c", 5, 9, "+", 1), ("c", 5, 9, "+", 2)], "chrom string, left long, right long, strand string, n long")
     assert rows(sinks.junction_bed(j), "start", "end", "score") == [(5, 10, 3)]
+
+
+def test_fasta_as_tiles(spark, tmp_path):
+    import random
+
+    from helixframe.sources import formats
+
+    rng = random.Random(1)
+    seqs = {f"c{i}": "".join(rng.choice("ACGTacgt") for _ in range(n)) for i, n in enumerate((0, 1, 63, 64, 65, 1000, 20_000))}
+    text = "".join(f">{k} note\n" + "\n".join(s[a : a + w] for a in range(0, len(s), w)) + "\n" for (k, s), w in zip(seqs.items(), (7, 7, 60, 64, 13, 10, 20_000)))
+    (tmp_path / "g.fa").write_text(text)
+    got = {}
+    for r in formats.read_fasta_tiles(spark, str(tmp_path / "g.fa"), 64).collect():
+        got.setdefault(r.chrom, {})[r.tile] = r.seq
+    assert {k: "".join(own[t] for t in range(len(own))) for k, own in got.items()} == {k: s.upper() for k, s in seqs.items() if s}
+    assert all(len(s) == 64 for own in got.values() for t, s in own.items() if t < len(own) - 1)
