@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -112,6 +113,21 @@ def shuffle_sequence(s: Column, seed: int | Column) -> Column:
     return F.when(F.size(letters) > 0, F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
 
 
+def which(array: Column, value: Column) -> Column:
+    """0-based places of an array where ``value`` stands; none for a null array."""
+    return _places(array, lambda x: x.eqNullSafe(value))
+
+
+def notwhich(array: Column, value: Column) -> Column:
+    """0-based places of an array where something else than ``value`` stands."""
+    return _places(array, lambda x: ~x.eqNullSafe(value))
+
+
+def _places(array: Column, holds: Callable[[Column], Column]) -> Column:
+    marked = F.transform(F.coalesce(array, F.array()), lambda x, i: F.when(holds(x), i))
+    return F.filter(marked, lambda i: i.isNotNull())
+
+
 # --- alignments ----------------------------------------------------------------------------------
 
 def cigar_ops(cigar: Column) -> Column:

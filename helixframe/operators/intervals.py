@@ -124,6 +124,18 @@ def cluster(df: DataFrame, keys: list[str], book_ended: bool = True, width: int
     return out.select(*kept, F.col("a__s").alias("start"), F.col("a__e").alias("end"), F.col("b_start").alias("c_start"), F.col("b_end").alias("c_end"))
 
 
+def merge_collapse(df: DataFrame, keys: list[str], column: str, book_ended: bool = True) -> DataFrame:
+    """Merged runs with ``collapsed``, the values of ``column`` of the rows in each, sorted and joined by commas, and the ``least`` of them."""
+    c = cluster(df.select(*keys, "start", "end", F.col(column).alias("_v")), keys, book_ended)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("_v")), lambda x: x.cast("string")), ",")
+    return c.groupBy(*keys, F.col("c_start").alias("start"), F.col("c_end").alias("end")).agg(text.alias("collapsed"), F.min("_v").alias("least"))
+
+
+def keep_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in a list of ids."""
+    return df.join(ids.select(key).distinct(), key, "left_semi").select(*df.columns)
+
+
 def _nearest_before(a: DataFrame, b: DataFrame, keys: list[str], shard: int) -> DataFrame:
     """For (keys, a_id, at) of ``a`` the last (at, ord, b_id) of ``b`` with ``b.at <= a.at``; among equals the least ord.
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.shards import carried, ranged, running_sum
+from helixframe.operators.shards import carried, numbered, ranged, running_sum
 
 #: Salts over which rows of one place are cut before they meet.
 SALTS = 32
@@ -118,3 +118,16 @@ def bandwidth_of(profile: pd.Series, share: float = 0.6827, least: int = 1, most
         if math.fsum(values[max(0, middle - h) : middle + h + 1]) >= share * total:
             return min(most, max(least, h))
     return most
+
+
+def min_max(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:
+    """``df`` with ``scaled``: the value between the least (0) and the greatest (1) of its group; 0 where all are equal."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    out = df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))  # one row
+    return out.withColumn("scaled", F.coalesce((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)), F.lit(0.0))).drop("_lo", "_hi")
+
+
+def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Names made unique in ``order``: the first of equals as it is, the others with .1, .2 and so on."""
+    rows = numbered(df, [name], order, "_k")
+    return rows.withColumn(name, F.when(F.col("_k") > 1, F.concat(F.col(name), F.lit("."), (F.col("_k") - 1).cast("string"))).otherwise(F.col(name))).drop("_k")

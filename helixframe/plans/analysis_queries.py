@@ -323,15 +323,16 @@ def _(v):
 
 
 @query("st_ks", f"""WITH {_SITES}, c AS (SELECT fold_change AS v, count(*) FILTER (WHERE control) AS a, count(*) FILTER (WHERE NOT control) AS b FROM d GROUP BY 1),
-r AS (SELECT sum(a) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / (SELECT sum(a) FROM c) AS x, sum(b) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / (SELECT sum(b) FROM c) AS y FROM c) SELECT max(abs(x - y)) AS distance FROM r""")
+r AS (SELECT sum(a) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / (SELECT sum(a) FROM c) AS x, sum(b) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / (SELECT sum(b) FROM c) AS y FROM c), z AS (SELECT max(abs(x - y)) AS distance, (SELECT sum(a) FROM c) AS na, (SELECT sum(b) FROM c) AS nb FROM r)
+SELECT distance, least(1, greatest(0, 2 * (SELECT sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * k * k * na * nb / (na + nb) * distance * distance)) FROM (SELECT unnest(range(1, 101)) AS k)))) AS p FROM z""")
 def _(v):
-    return stats.ks_distance(_sites(v), "control", "fold_change").select("distance")
+    return stats.ks_distance(_sites(v), "control", "fold_change").select("distance", "p")
 
 
 @query("st_welch", f"""WITH {_SITES}, s AS (SELECT avg(fold_change) FILTER (WHERE control) AS ma, avg(fold_change) FILTER (WHERE NOT control) AS mb, var_samp(fold_change) FILTER (WHERE control) / count(*) FILTER (WHERE control) AS va,
-  var_samp(fold_change) FILTER (WHERE NOT control) / count(*) FILTER (WHERE NOT control) AS vb FROM d) SELECT (ma - mb) / sqrt(va + vb) AS t FROM s""")
+  var_samp(fold_change) FILTER (WHERE NOT control) / count(*) FILTER (WHERE NOT control) AS vb, count(*) FILTER (WHERE control) AS na, count(*) FILTER (WHERE NOT control) AS nb FROM d) SELECT (ma - mb) / sqrt(va + vb) AS t, pow(va + vb, 2) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM s""")
 def _(v):
-    return stats.welch_t(_sites(v), "control", "fold_change").select("t")
+    return stats.welch_t(_sites(v), "control", "fold_change").select("t", "df")
 
 
 @query("st_replicate_summary", f"WITH {_SITES} SELECT family, sum(CAST(round(fold_change * 10000) AS BIGINT)) / count(*) / 10000 AS mean, coalesce(stddev_samp(fold_change), 0) AS sd, count(DISTINCT sample_name) >= 2 AS voted FROM d WHERE NOT control GROUP BY 1")

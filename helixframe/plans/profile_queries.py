@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.operators import annotation, bias, genome, quant, reads, signal
+from helixframe.functions import sequence as S
+from helixframe.operators import annotation, bias, genome, intervals, quant, reads, signal, stats
 from helixframe.plans.analysis_queries import _EX, _POINT, _SITES, _TREE, _exons, _multi, _points, _sites
 from helixframe.plans.base_queries import _genome
-from helixframe.plans.genome_queries import _ISLAND, _inside
+from helixframe.plans.genome_queries import _ISLAND, _MERGE, _inside
 from helixframe.plans.sequence_queries import _MISS, _MISS_BACK, _SEQ
 from helixframe.plans.views import view, with_views
 from helixframe.session import shared_folder
@@ -327,3 +328,101 @@ def _(spark, v, path):
     lines = F.array_join(F.regexp_extract_all("seq", F.lit(".{1,10}"), F.lit(0)), "\n")
     sinks.write_fasta(_genome(v).where("length(seq) > 0").select(F.col("chrom").alias("name"), lines.alias("seq")), path)
     return formats.read_fasta_tiles(spark, path, 16)
+
+
+@round_trip("io_gtf_round_trip", f"WITH {_EX} SELECT chrom, strand, gene, tx, start, \"end\" FROM x")
+def _(spark, v, path):
+    sinks.write_gtf(_exons(v), path)
+    return formats.gff_exons(formats.read_gff(spark, path)).select("chrom", "strand", "gene", "tx", "start", "end")
+
+
+@round_trip("io_motifs", "SELECT 'm' || p_partkey AS name, 'ACGT' || p_partkey AS pattern, CAST(p_partkey % 3 AS INTEGER) AS mismatches FROM part UNION ALL SELECT 'm' || p_partkey, 'NN', 0 FROM part")
+def _(spark, v, path):
+    v("part").select(F.concat(F.lit("m"), "p_partkey", F.lit(" ACGT"), "p_partkey", F.lit(",NN "), F.col("p_partkey") % 3, F.lit(",0")).alias("value")).write.text(path)
+    return formats.read_motifs(spark, path)
+
+
+@round_trip("io_kmer_table", "SELECT CAST(n_nationkey AS INTEGER) AS rel_pos, k AS kmer, n_nationkey * f AS freq FROM nation, (VALUES ('AA', 0.5), ('AC', 0.25)) t(k, f)")
+def _(spark, v, path):
+    v("nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") * 0.5).alias("AA"), (F.col("n_nationkey") * 0.25).alias("AC")).write.csv(path, header=True)
+    return formats.read_kmer_table(spark, path)
+
+
+@round_trip("io_duplexes", "SELECT site_id AS slice, split_part(srna, '_shuffled', 1) AS family, allen_score AS allen FROM detected_sites WHERE srna IS NOT NULL AND target_transcript IS NOT NULL AND allen_score <= 6 AND NOT isnan(allen_score) AND site_id % 10 >= 7")
+def _(spark, v, path):
+    d = v("detected_sites").where("srna is not null and target_transcript is not null").withColumn("ratio", F.col("site_id") % 10 / 10)
+    line = F.concat_ws("\t", "srna", "target_transcript", F.lit("1"), F.lit("21"), "site_id", F.lit("-30"), F.lit("-20"), "ratio", F.coalesce(F.col("allen_score").cast("string"), F.lit("NA")), F.lit("p"), F.lit("u"), F.lit("s"), F.lit("q"))
+    d.select(line.alias("value")).write.text(path)
+    return formats.read_duplexes(spark, path).where("not isnan(allen)").select("slice", "family", "allen")
+
+
+@round_trip("io_sample_sheet", "SELECT CAST(s_suppkey AS INTEGER) AS \"row\", 's' || s_suppkey AS sample FROM supplier WHERE s_suppkey % 2 = 0")
+def _(spark, v, path):
+    line = F.concat_ws(" ", "s_suppkey", F.lit("dir"), F.lit("a.fq,b.fq"), F.concat(F.lit("s"), "s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "BODY").otherwise("5P"), F.lit("lib"), F.lit("PE"), F.lit("x,y"))
+    v("supplier").select(line.alias("value")).write.text(path)
+    return formats.sample_of(formats.read_sample_sheet(spark, path), sample_type="BODY").select("row", "sample")
+
+
+@query("iv_keep_ids", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(v):
+    ids = v("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return intervals.keep_ids(v("orders"), ids, "o_custkey").select("o_orderkey")
+
+
+@query("iv_merge_collapse", _MERGE.format(op=">") + """
+SELECT r.chrom, r.strand, r.start, r."end", string_agg(CAST(e.event_id AS VARCHAR), ',' ORDER BY e.event_id) AS collapsed, min(e.event_id) AS least
+FROM v_feat e JOIN r ON e.chrom = r.chrom AND e.strand = r.strand AND e.start >= r.start AND e.start < r."end" GROUP BY 1, 2, 3, 4""")
+def _(v):
+    return intervals.merge_collapse(v("v_feat"), ["chrom", "strand"], "event_id")
+
+
+@query("st_min_max", "SELECT event_id, coalesce((value - min(value) OVER (PARTITION BY event_type)) / nullif(max(value) OVER (PARTITION BY event_type) - min(value) OVER (PARTITION BY event_type), 0), 0) AS scaled FROM events")
+def _(v):
+    return stats.min_max(v("events"), "value", ["event_type"]).select("event_id", "scaled")
+
+
+@query("st_unique_names", "SELECT site_id, common_name || CASE WHEN k > 1 THEN '.' || (k - 1) ELSE '' END AS common_name FROM (SELECT site_id, common_name, row_number() OVER (PARTITION BY common_name ORDER BY site_id) AS k FROM detected_sites WHERE common_name IS NOT NULL)")
+def _(v):
+    return stats.unique_names(v("detected_sites").where("common_name is not null").select("site_id", "common_name"), "common_name", ["site_id"])
+
+
+@query("st_validated_prefix", """SELECT d.site_id, EXISTS (SELECT 1 FROM srna_targets t WHERE lower(trim(t.validated)) = 'yes' AND t.targetagi = split_part(d.target_transcript, '.', 1)
+  AND substr(t.srna, 1, CASE WHEN d.srna LIKE 'TAS%' THEN 4 ELSE 6 END) = substr(d.srna, 1, CASE WHEN d.srna LIKE 'TAS%' THEN 4 ELSE 6 END)) AS validated FROM detected_sites d WHERE d.srna IS NOT NULL AND d.target_transcript IS NOT NULL""")
+def _(v):
+    """Validated targets by the first 6 letters of a small RNA's name, or 4 for TAS families."""
+    t = v("srna_targets").where(F.lower(F.trim("validated")) == "yes").select("srna", F.col("targetagi").alias("agi"))
+    t = t.select("agi", F.explode(F.array(F.substring("srna", 1, 4), F.substring("srna", 1, 6))).alias("prefix")).distinct().withColumn("hit", F.lit(True))
+    prefix = F.when(F.col("srna").startswith("TAS"), F.substring("srna", 1, 4)).otherwise(F.substring("srna", 1, 6))
+    d = v("detected_sites").where("srna is not null and target_transcript is not null").select("site_id", prefix.alias("prefix"), F.substring_index("target_transcript", ".", 1).alias("agi"))
+    return d.join(t, ["prefix", "agi"], "left").select("site_id", F.coalesce("hit", F.lit(False)).alias("validated"))
+
+
+@query("seq_which", f"WITH {_SEQ} SELECT doc_id, coalesce(array_to_string([i - 1 FOR i IN range(1, length(seq) + 1) IF substr(seq, i, 1) = 'G'], ','), '') AS g, CAST(length(seq) - length(replace(seq, 'G', '')) AS INTEGER) AS n FROM s")
+def _(v):
+    letters = F.filter(F.split("seq", ""), lambda x: x != "")
+    return _genome(v).select(F.col("chrom").alias("doc_id"), F.array_join(F.transform(S.which(letters, F.lit("G")), lambda i: i.cast("string")), ",").alias("g"), (F.size(letters) - F.size(S.notwhich(letters, F.lit("G")))).alias("n"))
+
+
+@query("rd_softclip_policy", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber % 6 <> 5 OR l_linestatus <> 'O' AND FALSE")
+def _(v):
+    """Reads clipped at the 5' end only, by letters other than N; minus reads are clipped at the 3' end here."""
+    letter = F.expr("substring('ACGTGN', cast(l_linenumber % 6 + 1 as int), 1)")
+    r = v("lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("strand"), F.lit("1S4M").alias("cigar"), F.concat(letter, F.lit("AAAA")).alias("seq"))
+    return reads.softclip_policy(r, "5p").select("l_orderkey", "l_linenumber")
+
+
+@query("rd_softclip_rescue", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN '1,2' WHEN l_linenumber % 3 = 1 THEN '2' ELSE '' END AS mapped, CASE WHEN l_linenumber % 3 = 0 THEN 'A' WHEN l_linenumber % 3 = 1 THEN 'AC' ELSE 'ACG' END AS untemplated FROM lineitem""")
+def _(v):
+    """The clip ACG beside genomes that agree with two, one or none of its letters, from the mapped end on."""
+    genome_ = F.when(F.col("l_linenumber") % 3 == 0, "TCG").when(F.col("l_linenumber") % 3 == 1, "ATG").otherwise("ACT")
+    r = v("lineitem").select("l_orderkey", "l_linenumber", S.rescue_softclip(F.lit("ACG"), genome_, F.lit("left")).alias("x"))
+    return r.select("l_orderkey", "l_linenumber", F.array_join(F.transform("x.mapped", lambda i: i.cast("string")), ",").alias("mapped"), F.col("x.untemplated").alias("untemplated"))
+
+
+@query("rd_bed_rows", """SELECT l_orderkey, l_linenumber, l_partkey AS start, l_partkey + 9 AS "end", 'AAAA.CCC' AS sequence, 'G' AS head, 'TT' AS tail FROM lineitem""")
+def _(v):
+    """Reads of two segments with clips at both ends."""
+    cigar = F.lit("1S4M2N3M2S")
+    r = v("lineitem").select("l_orderkey", "l_linenumber", F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.lit(1.0).alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("read_id"), cigar.alias("cigar"), F.lit("GAAAACCCTT").alias("seq"),
+                             F.lit("AAAACCC").alias("mapped_seq"), S.cigar_segments(F.col("l_partkey"), cigar).alias("segments"))
+    return sinks.read_bed_rows(r).select("read_id.l_orderkey", "read_id.l_linenumber", "start", "end", "sequence", "head", "tail")

@@ -215,6 +215,12 @@ def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("row", F.col("row").cast("int")).withColumn("fastq", F.split("fastq", ",")).withColumn("adapters", F.split("adapters", ","))
 
 
+def sample_of(sheet: DataFrame, row: int | None = None, sample_type: str | None = None) -> DataFrame:
+    """The lines of a sample sheet with this row number, or of this sample type."""
+    out = sheet if row is None else sheet.where(F.col("row") == row)
+    return out if sample_type is None else out.where(F.col("sample_type") == sample_type)
+
+
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     """name, pattern, mismatches: one row a pattern; rows whose lists differ in length are left out."""
     f = F.split("value", " +")
@@ -259,8 +265,8 @@ def read_wig(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).mapInArrow(run, "chrom string, pos long, value double")
 
 
-def read_duplexes(spark: SparkSession, path: str, most: float = 6) -> DataFrame:
-    """A table of predicted duplexes: query, family (without a shuffle's suffix), transcript, slice, allen; rows after the header of comments with a score up to ``most``."""
+def read_duplexes(spark: SparkSession, path: str, most: float = 6, least_ratio: float = 0.65) -> DataFrame:
+    """A table of predicted duplexes: query, family (without a shuffle's suffix), transcript, slice, allen; rows with a score up to ``most`` and an energy ratio (at most 1) from ``least_ratio`` on."""
     names = ["query", "transcript", "t_start", "t_stop", "slice", "mfe_perfect", "mfe_site", "mfe_ratio", "allen", "paired", "unpaired", "structure", "sequence"]
     f = F.split("value", "\t")
     rows = _lines(spark, path).where(F.size(f) >= len(names)).select(*[F.get(f, F.lit(i)).alias(n) for i, n in enumerate(names)])
@@ -268,5 +274,5 @@ def read_duplexes(spark: SparkSession, path: str, most: float = 6) -> DataFrame:
         rows = rows.withColumn(c, F.col(c).try_cast("long"))
     for c in ("mfe_perfect", "mfe_site", "mfe_ratio", "allen"):
         rows = rows.withColumn(c, F.col(c).try_cast("double"))
-    rows = rows.where(F.col("allen") <= most).withColumn("mfe_ratio", F.least(F.lit(1.0), F.col("mfe_ratio")))
+    rows = rows.where(F.col("allen") <= most).withColumn("mfe_ratio", F.least(F.lit(1.0), F.col("mfe_ratio"))).where(F.col("mfe_ratio") >= least_ratio)
     return rows.withColumn("family", F.substring_index("query", "_shuffled", 1))

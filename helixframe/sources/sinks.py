@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.sequence import softclip
+
 
 def _text(df: DataFrame, line: Column, path: str, order: list | None = None) -> None:
     df = df.orderBy(*order) if order else df
@@ -22,6 +24,14 @@ def write_bedgraph(runs: DataFrame, path: str) -> None:
     _text(runs, tab("chrom", "start", "end", "value"), path, ["chrom", "start"])
 
 
+def write_gtf(exons: DataFrame, path: str, source: str = "helixframe") -> None:
+    """Exon rows as GTF, attributes in quotes; transcripts of more exons come first where places are equal."""
+    attributes = F.concat(F.lit('gene_id "'), F.col("gene").cast("string"), F.lit('"; transcript_id "'), F.col("tx").cast("string"), F.lit('";'))
+    sized = exons.join(exons.groupBy("tx").agg(F.count(F.lit(1)).alias("_n")), "tx")
+    line = tab("chrom", F.lit(source), F.lit("exon"), F.col("start") + 1, "end", F.lit("."), "strand", F.lit("."), attributes)
+    _text(sized, line, path, ["chrom", "start", F.desc("_n"), "tx"])
+
+
 def _with_header(lines: DataFrame, path: str, head: str) -> None:
     """Text lines (``value``), with ``head`` at the beginning of every part."""
     def run(batches):
@@ -99,12 +109,16 @@ def junction_bed(junctions: DataFrame) -> DataFrame:
 
 
 def read_bed_rows(reads: DataFrame) -> DataFrame:
-    """Read rows as BED with the sequence of each segment, joined by dots where the read skips."""
+    """Read rows as BED with the sequence of each segment, joined by dots where the read skips, and what is clipped before and after, if there is a ``cigar`` and ``seq``."""
     seq = F.aggregate(
         F.col("segments"), F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda a, x: F.struct((a["at"] + x["end"] - x["start"]).alias("at"), F.concat(a["out"], F.array(F.substring("mapped_seq", (a["at"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))).alias("out")),
         lambda a: F.array_join(a["out"], "."))
-    return reads.select("chrom", F.element_at("segments", 1)["start"].alias("start"), F.element_at("segments", -1)["end"].alias("end"), "read_id", "weight", "strand", seq.alias("sequence"))
+    clips = []
+    if {"cigar", "seq"} <= set(reads.columns):
+        left, right = softclip(F.col("cigar"), "left"), softclip(F.col("cigar"), "right")
+        clips = [F.substring("seq", F.lit(1), left).alias("head"), F.when(right > 0, F.substring("seq", F.length("seq") - right + 1, right)).otherwise("").alias("tail")]
+    return reads.select("chrom", F.element_at("segments", 1)["start"].alias("start"), F.element_at("segments", -1)["end"].alias("end"), "read_id", "weight", "strand", seq.alias("sequence"), *clips)
 
 
 def duplicate_by_weight(reads: DataFrame, times: float = 1.0) -> DataFrame:
