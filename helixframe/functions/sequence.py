@@ -247,14 +247,12 @@ def pairing_regions(query: Column, target: Column) -> Column:
 
 # --- Arrow functions -----------------------------------------------------------------------------
 
-def lcp_array(text: str) -> np.ndarray:
-    """Lengths of the common prefixes of neighbouring sorted suffixes (n - 1 values)."""
+def _ranks(text: str) -> np.ndarray:
+    """Place of each suffix in sorted order, by doubling the compared length."""
     n = len(text)
-    if n < 2:
-        return np.zeros(0, np.int64)
     rank = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)[1].astype(np.int64)
     k = 1
-    while True:
+    while n > 1:
         after = np.full(n, -1, np.int64)
         after[: n - k] = rank[k:] if k < n else 0
         order = np.lexsort((after, rank))
@@ -263,6 +261,15 @@ def lcp_array(text: str) -> np.ndarray:
         if rank.max() == n - 1 or k >= n:
             break
         k *= 2
+    return rank
+
+
+def lcp_array(text: str) -> np.ndarray:
+    """Lengths of the common prefixes of neighbouring sorted suffixes (n - 1 values)."""
+    n = len(text)
+    if n < 2:
+        return np.zeros(0, np.int64)
+    rank = _ranks(text)
     suffix = np.argsort(rank)
     out, h = np.zeros(n, np.int64), 0
     for i in range(n):  # prefixes shrink by one letter at most from one suffix to the next
@@ -285,21 +292,82 @@ def i_complexity(text: str, alphabet: int = 5) -> float:
     return round(float(np.sum(np.log((lcp + 2) / (lcp + 1))) / math.log(alphabet)), 4)
 
 
+def suffix_order(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of the suffixes in sorted order, and the common prefix of each with the one before (0 for the first)."""
+    lcp = np.concatenate([[0], lcp_array(text)]) if text else np.zeros(0, np.int64)
+    return np.argsort(_ranks(text)) if text else np.zeros(0, np.int64), lcp
+
+
+def _longest_later(text: str) -> list[int]:
+    """Per position the longest text from there on that begins again at a later position.
+
+    Among sorted suffixes the nearest later one on each side has the longest common prefix; a stack finds it.
+    """
+    order, lcp = suffix_order(text)
+    best = [0] * len(text)
+    for way in (range(len(order)), range(len(order) - 1, -1, -1)):
+        stack: list[tuple[int, int]] = []  # begins that fall from the bottom up, with the common prefix to the one below
+        before = None
+        for k in way:
+            if before is not None:
+                shared = int(lcp[max(k, before)])
+            else:
+                shared = 0
+            i = int(order[k])
+            while stack and stack[-1][0] < i:
+                shared = min(shared, stack.pop()[1])
+            if stack:
+                best[i] = max(best[i], shared)
+            stack.append((i, shared))
+            before = k
+    return best
+
+
 def repetitions(text: str) -> tuple[list[int], list[int]]:
-    """Per position the longest prefix seen before (F) and the longest suffix seen before (B)."""
-    forward = []
-    for i in range(len(text)):
-        n = 0
-        while i + n < len(text) and text.find(text[i : i + n + 1]) < i:
-            n += 1
-        forward.append(n)
-    backward = []
-    for i in range(len(text)):
-        n = 0
-        while n <= i and text.find(text[i - n : i + 1], 0, i) >= 0:
-            n += 1
-        backward.append(n)
-    return forward, backward
+    """Per position the longest text that begins there and begins again later (F), and the longest that ends there and has ended before (B)."""
+    return _longest_later(text), _longest_later(text[::-1])[::-1]
+
+
+def repeated_prefixes(text: str) -> list[str]:
+    """The common prefix of each sorted suffix with the one before."""
+    order, lcp = suffix_order(text)
+    return [text[i : i + n] for i, n in zip(order.tolist(), lcp.tolist())]
+
+
+def longest_repeats(text: str, which_: str = "F") -> list[str]:
+    """The longest repeated stretches, by their begins (F) or their ends (B)."""
+    forward, backward = repetitions(text)
+    if which_ == "F":
+        top = max(forward, default=0)
+        return [text[i : i + n] for i, n in enumerate(forward) if n == top]
+    top = max(backward, default=0)
+    return [text[i - n + 1 : i + 1] for i, n in enumerate(backward) if n == top]
+
+
+def ideal_profile(length: int, alphabet: int) -> list[int]:
+    """Sorted common prefixes of a text of this length that repeats as little as an alphabet allows."""
+    out, k = [], 0
+    for i in range(length):
+        if i >= alphabet ** (k + 1) + k:
+            k += 1
+        out.append(k)
+    return out
+
+
+def substrings_of(s: Column, k: int) -> Column:
+    """Number of different substrings of length ``k``."""
+    return F.size(F.array_distinct(kmers(s, k)))
+
+
+def simplify(s: Column, keep_digits: bool = True) -> Column:
+    """Lower case without punctuation and white space; without digits on demand."""
+    drop = r"[.':,\-;_!/\"\n\t*()?{}\[\]#@%$ " + ("" if keep_digits else "0-9") + "]"
+    return F.lower(F.regexp_replace(s, drop, ""))
+
+
+def plain_bases(s: Column) -> Column:
+    """Ambiguous bases W, S, K, D, M, R and Y as N, without spaces."""
+    return F.regexp_replace(F.translate(s, "WSKDMRY", "NNNNNNN"), " ", "")
 
 
 def distinct_substrings(text: str) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import duplex
 from helixframe.functions import sequence as S
 from helixframe.operators import annotation, bias, genome, intervals, quant, reads, signal, stats
 from helixframe.plans.analysis_queries import _EX, _POINT, _SITES, _TREE, _exons, _multi, _points, _sites
@@ -426,3 +427,43 @@ def _(v):
     r = v("lineitem").select("l_orderkey", "l_linenumber", F.lit("c").alias("chrom"), F.lit("+").alias("strand"), F.lit(1.0).alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("read_id"), cigar.alias("cigar"), F.lit("GAAAACCCTT").alias("seq"),
                              F.lit("AAAACCC").alias("mapped_seq"), S.cigar_segments(F.col("l_partkey"), cigar).alias("segments"))
     return sinks.read_bed_rows(r).select("read_id.l_orderkey", "read_id.l_linenumber", "start", "end", "sequence", "head", "tail")
+
+
+@query("seq_substrings_of", f"WITH {_SEQ} SELECT doc_id, CAST(len(list_distinct([substr(seq, i, 4) FOR i IN range(1, length(seq) - 2)])) AS INTEGER) AS n FROM s")
+def _(v):
+    return _genome(v).select(F.col("chrom").alias("doc_id"), S.substrings_of(F.col("seq"), 4).alias("n"))
+
+
+@query("seq_simplify", "SELECT doc_id, lower(regexp_replace(text, '[.'':,\\-;_!/\"\\n\\t*()?{}\\[\\]#@%$ 0-9]', '', 'g')) AS plain FROM documents WHERE text IS NOT NULL")
+def _(v):
+    return v("documents").where("text is not null").select("doc_id", S.simplify(F.col("text"), keep_digits=False).alias("plain"))
+
+
+_BRAX = "b AS (SELECT site_id, site_id % 3 AS a, site_id % 4 AS b FROM detected_sites)"
+
+
+def _structures(v):
+    """Two pairs with a loop on each side: a letters on the transcript, b on the query."""
+    a, b = F.col("site_id") % 3, F.col("site_id") % 4
+    loop = lambda c, n: F.expr(f"repeat('{c}', cast({n} as int))")
+    return v("detected_sites").select("site_id", F.concat(F.lit("("), loop(".", "site_id % 3"), F.lit("(")).alias("target"), F.concat(F.lit(")"), loop(".", "site_id % 4"), F.lit(")")).alias("query"),
+                                      F.concat(F.lit("A"), loop("G", "site_id % 3"), F.lit("C")).alias("t_seq"), F.concat(F.lit("G"), loop("U", "site_id % 4"), F.lit("U")).alias("q_seq"), a.alias("a"), b.alias("b"))
+
+
+@query("duplex_gaps", f"WITH {_BRAX} SELECT site_id, '(' || repeat('.', a) || repeat('-', greatest(b - a, 0)) || '(' AS target, ')' || repeat('-', greatest(a - b, 0)) || repeat('.', b) || ')' AS query, 'A' || repeat('G', a) || repeat('-', greatest(b - a, 0)) || 'C' AS t_seq, 'G' || repeat('-', greatest(a - b, 0)) || repeat('U', b) || 'U' AS q_seq FROM b")
+def _(v):
+    return _structures(v).select("site_id", duplex.gap_structure("target", "query", "t_seq", "q_seq").alias("g")).select("site_id", "g.*")
+
+
+@query("duplex_pad", f"WITH {_BRAX} SELECT site_id, repeat('.', b) || '(' || repeat('.', a) || '(' || repeat('.', 2) AS target, '..' || ')' || repeat('.', b) || ')' || repeat('.', b) AS query, 100 - b AS t_start, 200 + 2 AS t_stop FROM b")
+def _(v):
+    s = _structures(v)
+    n = F.length("query")
+    padded = duplex.pad_structure("target", "query", F.lit(100), F.lit(200), F.lit(3), n + 2, n + 2 + F.col("b"))
+    return s.select("site_id", padded.alias("p")).select("site_id", "p.target", "p.query", "p.t_start", "p.t_stop")
+
+
+@query("duplex_trim", f"WITH {_BRAX} SELECT site_id, repeat('.', least(a, 1)) || '(' || repeat('.', least(b, 2)) AS target, 100 + greatest(a - 1, 0) AS t_start, 200 - greatest(b - 2, 0) AS t_stop FROM b")
+def _(v):
+    s = v("detected_sites").select("site_id", F.expr("concat(repeat('.', cast(site_id % 3 as int)), '(', repeat('.', cast(site_id % 4 as int)))").alias("target"), F.lit("..).").alias("query"))
+    return s.select("site_id", duplex.trim_structure("target", "query", F.lit(100), F.lit(200)).alias("p")).select("site_id", "p.target", "p.t_start", "p.t_stop")

@@ -68,3 +68,37 @@ def test_softclip_rescue(spark):
     df = spark.createDataFrame([("GGA", "TGA", "left"), ("ACC", "ACG", "right"), ("", "", "left")], "c string, g string, s string")
     rows = df.select(S.rescue_softclip("c", "g", "s").alias("r")).select("r.*").collect()
     assert [(r.mapped, r.untemplated) for r in rows] == [([1, 2], "G"), ([0, 1], "C"), ([], "")]
+
+
+def brute_repeats(text):
+    forward = [max((n for n in range(len(text) - i + 1) if text[i : i + n] in text[i + 1 :]), default=0) for i in range(len(text))]
+    backward = [max((n for n in range(i + 2) if text[i + 1 - n : i + 1] in text[:i]), default=0) for i in range(len(text))]
+    return forward, backward
+
+
+def test_repeats_against_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for n in [0, 1, 2, 3, 10, 40, 90]:
+        for letters in ("a", "ab", "ACGT"):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert S.repetitions(text) == brute_repeats(text), text
+            order, lcp = S.suffix_order(text)
+            assert order.tolist() == sorted(range(n), key=lambda i: text[i:])
+    assert S.longest_repeats("banana") == ["ana"] and S.longest_repeats("banana", "B") == ["ana"]
+    assert S.repeated_prefixes("banana") == ["", "a", "ana", "", "", "na"]
+    assert S.ideal_profile(8, 2) == [0, 0, 1, 1, 1, 2, 2, 2]
+
+
+def test_gapped_duplexes(spark):
+    from pyspark.sql import functions as F
+
+    from helixframe.functions import duplex
+
+    assert duplex.gapped("((.(", ")))", "AAGA", "UUU") == ("((.(", ")-))", "AAGA", "U-UU")
+    assert duplex.gapped("(((", ").))", "AAA", "UGUU") == ("((-(", ").))", "AA-A", "UGUU")
+    assert duplex.padded("((", "))", 10, 11, 2, 3, 5) == ("..((.", ".))..", 8, 12)
+    assert duplex.trimmed("...((..", ".))..", 5, 11) == ("..((.", ".))..", 6, 10)
+    d = spark.createDataFrame([("ACGUACGUACGU", "ACGUACGUACGU", 112), ("ACGUACGU-CGU", "AC-UACGUACGU", 112), ("ACG", "ACG", 5)], "t string, q string, stop long")
+    assert [r[0] for r in d.select(duplex.slice_of(F.col("t"), F.col("q"), F.col("stop"))).collect()] == [103, 103, None]
