@@ -40,6 +40,8 @@ BUCKET_BITS, KNOWN = 12, 2.0**-8
 BUCKETS = 1 << BUCKET_BITS
 #: Bits of a hash beside its bucket. Each bit is counted for itself, so that the counts add up and show the hash of a bucket's common key.
 PRINT_BITS = 20
+#: Groups of fewer fields with the same dialects are parsed together, dialect by dialect.
+FEW = 200
 #: Bytes parsed at once; a longer field is parsed by itself.
 PART_BYTES = 4 << 20
 #: Share of a field that is divided among its dialects when they are counted.
@@ -140,8 +142,7 @@ class Fields:
 
     def arranged(self, order: np.ndarray) -> Fields:
         """The fields in another order."""
-        starts = np.concatenate([[0], np.nonzero(self.data == _STOP)[0] + 1])
-        index, lengths = _stretch(starts[order], starts[order + 1] - 1)
+        index, lengths = _stretch(np.where(order > 0, self.stops[order - 1] + 1, 0), self.stops[order])
         return Fields(self.data[index], np.repeat(np.arange(len(order)), lengths), len(order))
 
     def between(self, first: int, last: int) -> Fields:
@@ -211,18 +212,22 @@ class Side:
         self._lengths = None
         data = fields.data
         self.paired = np.zeros(len(data), bool)
-        if quotes:
-            at = np.nonzero(data == _QUOTE)[0]
-            owner = fields.of[at]
-            final = np.append(owner[1:] != owner[:-1], True)[: len(at)]
-            odd = np.bincount(owner, minlength=fields.count) % 2 == 1
-            self.paired[at[~(final & odd[owner])]] = True  # a quote left open is text
-        self.enclosed = (np.cumsum(self.paired) & 1).astype(bool)
-        opening = self.paired & self.enclosed
-        closing = self.paired & ~self.enclosed
-        doubled = np.zeros(len(data), bool)
-        doubled[1:] = opening[1:] & closing[:-1]  # a doubled quote inside quotes stands for one
-        self.kept = (~self.paired | doubled) & (data != _STOP)
+        at = np.nonzero(data == _QUOTE)[0] if quotes else np.zeros(0, np.int64)
+        if not len(at):
+            self.enclosed, self.kept = self.paired, data != _STOP
+            return
+        owner = fields.of[at]
+        final = np.append(owner[1:] != owner[:-1], True)
+        odd = np.bincount(owner, minlength=fields.count) % 2 == 1
+        at = at[~(final & odd[owner])]  # a quote left open is text
+        self.paired[at] = True
+        self.enclosed = (np.cumsum(self.paired, dtype=np.uint8) & 1).astype(bool)
+        opening, closing = at[0::2], at[1::2]
+        # a doubled quote inside quotes stands for one
+        doubled = opening[np.isin(opening - 1, closing, assume_unique=True)]
+        self.kept = ~self.paired
+        self.kept[doubled] = True
+        self.kept[fields.stops] = False
 
     @cached_property
     def dropped(self) -> np.ndarray:
@@ -386,8 +391,8 @@ class Hashed:
         self.sums = np.zeros((PRINT_BITS + 1, BUCKETS), np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def add(self, hashes: np.ndarray, weight: int) -> None:
-        self.waiting.append((hashes, np.full(len(hashes), float(weight))))
+    def add(self, hashes: np.ndarray, weights: np.ndarray) -> None:
+        self.waiting.append((hashes, weights))
 
     def settle(self) -> None:
         if self.waiting:
@@ -411,19 +416,24 @@ class Counts:
         self.keys = Hashed()
         self.bare, self.quoted, self.events = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(10, np.int64)
 
-    def add(self, p: Parse, d: Dialect, weight: int) -> None:
-        self.keys.add(p.key_hash, weight)
-        data = p.side.fields.data
-        index, _ = _stretch(p.value_from, p.value_to)
-        index = index[p.side.kept[index]]
+    def add(self, p: Parse, d: Dialect, weight: np.ndarray) -> None:
+        """Count what a parse holds; ``weight`` says how much each field counts."""
+        fields = p.side.fields
+        of_piece = weight[p.piece_field]
+        of_value = of_piece[p.value_piece]
+        self.keys.add(p.key_hash, of_piece)
+        index, lengths = _stretch(p.value_from, p.value_to)
+        own = np.repeat(of_value, lengths)
+        kept = p.side.kept[index]
+        index, own = index[kept], own[kept]
         inside = p.side.enclosed[index]
-        self.bare += np.bincount(data[index[~inside]], minlength=256) * weight
-        self.quoted += np.bincount(data[index[inside]], minlength=256) * weight
+        self.bare += np.bincount(fields.data[index[~inside]], own[~inside], 256).astype(np.int64)
+        self.quoted += np.bincount(fields.data[index[inside]], own[inside], 256).astype(np.int64)
         # a pair has an event for each value, each empty one, and its end
-        found = {INNER: p.has_inner.sum(), NONE: (~p.has_inner).sum(), BLANK: len(p.blank_field), NEXT: len(p.value_from), EMPTY: len(p.empty_piece), END: len(p.key_from),
-                 QUOTED: p.quoted.sum(), BARE: (~p.quoted).sum(), ENCLOSE if d.quotes else PLAIN: p.side.fields.with_quotes.sum()}
-        for event, n in found.items():
-            self.events[event] += int(n) * weight
+        found = {INNER: of_piece[p.has_inner], NONE: of_piece[~p.has_inner], BLANK: weight[p.blank_field], NEXT: of_value, EMPTY: of_piece[p.empty_piece], END: of_piece,
+                 QUOTED: of_value[p.quoted], BARE: of_value[~p.quoted], ENCLOSE if d.quotes else PLAIN: weight[fields.with_quotes]}
+        for event, weights in found.items():
+            self.events[event] += int(weights.sum())
 
     def settle(self) -> None:
         self.keys.settle()
@@ -446,11 +456,37 @@ def _order_bits(fields: Fields, at: np.ndarray, marks: str) -> np.ndarray:
     return ways + factorial[total] - sum(factorial[n] for n in each)
 
 
+def readings(fields: Fields, space: DialectSpace) -> Iterator[tuple[Dialect, np.ndarray, Fields, np.ndarray]]:
+    """Each dialect with fields that it reads: their numbers, the fields, and how many dialects each has.
+
+    Dialects come in the order in which those of a field stand.
+    """
+    few: list[tuple[tuple[Dialect, ...], np.ndarray]] = []
+    for dialects, chosen, own in fields.kinds(space):
+        if len(chosen) < FEW and len(dialects) > 1:
+            few.append((dialects, chosen))
+            continue
+        for d in dialects:
+            yield d, chosen, own, np.full(len(chosen), len(dialects))
+    if few:
+        every = sorted({d for dialects, _ in few for d in dialects}, key=lambda d: _rank(d, space))
+        for d in every:
+            chosen = np.concatenate([c for dialects, c in few if d in dialects])
+            counts = np.concatenate([np.full(len(c), len(dialects)) for dialects, c in few if d in dialects])
+            yield d, chosen, fields.arranged(chosen), counts
+
+
+def _rank(d: Dialect, space: DialectSpace) -> tuple:
+    def place(chars: str, of: str) -> tuple:
+        return (-len(chars), [of.index(c) for c in chars])
+
+    return (not d.quotes, space.inner.index(d.inner), place(d.pairs, space.pairs), place(d.values, space.values))
+
+
 def count_dialects(fields: Fields, space: DialectSpace, counts: Counts) -> None:
     """Count all fields under all of their dialects, in equal shares."""
-    for dialects, _, own in fields.kinds(space):
-        for d in dialects:
-            counts.add(Parse.by(own, d), d, max(1, WHOLE // len(dialects)))
+    for d, _, own, many in readings(fields, space):
+        counts.add(Parse.by(own, d), d, np.maximum(1, WHOLE // many).astype(float))
     counts.settle()
 
 
@@ -530,25 +566,31 @@ class CodeLengths:
 
 def cheapest(fields: Fields, codes: CodeLengths, space: DialectSpace) -> Iterator[tuple[Dialect, np.ndarray, Fields]]:
     """Each dialect with the fields for which it is the cheapest; the first of equals."""
-    for dialects, chosen, own in fields.kinds(space):
-        if len(dialects) == 1:
-            yield dialects[0], chosen, own
+    best, least = np.full(fields.count, -1), np.full(fields.count, np.inf)
+    dialects: list[Dialect] = []
+    for d, chosen, own, many in readings(fields, space):
+        if many[0] == 1:
+            yield d, chosen, own
             continue
-        best, least = np.zeros(len(chosen), np.int64), np.full(len(chosen), np.inf)
-        for k, d in enumerate(dialects):
-            bits = codes.bits(Parse.by(own, d), d)
-            better = bits < least - 1e-6
-            best[better], least[better] = k, bits[better]
-        for k, d in enumerate(dialects):
-            mine = np.nonzero(best == k)[0]
-            if len(mine):
-                yield d, chosen[mine], own if len(mine) == own.count else own.arranged(mine)
+        bits = codes.bits(Parse.by(own, d), d)
+        better = bits < least[chosen] - 1e-6
+        best[chosen[better]], least[chosen[better]] = len(dialects), bits[better]
+        dialects.append(d)
+    order = np.argsort(best, kind="stable")
+    edges = np.searchsorted(best[order], np.arange(len(dialects) + 1))
+    by_dialect: dict[Dialect, list[np.ndarray]] = {}
+    for k, d in enumerate(dialects):
+        if edges[k] < edges[k + 1]:
+            by_dialect.setdefault(d, []).append(order[edges[k] : edges[k + 1]])
+    for d, parts in by_dialect.items():
+        mine = np.concatenate(parts)
+        yield d, mine, fields.arranged(mine)
 
 
 def count_cheapest(fields: Fields, codes: CodeLengths, space: DialectSpace, counts: Counts) -> None:
     """Count all fields under their cheapest dialects."""
-    for d, _, own in cheapest(fields, codes, space):
-        counts.add(Parse.by(own, d), d, WHOLE)
+    for d, chosen, own in cheapest(fields, codes, space):
+        counts.add(Parse.by(own, d), d, np.full(len(chosen), float(WHOLE)))
     counts.settle()
 
 
