@@ -343,7 +343,7 @@ def _(spark, v, path):
     return formats.read_motifs(spark, path)
 
 
-@round_trip("io_kmer_table", "SELECT CAST(n_nationkey AS INTEGER) AS rel_pos, k AS kmer, n_nationkey * f AS freq FROM nation, (VALUES ('AA', 0.5), ('AC', 0.25)) t(k, f)")
+@round_trip("io_kmer_table", "SELECT CAST(n_nationkey AS INTEGER) AS rel_pos, k AS kmer, CAST(n_nationkey * f AS DOUBLE) AS freq FROM nation, (VALUES ('AA', 0.5), ('AC', 0.25)) t(k, f)")
 def _(spark, v, path):
     v("nation").select(F.col("n_nationkey").alias("pos"), (F.col("n_nationkey") * 0.5).alias("AA"), (F.col("n_nationkey") * 0.25).alias("AC")).write.csv(path, header=True)
     return formats.read_kmer_table(spark, path)
@@ -455,7 +455,7 @@ def _(v):
     return _structures(v).select("site_id", duplex.gap_structure("target", "query", "t_seq", "q_seq").alias("g")).select("site_id", "g.*")
 
 
-@query("duplex_pad", f"WITH {_BRAX} SELECT site_id, repeat('.', b) || '(' || repeat('.', a) || '(' || repeat('.', 2) AS target, '..' || ')' || repeat('.', b) || ')' || repeat('.', b) AS query, 100 - b AS t_start, 200 + 2 AS t_stop FROM b")
+@query("duplex_pad", f"WITH {_BRAX} SELECT site_id, repeat('.', b) || '(' || repeat('.', a) || '(' || repeat('.', 2) AS target, '..' || ')' || repeat('.', b) || ')' || repeat('.', b) AS query, 100 - b AS t_start, CAST(202 AS BIGINT) AS t_stop FROM b")
 def _(v):
     s = _structures(v)
     n = F.length("query")
