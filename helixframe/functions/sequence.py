@@ -132,9 +132,8 @@ def _places(array: Column, holds: Callable[[Column], Column]) -> Column:
 
 def cigar_ops(cigar: Column) -> Column:
     """Array of (n, op)."""
-    n = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(1))
-    op = F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(2))
-    return F.zip_with(n, op, lambda a, b: F.struct(a.cast("bigint").alias("n"), b.alias("op")))
+    tokens = F.regexp_extract_all(cigar, F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))
+    return F.transform(tokens, lambda t: F.struct(F.substring(t, F.lit(1), F.length(t) - 1).cast("bigint").alias("n"), F.substring(t, -1, 1).alias("op")))
 
 
 def cigar_segments(pos: Column, cigar: Column) -> Column:

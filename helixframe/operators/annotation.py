@@ -83,6 +83,19 @@ def mergeable(pairs: DataFrame, mode: str = "strict") -> DataFrame:
     return pairs.where(keep if mode == "strict" else keep | F.col("truncation") | F.col("contained"))
 
 
+def slice_transcripts(exons: DataFrame, parts: DataFrame) -> DataFrame:
+    """Exons cut to ``parts`` (``tx``, ``t_start``, ``t_end``) given in transcript coordinates along the strand: a coding part, or what lies before or after it."""
+    own = Window.partitionBy("tx")
+    length = F.col("end") - F.col("start")
+    e = exons.withColumn("_b", F.coalesce(F.sum(length).over(own.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_t", F.sum(length).over(own))
+    j = e.join(parts.select("tx", "t_start", "t_end"), "tx")
+    minus = F.col("strand") == "-"
+    lo = F.when(minus, F.col("_t") - F.col("t_end")).otherwise(F.col("t_start"))
+    hi = F.when(minus, F.col("_t") - F.col("t_start")).otherwise(F.col("t_end"))
+    cut = j.withColumn("_lo", F.greatest(lo - F.col("_b"), F.lit(0))).withColumn("_hi", F.least(hi - F.col("_b"), length)).where("_lo < _hi")
+    return cut.withColumn("end", F.col("start") + F.col("_hi")).withColumn("start", F.col("start") + F.col("_lo")).select(*exons.columns)
+
+
 def clip_exons(t: DataFrame, start: Column, end: Column) -> DataFrame:
     """Exons cut to new bounds; what lies outside is dropped."""
     cut = F.transform("exons", lambda x: F.struct(F.greatest(x["start"], start).alias("start"), F.least(x["end"], end).alias("end")))

@@ -9,7 +9,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import annotation, bias, genome, intervals, quant, reads, signal, stats
 from helixframe.plans.analysis_queries import _EX, _POINT, _SITES, _TREE, _exons, _multi, _points, _sites
 from helixframe.plans.base_queries import _genome
-from helixframe.plans.genome_queries import _ISLAND, _MERGE, _inside
+from helixframe.plans.genome_queries import _ISLAND, _MERGE, _inside, kernel_sql
 from helixframe.plans.sequence_queries import _MISS, _MISS_BACK, _SEQ
 from helixframe.plans.views import view, with_views
 from helixframe.session import shared_folder
@@ -467,3 +467,48 @@ def _(v):
 def _(v):
     s = v("detected_sites").select("site_id", F.expr("concat(repeat('.', cast(site_id % 3 as int)), '(', repeat('.', cast(site_id % 4 as int)))").alias("target"), F.lit("..).").alias("query"))
     return s.select("site_id", duplex.trim_structure("target", "query", F.lit(100), F.lit(200)).alias("p")).select("site_id", "p.target", "p.t_start", "p.t_stop")
+
+
+@query("tx_slices", f"""WITH {_EX}, k AS (SELECT *, coalesce(sum("end" - start) OVER (PARTITION BY tx ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum("end" - start) OVER (PARTITION BY tx) AS t FROM x),
+p AS (SELECT *, CASE WHEN strand = '-' THEN t - 400 ELSE 100 END AS lo, CASE WHEN strand = '-' THEN t - 100 ELSE 400 END AS hi FROM k)
+SELECT chrom, strand, gene, tx, CAST(start + greatest(lo - b, 0) AS BIGINT) AS start, CAST(start + least(hi - b, "end" - start) AS BIGINT) AS "end" FROM p WHERE greatest(lo - b, 0) < least(hi - b, "end" - start)""")
+def _(v):
+    ex = _exons(v)
+    return annotation.slice_transcripts(ex, ex.select("tx").distinct().select("tx", F.lit(100).alias("t_start"), F.lit(400).alias("t_end")))
+
+
+_WIDE = signal.kernel("laplace", 15, 3)
+
+
+@query("sig_convolve_wide", f"SELECT chrom, strand, pos + o AS pos, sum(value * w) AS value FROM v_end, {kernel_sql(_WIDE)} WHERE pos + o >= 0 GROUP BY 1, 2, 3 HAVING sum(value * w) > 1e-9")
+def _(v):
+    """The kernel's usual width, 91 positions."""
+    return signal.convolve(v("v_end"), _WIDE)
+
+
+@query("duplex_best_energy", """SELECT target_transcript AS transcript, slice_site AS slice, arg_max(site_id, (1 / (1 + allen_score), -site_id)) AS query FROM detected_sites WHERE allen_score IS NOT NULL AND NOT isnan(allen_score) GROUP BY 1, 2""")
+def _(v):
+    d = v("detected_sites").where("allen_score is not null and not isnan(allen_score)").select(F.col("site_id").alias("query"), F.col("target_transcript").alias("transcript"), F.col("slice_site").alias("slice"), (1 / (1 + F.col("allen_score"))).alias("mfe_ratio"))
+    return genome.best_duplex(d, "energy").select("transcript", "slice", "query")
+
+
+@query("cmp_capped_features", f"""WITH {_ISLAND}, t AS (SELECT x.chrom, x.strand, x.start, x."end", sum(x.value) AS total, sum(coalesce(u.value, 0)) AS uug FROM x LEFT JOIN v_uug u ON x.chrom = u.chrom AND x.strand = u.strand AND x.pos = u.pos GROUP BY 1, 2, 3, 4),
+b AS (SELECT unnest(range(0, 101)) AS bin), h AS (SELECT b.bin, count(t.total) AS n FROM b LEFT JOIN t ON b.bin = least(floor(uug / total * 100), 100) WHERE b.bin < 25 GROUP BY 1), c AS (SELECT avg(bin) / 100 AS cutoff FROM h WHERE n = (SELECT min(n) FROM h))
+SELECT chrom, strand, start, "end", uug / total AS share, uug / total >= (SELECT cutoff FROM c) AS capped FROM t WHERE total >= 1""")
+def _(v):
+    """Features of the end library parted by their share of untemplated G, at the cutoff that the shares themselves suggest."""
+    f = signal.islands(v("v_end"), 47, 2)
+    by = ["chrom", "strand", "start", "end"]
+    uug = signal.in_features(v("v_uug"), f).groupBy(*by).agg(F.sum("value").alias("uug"))
+    totals = signal.in_features(v("v_end"), f).groupBy(*by).agg(F.sum("value").alias("total")).join(uug, by, "left").na.fill(0.0, ["uug"])
+    cutoff = annotation.auto_cutoff(totals)
+    split = totals.where("total >= 1").withColumn("share", F.col("uug") / F.col("total")).crossJoin(F.broadcast(cutoff))  # one row
+    return split.select(*by, "share", (F.col("share") >= F.col("cutoff")).alias("capped"))
+
+
+@query("rd_trimmed", """WITH r AS (SELECT doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS s FROM documents),
+c AS (SELECT doc_id, s, CASE WHEN instr(s, 'ACTG') > 0 THEN instr(s, 'ACTG') WHEN right(s, 3) = 'ACT' AND length(s) >= 3 THEN length(s) - 2 WHEN instr(s, 'TTT') > 0 THEN instr(s, 'TTT') ELSE 0 END AS a FROM r)
+SELECT doc_id, CASE WHEN a > 0 THEN substr(s, 1, a - 1) ELSE s END AS seq FROM c WHERE length(CASE WHEN a > 0 THEN substr(s, 1, a - 1) ELSE s END) >= 16""")
+def _(v):
+    fq = _genome(v).select(F.col("chrom").alias("doc_id"), "seq", F.col("seq").alias("qual"))
+    return formats.trim_adapter(fq, ["ACTG", "TTT"], 16).select("doc_id", "seq")

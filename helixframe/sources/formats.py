@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.operators.shards import running_sum
+from helixframe.operators.shards import ranged, running_sum
 from helixframe.session import materialize
 
 BED = T.StructType().add("chrom", "string").add("start", "long").add("end", "long").add("name", "string").add("score", "double").add("strand", "string")
@@ -112,15 +112,19 @@ def filter_pairs(first: DataFrame, second: DataFrame, least: int = 12) -> DataFr
     return first.join(b, "pair").where((F.length("seq") >= least) & (F.length("seq2") >= least))
 
 
-def trim_adapter(fastq: DataFrame, adapters: list[str], least: int = 16) -> DataFrame:
+def trim_adapter(fastq: DataFrame, adapters: list[str], least: int = 16, overlap: int = 3) -> DataFrame:
     """Cut at the first adapter that occurs; the second is tried where the first does not; too short reads drop out.
 
-    Only exact occurrences are cut; partial and inexact ones need an external trimmer.
+    A read whose end is the beginning of an adapter, of ``overlap`` letters at least, is
+    cut there.  Inexact occurrences need an external trimmer.
     """
     at = F.lit(0)
     for adapter in reversed(adapters):
         own = F.instr("seq", adapter)
-        at = F.when(own > 0, own).otherwise(at)
+        partial = F.lit(0)
+        for k in range(max(1, overlap), len(adapter)):
+            partial = F.when(F.col("seq").endswith(adapter[:k]), F.length("seq") - k + 1).otherwise(partial)
+        at = F.when(own > 0, own).when(partial > 0, partial).otherwise(at)
     out = fastq.withColumn("_at", at)
     for c in ("seq", "qual"):
         out = out.withColumn(c, F.when(F.col("_at") > 0, F.substring(c, F.lit(1), F.col("_at") - 1)).otherwise(F.col(c)))
@@ -242,27 +246,24 @@ def read_kmer_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wig(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos (0-based), value of a fixedStep file.
+    """chrom, pos (0-based), value of fixedStep files.
 
-    A file is read whole by one task each, for a value's place depends on the header before it.
+    A value's place follows from the header before it and the values since; both are
+    carried from one range of lines to the next, so a file may be of any size.
     """
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chrom, at, step, rows = None, 0, 1, []
-                for line in (text or "").splitlines():
-                    if line.startswith("fixedStep"):
-                        head = dict(x.split("=") for x in line.split()[1:])
-                        chrom, at, step = head["chrom"], int(head["start"]) - 1, int(head.get("step", 1))
-                    elif line and not line.startswith(("track", "#")):
-                        rows.append((chrom, at, float(line)))
-                        at += step
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["chrom", "pos", "value"])
-
-    return spark.read.text(path, wholetext=True).mapInArrow(run, "chrom string, pos long, value double")
+    lines = numbered_lines(spark, path).where("value <> '' and value not like '#%' and value not like 'track%'").withColumn("_all", F.lit(0))
+    head = F.col("value").startswith("fixedStep")
+    part = lambda name: F.regexp_extract("value", f"{name}=(\\S+)", 1)
+    step = F.when(part("step") == "", "1").otherwise(part("step")).cast("bigint")
+    rows = running_sum(lines.withColumn("_v", (~head).cast("bigint")), ["_all"], "at", "_v", "seen")
+    rows = rows.withColumn("_head", F.when(head, F.struct(part("chrom").alias("chrom"), (part("start").cast("bigint") - 1).alias("start"), step.alias("step"), F.col("seen").alias("before"))))
+    r = ranged(rows, ["_all"], ["at"])
+    inside = r.withColumn("_own", F.last("_head", ignorenulls=True).over(Window.partitionBy("_p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    edges = r.where("_head is not null").groupBy("_p").agg(F.max_by("_head", "at").alias("_last"))
+    parts = r.select("_p").distinct().join(edges, "_p", "left")
+    carry = parts.select("_p", F.last("_last", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))  # one row a partition
+    out = inside.where("_v = 1").join(carry, "_p").withColumn("h", F.coalesce("_own", "_carry"))
+    return out.select("h.chrom", (F.col("h.start") + (F.col("seen") - F.col("h.before") - 1) * F.col("h.step")).alias("pos"), F.col("value").cast("double").alias("value"))
 
 
 def read_duplexes(spark: SparkSession, path: str, most: float = 6, least_ratio: float = 0.65) -> DataFrame:

@@ -109,3 +109,16 @@ def test_fasta_as_tiles(spark, tmp_path):
         got.setdefault(r.chrom, {})[r.tile] = r.seq
     assert {k: "".join(own[t] for t in range(len(own))) for k, own in got.items()} == {k: s.upper() for k, s in seqs.items() if s}
     assert all(len(s) == 64 for own in got.values() for t, s in own.items() if t < len(own) - 1)
+
+
+def test_wig_headers_are_carried_over_ranges_of_lines(spark, tmp_path):
+    from helixframe.sources import formats
+
+    text, expected = "track type=wiggle_0\n", []
+    for k in range(40):
+        text += f"fixedStep chrom=c{k % 3} start={k * 100 + 1} step={1 + k % 2}\n" + ("# note\n" if k % 7 == 0 else "")
+        for i in range(k):
+            text += f"{i}.5\n"
+            expected.append((f"c{k % 3}", k * 100 + i * (1 + k % 2), i + 0.5))
+    (tmp_path / "a.wig").write_text(text)
+    assert sorted(tuple(r) for r in formats.read_wig(spark, str(tmp_path / "a.wig")).collect()) == sorted(expected)
