@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
@@ -149,8 +149,10 @@ def rescue(unique: DataFrame, multi: DataFrame, rounds: int | None = None, oppos
         waiting = multi.where(F.col("n_map") == level)
         done_rounds = 0
         while rounds is None or done_rounds < rounds:
-            shared = materialize(allocate(waiting, total(), opposite), "rescue")
-            found = shared.agg(F.count_if(F.col("share").isNotNull()).alias("done"), F.count_if(F.col("share").isNull()).alias("left")).first()
+            counts = Observation()  # taken while the round is written
+            shared = allocate(waiting, total(), opposite).observe(counts, F.count_if(F.col("share").isNotNull()).alias("done"), F.count_if(F.col("share").isNull()).alias("left"))
+            shared = materialize(shared, "rescue")
+            found = counts.get
             if not found["done"]:
                 break
             done = shared.where("share is not null")
