@@ -170,6 +170,23 @@ def softclip(cigar: Column, side: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(cigar, "^([0-9]+)S" if side == "left" else "([0-9]+)S$", 1), F.lit("")).cast("int"), F.lit(0))
 
 
+def softclip_bases(cigar: Column, seq: Column) -> Column:
+    """Clipped bases at both ends, in genome order: ``left`` and ``right``, empty without any."""
+    left, right = softclip(cigar, "left"), softclip(cigar, "right")
+    return F.struct(F.substring(seq, F.lit(1), left).alias("left"), F.when(right > 0, F.substring(seq, F.length(seq) - right + 1, right)).otherwise("").alias("right"))
+
+
+def softclip_positions(cigar: Column, seq: Column, segments: Column) -> Column:
+    """A row a clipped base: its genome position if the read went on without a gap, and the base."""
+    clips = softclip_bases(cigar, seq)
+    first, last = F.element_at(segments, 1)["start"], F.element_at(segments, -1)["end"]
+
+    def placed(text: Column, begin: Column) -> Column:
+        return F.transform(_starts(text, 1), lambda i: F.struct((begin + i - 1).cast("bigint").alias("pos"), F.substring(text, i, F.lit(1)).alias("base")))
+
+    return F.concat(placed(clips["left"], first - F.length(clips["left"])), placed(clips["right"], last))
+
+
 # Names of the bits of an alignment's flag, from the lowest.
 FLAG_BITS = ["paired", "proper", "unmapped", "mate_unmapped", "reverse", "mate_reverse", "first", "second", "secondary", "qc_fail", "duplicate", "supplementary"]
 

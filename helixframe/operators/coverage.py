@@ -134,6 +134,13 @@ def feature_matrix(features: DataFrame, cov: DataFrame, sample: str, samples: li
     return features.select(name).distinct().join(wide, name, "left").na.fill(0.0, samples)
 
 
+def feature_lengths(features: DataFrame, name: str = "name", keys: list[str] = KEYS) -> DataFrame:
+    """Bases under the union of the intervals of each name, beside a count matrix."""
+    from helixframe.operators.intervals import merge
+
+    return merge(features.select(*keys, "start", "end", name), [*keys, name]).groupBy(name).agg(F.sum(F.col("end") - F.col("start")).alias("length"))
+
+
 def to_transcripts(cov: DataFrame, exons: DataFrame) -> DataFrame:
     """Genome to transcript coordinates: ``tx``, ``tx_pos``, ``value``.
 

@@ -96,14 +96,22 @@ def reads_in(reads: DataFrame, exons: DataFrame, one_each: bool = False, order:
     return kept
 
 
-def end_groups(transcripts: DataFrame, reach: int = 50) -> DataFrame:
-    """``group``: transcripts of a gene whose 5' ends follow each other within ``reach``, numbered along the strand."""
-    end = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
+def end_groups(transcripts: DataFrame, reach: int = 50, side: str = "5p") -> DataFrame:
+    """``group``: transcripts of a gene whose 5' (or 3p: 3') ends follow each other within ``reach``, numbered along the strand."""
+    minus, five = F.col("strand") == "-", side == "5p"
+    end = F.when(minus, -F.col("end" if five else "start")).otherwise(F.col("start" if five else "end"))
     w = Window.partitionBy("chrom", "strand", "gene").orderBy("_e", "tx")
     t = transcripts.withColumn("_e", end).withColumn("_n", F.when(F.col("_e") - F.lag("_e").over(w) <= reach, 0).otherwise(1))
     return t.withColumn("group", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_e", "_n")
 
 
+def end_group_table(transcripts: DataFrame, reach: int = 50, side: str = "5p") -> DataFrame:
+    """One row a group of ends: gene, group, its transcripts in order of name, and the first and last place of the end on the genome."""
+    at = F.when((F.col("strand") == "-") == F.lit(side == "5p"), F.col("end")).otherwise(F.col("start"))
+    g = end_groups(transcripts, reach, side).withColumn("_at", at)
+    return g.groupBy("chrom", "strand", "gene", "group").agg(F.array_join(F.array_sort(F.collect_list("tx")), ",").alias("txs"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+
+
 def best_duplex(duplexes: DataFrame, by: str = "allen") -> DataFrame:
     """The best duplex of each transcript and slice site: least score, or highest energy ratio; then by query name."""
     if by == "allen":

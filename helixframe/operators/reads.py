@@ -57,6 +57,30 @@ def softclip_policy(reads: DataFrame, allowed: str = "both", bases: str = "ACGT"
     return reads.where(ok & (F.regexp_replace(clipped, f"[{bases}]", "") == ""))
 
 
+def pair_mates(reads: DataFrame) -> DataFrame:
+    """Alignments of both mates that belong together: each gives the place of the other.
+
+    ``read_id``, chrom, ``pos`` and ``pos2`` (of the first and the second mate), their
+    ``segments`` and ``segments2``, and ``primary``; a place taken by several
+    alignments of a mate gives several pairs.
+    """
+    one = reads.where("bits.paired and bits.first").select("read_id", "chrom", "pos", F.col("mate_pos").alias("pos2"), "segments", "primary")
+    two = reads.where("bits.paired and bits.second").select("read_id", "chrom", F.col("pos").alias("pos2"), F.col("mate_pos").alias("pos"), F.col("segments").alias("segments2"), F.col("primary").alias("_p"))
+    return one.join(two, ["read_id", "chrom", "pos", "pos2"]).withColumn("primary", F.col("primary") & F.col("_p")).drop("_p")
+
+
+def size_classes(reads: DataFrame, size: Column, bounds: list[int], by: list[str]) -> DataFrame:
+    """Reads by ``by`` and class of ``size``: ``c0`` below the first bound, ``c1`` below the second, and so on."""
+    edges = [None, *bounds, None]
+    counts = []
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        own = F.lit(True)
+        own = own if lo is None else own & (size >= lo)
+        own = own if hi is None else own & (size < hi)
+        counts.append(F.count_if(own).alias(f"c{i}"))
+    return reads.groupBy(*by).agg(*counts)
+
+
 def untemplated_counts(reads: DataFrame, base: str = "nuc") -> DataFrame:
     """Reads by 5' position and untemplated base: unique ones (``n_map`` 1) count 1, others their ``weight``."""
     own = F.when(F.col("n_map") == 1, 1.0).otherwise(F.col("weight"))

@@ -131,3 +131,11 @@ def unique_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Names made unique in ``order``: the first of equals as it is, the others with .1, .2 and so on."""
     rows = numbered(df, [name], order, "_k")
     return rows.withColumn(name, F.when(F.col("_k") > 1, F.concat(F.col(name), F.lit("."), (F.col("_k") - 1).cast("string"))).otherwise(F.col(name))).drop("_k")
+
+
+def histogram(df: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:
+    """``bin`` (from 0) and ``n`` of values from ``low`` to ``high``, both included; bins without any have 0."""
+    at = F.least(F.floor((F.col(value) - low) * bins / (high - low)), F.lit(bins - 1)).cast("int")
+    spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = df.where(F.col(value).between(low, high) & ~F.isnan(F.col(value).cast("double"))).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return spine.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

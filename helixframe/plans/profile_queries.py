@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import duplex
 from helixframe.functions import sequence as S
-from helixframe.operators import annotation, bias, genome, intervals, quant, reads, signal, stats
+from helixframe.operators import annotation, bias, coverage, genome, intervals, quant, reads, signal, stats
 from helixframe.plans.analysis_queries import _EX, _POINT, _SITES, _TREE, _exons, _multi, _points, _sites
 from helixframe.plans.base_queries import _genome
 from helixframe.plans.genome_queries import _ISLAND, _MERGE, _inside, kernel_sql
@@ -512,3 +512,66 @@ SELECT doc_id, CASE WHEN a > 0 THEN substr(s, 1, a - 1) ELSE s END AS seq FROM c
 def _(v):
     fq = _genome(v).select(F.col("chrom").alias("doc_id"), "seq", F.col("seq").alias("qual"))
     return formats.trim_adapter(fq, ["ACTG", "TTT"], 16).select("doc_id", "seq")
+
+
+@query("tx_end_group_table", f"""WITH {_EX}, t AS (SELECT chrom, strand, gene, tx, min(start) AS start, max("end") AS "end", CASE WHEN strand = '-' THEN -min(start) ELSE max("end") END AS e FROM x GROUP BY 1, 2, 3, 4),
+n AS (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY chrom, strand, gene ORDER BY e, tx) <= 50 THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY chrom, strand, gene ORDER BY e, tx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp, abs(e) AS place FROM n)
+SELECT chrom, strand, gene, grp AS "group", string_agg(tx, ',' ORDER BY tx) AS txs, min(place) AS first, max(place) AS last FROM g GROUP BY 1, 2, 3, 4""")
+def _(v):
+    """Groups of 3' ends."""
+    return genome.end_group_table(annotation.transcripts(_exons(v)), 50, "3p")
+
+
+@query("rd_size_class_table", "SELECT l_partkey, count(*) FILTER (WHERE l_quantity < 10) AS c0, count(*) FILTER (WHERE l_quantity >= 10 AND l_quantity < 30) AS c1, count(*) FILTER (WHERE l_quantity >= 30) AS c2 FROM lineitem GROUP BY 1")
+def _(v):
+    return reads.size_classes(v("lineitem"), F.col("l_quantity"), [10, 30], ["l_partkey"])
+
+
+@query("st_histogram", "SELECT CAST(b AS INTEGER) AS bin, count(allen_score) AS n FROM (SELECT unnest(range(0, 12)) AS b) LEFT JOIN (SELECT * FROM detected_sites WHERE allen_score BETWEEN 0 AND 6 AND NOT isnan(allen_score)) d ON least(floor(allen_score * 2), 11) = b GROUP BY 1")
+def _(v):
+    return stats.histogram(v("detected_sites"), "allen_score", 12, 0, 6)
+
+
+@query("cnt_feature_lengths", "SELECT user_id, count(*) AS length FROM (SELECT DISTINCT user_id, chrom, strand, unnest(range(start, \"end\")) AS pos FROM v_feat) GROUP BY 1")
+def _(v):
+    return coverage.feature_lengths(v("v_feat"), "user_id")
+
+
+@round_trip("io_mate_pairs", "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS read_id, l_partkey AS pos, l_partkey + 100 AS pos2, l_linenumber % 2 = 1 AS \"primary\" FROM lineitem WHERE l_linenumber <= 2")
+def _(spark, v, path):
+    """Both mates of two alignments of a read, the second one secondary, paired again by the place each gives of the other."""
+    li = v("lineitem").where("l_linenumber <= 2")
+    extra = F.when(F.col("l_linenumber") % 2 == 1, 0).otherwise(256)
+    line = lambda flag, a, b: F.concat_ws("\t", "l_orderkey", (extra + flag).cast("string"), F.lit("c"), (a + 1).cast("string"), F.lit("60"), F.lit("50M"), F.lit("="), (b + 1).cast("string"), F.lit("0"), F.lit("*"), F.lit("*"))
+    p = F.col("l_partkey")
+    li.select(F.explode(F.array(line(1 + 64 + 32, p, p + 100), line(1 + 128 + 16, p + 100, p))).alias("value")).write.text(path)
+    # two lines of an order at the same place would be four pairs, so doubles are counted once each way
+    return reads.pair_mates(formats.read_sam(spark, path)).select("read_id", "pos", "pos2", "primary").distinct()
+
+
+@round_trip("io_fasta_bad_names", "SELECT 'd ' || doc_id AS name FROM documents WHERE text IS NOT NULL")
+def _(spark, v, path):
+    sinks.write_fasta(v("documents").where("text is not null").select(F.concat(F.lit("d "), "doc_id").alias("name"), F.lit("ACGT").alias("seq")), path)
+    return formats.fasta_name_errors(spark, path)
+
+
+@round_trip("io_layout_errors", "SELECT CAST(s_suppkey AS INTEGER) AS \"row\" FROM supplier WHERE s_suppkey % 2 = 1")
+def _(spark, v, path):
+    line = F.concat_ws(" ", "s_suppkey", F.lit("dir"), F.lit("a.fq,b.fq"), F.lit("s"), F.lit("BODY"), F.lit("lib"), F.when(F.col("s_suppkey") % 2 == 0, "PE").otherwise("SE"), F.lit("x"))
+    v("supplier").select(line.alias("value")).write.text(path)
+    return formats.check_layout(formats.read_sample_sheet(spark, path)).select("row")
+
+
+@query("rd_softclip_bases", "SELECT l_partkey - 2 + i AS pos, ['G', 'A', 'T'][i + 1] AS base, count(*) AS n FROM (SELECT l_partkey, unnest([0, 1]) AS i FROM lineitem) GROUP BY 1, 2 UNION ALL SELECT l_partkey + 4, 'T', count(*) FROM lineitem GROUP BY 1")
+def _(v):
+    """Two bases clipped at the left and one at the right of four that are mapped."""
+    cigar = F.lit("2S4M1S")
+    bases = S.softclip_positions(cigar, F.lit("GACCCCT"), S.cigar_segments(F.col("l_partkey"), cigar))
+    return v("lineitem").select(F.inline(bases)).groupBy("pos", "base").agg(F.count(F.lit(1)).alias("n"))
+
+
+@round_trip("io_pileup", "SELECT l_returnflag AS chrom, l_partkey AS site, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, v, path):
+    sinks.write_pileup(v("lineitem").groupBy(F.col("l_returnflag").alias("chrom"), F.col("l_partkey").alias("site")).agg(F.count(F.lit(1)).alias("n")), path, ["chrom", "site", "n"])
+    return spark.read.csv(path, header=True, schema="chrom string, site bigint, n bigint")

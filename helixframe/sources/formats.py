@@ -40,6 +40,18 @@ def read_fasta(spark: SparkSession, path: str, split_on: str = " ", upper: bool
     return out.select(F.substring_index("_h", split_on, 1).alias("name"), "seq")
 
 
+def fasta_name_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``name``: headers with white space, which the RNA form of FASTA does not allow and ``read_fasta(rna=True)`` leaves out."""
+    heads = spark.read.text(path).where(F.col("value").startswith(">")).select(F.expr("substring(value, 2)").alias("name"))
+    return heads.where(F.col("name").rlike("\\s"))
+
+
+def check_layout(sheet: DataFrame) -> DataFrame:
+    """Lines of a sample sheet with a wrong number of files: SE takes one, PE one (interleaved) or two."""
+    most = F.when(F.upper("layout") == "PE", 2).otherwise(1)
+    return sheet.where(~F.size("fastq").between(1, most))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``value`` and ``at``, the number of a line over all files in the order of their names, from 0 on.
 

@@ -98,6 +98,11 @@ def write_duplexes(duplexes: DataFrame, path: str, columns: list[str]) -> None:
     _with_header(duplexes.select(tab(*columns).alias("value")), path, "#" + "\t".join(columns))
 
 
+def write_pileup(pileup: DataFrame, path: str, columns: list[str]) -> None:
+    """Pileup statistics as CSV with a header."""
+    pileup.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_matrix(matrix: DataFrame, path: str) -> None:
     matrix.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
