@@ -126,3 +126,43 @@ def test_documents(spark):
     assert sorted((r.doc_id, r.item_id) for r in out) == expected and all(r.edits == 0 for r in out)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert leakage.find_leaks(empty, "doc_id", "text", spark.createDataFrame(items, "item_id long, text string"), "item_id", "text").count() == 0
+
+
+def one_edit_pairs(docs, items, n=12):
+    """All (document, item) that share a window of n words with at most one word changed, put in or left out, by tables of windows with a word missing."""
+    whole, holed, shorter = {}, {}, {}
+    for i, u in items:
+        w = leakage.words_of(u)
+        for k in range(len(w) - n + 1):
+            a = tuple(w[k : k + n])
+            whole.setdefault(a, set()).add(i)
+            for p in range(n):
+                holed.setdefault((p, a[:p] + a[p + 1 :]), set()).add(i)
+                shorter.setdefault(a[:p] + a[p + 1 :], set()).add(i)
+    out = set()
+    for d, t in docs:
+        w = leakage.words_of(t)
+        for k in range(len(w) - n + 2):
+            b = tuple(w[k : k + n - 1])
+            out |= {(d, i) for i in shorter.get(b, ())}  # a word left out
+            b = tuple(w[k : k + n])
+            if len(b) == n:
+                for p in range(n):
+                    out |= {(d, i) for i in holed.get((p, b[:p] + b[p + 1 :]), ())}
+            b = tuple(w[k : k + n + 1])
+            if len(b) == n + 1:  # a word put in
+                for p in range(n + 1):
+                    out |= {(d, i) for i in whole.get(b[:p] + b[p + 1 :], ())}
+    return out
+
+
+def test_near_passages_of_the_test_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/eval_items.parquet")
+    expected = one_edit_pairs([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
+    plan = leakage.WalkPlan(sampled=1.0)
+    out = leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text", plan).collect()
+    got = {(r.doc_id, r.item_id) for r in out}
+    assert got <= expected and len(expected) > 20 and len(got) >= plan.recall * len(expected)
+    exact = {(r.doc_id, r.item_id) for r in leakage.find_leaks(docs, "doc_id", "text", items, "item_id", "text", leakage.WalkPlan(max_edits=0, walk=2.0, least=12)).collect()}
+    assert exact == {(r.doc_id, r.item_id) for r in out if r.edits == 0}
