@@ -162,6 +162,9 @@ def passage_distance(a: list[str], text: list[str], most: int) -> int:
     n, m = len(a), len(text)
     if text[:n] == a:
         return 0
+    # words of the window that are nowhere in the text must all be edited
+    if len(set(a).difference(text)) > most:
+        return most + 1
     # furthest word of a reached on each diagonal (place in text minus place in a) with so many edits
     reached = {0: 0}
     for edits in range(most + 1):
@@ -306,10 +309,13 @@ def find_leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [a.split(" ") for a in batch.column(2).to_pylist()]
-            most = np.array([plan.edits(len(a)) for a in windows], np.int32)
-            out = [passage_distance(a, c.split(" "), m) for a, c, m in zip(windows, batch.column(3).to_pylist(), most.tolist())]
-            edits = np.array(out, np.int32)
+            # a passage meets several windows and a window several passages, so their words are parted once
+            windows, passages = (batch.column(k).dictionary_encode() for k in (2, 3))
+            of_window, of_passage = ([t.split(" ") for t in c.dictionary.to_pylist()] for c in (windows, passages))
+            allowed = [plan.edits(len(a)) for a in of_window]
+            pairs_ = zip(windows.indices.to_pylist(), passages.indices.to_pylist())
+            edits = np.fromiter((passage_distance(of_window[a], of_passage[c], allowed[a]) for a, c in pairs_), np.int32, batch.num_rows)
+            most = np.array(allowed, np.int32)[windows.indices.to_numpy()]
             done = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(edits)], names=["doc", "item", "edits"])
             yield done.filter(pa.array(edits <= most))
 
