@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from helixframe.session import materialize
 
 #: Bits of the bitmap for each signature of the evaluation side, and the least and most bits (as powers of 2) that it takes.
-BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 30
+BITS_EACH, LEAST_BITS, MOST_BITS = 512, 16, 30
 #: Words embedded at once.
 CHUNK_WORDS = 1 << 18
 #: Repetitions tried before the recall is declared out of reach.
